@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, ngram_join, pii, sharding, toxicity
+from . import decontamination, language_id, language_model, mixing, ngram_join, pii, sharding, topk, toxicity, warc
 from .common import crc_remainder
 
 
@@ -13,10 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"), F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False)))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False))
+    model = language_id.learn(docs.where(~held_out))
+    return language_id.predicted(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign(docs, shards=8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -38,16 +49,29 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 QUERIES = {
+    "op1_language_model": op1_language_model,
     "op2_mixing": op2_mixing,
+    "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_ngram_join": op7_ngram_join,
+    "op8_warc": op8_warc,
+    "op9_topk": op9_topk,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
