@@ -7,8 +7,8 @@ n - ceil(t n) + 1 of either (prefix filter), so those alone are dealt out over t
 1. a scan hashes each text's set: its size and a 128-bit key of the set. Equal sets are one node from here on. The scan
    also names the n-grams that stand in more than `frequent` of some chunk's documents; their number is bounded by
    (n-grams of a document) / frequent in each chunk, and only those move to the order's end.
-2. prefixes go, packed by chunk, to the blocks of the hash space. Where an n-gram is shared, every sharer is put into the
-   group of the smallest key among them (its pivot). Two sets that share a prefix n-gram meet in a group at least once.
+2. prefixes go, packed by chunk, to the blocks of the hash space. Where an n-gram is shared, its sharers of like sizes, for
+   whom it can be the first shared one, are put into the group of the smallest key among them (its pivot). Two sets that share a prefix n-gram meet in a group at least once.
    Groups are lists of members, never lists of pairs: rows grow with the members.
 3. the sets of groups' members are fetched (one text for each distinct set), and each group is joined in a prefix tree.
    A group of more than `block` members is split into blocks, and every two blocks are joined with the pivot beside them.
@@ -206,6 +206,63 @@ def join_group(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY)
     return PrefixTree([np.sort(ranks[a:b]) for a, b in zip(at[:-1], at[1:])], len(known)).links(similarity)
 
 
+_NODE = np.dtype([("key", _KEY), ("n", "<u4")])
+
+
+def _short(x: np.ndarray) -> bytes:
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _long(raw: pa.Scalar, n: int) -> np.ndarray:
+    raw = raw.as_buffer()
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
+
+
+def pivots(grams: np.ndarray, owners: np.ndarray, places: np.ndarray, keys: np.ndarray, sizes: np.ndarray, similarity: tuple[int, int], near: int = 64) -> pa.Table:
+    """(pivot, key) from prefix entries: an n-gram, its owner (an index in keys and sizes) and its place in the owner's order.
+
+    Of an n-gram's owners, in the order of size, those stay who have a partner for whom it can be the first shared n-gram:
+    of a size in reach, and with enough n-grams left in both. Among more than `near` owners, those without a partner among
+    the `near` next stay too. Where sizes leave a gap out of reach, a new group begins.
+    """
+    p, q = similarity
+    order = np.lexsort((owners, sizes[owners], grams))
+    grams, owners, places = grams[order], owners[order], places[order]
+    again = np.zeros(len(grams), bool)  # the same set out of another chunk
+    again[1:] = (grams[1:] == grams[:-1]) & (owners[1:] == owners[:-1])
+    grams, owners, places = grams[~again], owners[~again], places[~again]
+    # only n-grams with several owners
+    several = np.zeros(len(grams), bool)
+    same = grams[1:] == grams[:-1]
+    several[1:] |= same
+    several[:-1] |= same
+    grams, owners, places = grams[several], owners[several], places[several]
+    n = sizes[owners]
+    live = np.zeros(len(grams), bool)
+    for o in range(1, near + 1):
+        at = np.flatnonzero(grams[o:] == grams[:-o])
+        if not len(at):
+            break
+        small, large = n[at], n[at + o]
+        least = -(-p * (small + large) // (p + q))
+        fits = (q * small >= p * large) & (np.minimum(small - places[at], large - places[at + o]) >= least)
+        live[at[fits]] = True
+        live[at[fits] + o] = True
+    else:
+        far = np.flatnonzero(grams[near + 1 :] == grams[: -near - 1])
+        live[far] = True
+        live[far + near + 1] = True
+    grams, owners, n = grams[live], owners[live], n[live]
+    if not len(grams):
+        return pa.table({"pivot": pa.array([], pa.binary()), "key": pa.array([], pa.binary())})
+    begins = np.flatnonzero(np.concatenate(([True], (grams[1:] != grams[:-1]) | (q * n[:-1] < p * n[1:]))))
+    least = np.minimum.reduceat(owners, begins)
+    size = np.diff(np.concatenate((begins, [len(grams)])))
+    shared = np.repeat(size > 1, size)
+    pairs = np.unique(np.repeat(least, size)[shared] * len(keys) + owners[shared])
+    return pa.table({"pivot": pa.array(key_bytes(keys[pairs // len(keys)]), pa.binary()), "key": pa.array(key_bytes(keys[pairs % len(keys)]), pa.binary())})
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -258,45 +315,37 @@ def groups(docs: DataFrame, frequent: np.ndarray, blocks: int, ngram: int = NGRA
                 continue
             parts = [prefix(ordered(sets[i], held.value, bits), similarity) for i in distinct]
             flat = np.concatenate(parts)
-            owner = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(x) for x in parts])
+            sizes = [len(x) for x in parts]
+            owner = np.repeat(np.arange(len(parts), dtype=np.uint32), sizes)
+            place = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
             order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            table = keys[distinct]
+            flat, owner, place = flat[order], owner[order], place[order]
+            table = np.zeros(len(distinct), _NODE)
+            table["key"], table["n"] = keys[distinct], [len(sets[i]) for i in distinct]
             to = (flat // width).astype(np.int64)
             ends = np.searchsorted(to, np.arange(blocks + 1))
-            out = [], [], [], []
+            out = [], [], [], [], []
             for b in range(blocks):
                 x, y = int(ends[b]), int(ends[b + 1])
                 if x < y:
                     used, local = np.unique(owner[x:y], return_inverse=True)
-                    out[0].append(b)
-                    out[1].append(flat[x:y].tobytes())
-                    out[2].append(local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes())
-                    out[3].append(table[used].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "grams", "owners", "keys"])
+                    for store, value in zip(out, (b, flat[x:y].tobytes(), _short(local), _short(place[x:y]), table[used].tobytes())):
+                        store.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "grams", "owners", "places", "nodes"])
 
     def gather(table: pa.Table) -> pa.Table:
-        grams, owners, keys, base = [], [], [], 0
-        for g, o, k in zip(table["grams"], table["owners"], table["keys"]):
-            g, o, k = g.as_buffer(), o.as_buffer(), k.as_buffer()
-            grams.append(np.frombuffer(g, np.uint64))
-            small = len(o) == 2 * len(grams[-1])
-            owners.append(np.frombuffer(o, np.uint16 if small else np.uint32).astype(np.uint32) + np.uint32(base))
-            keys.append(np.frombuffer(k, _KEY))
-            base += len(keys[-1])
-        known, back = np.unique(np.concatenate(keys), return_inverse=True)
-        grams, owners = np.concatenate(grams), back[np.concatenate(owners)]
-        order = np.argsort(grams, kind="stable")
-        grams, owners = grams[order], owners[order]
-        begins = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-        least = np.minimum.reduceat(owners, begins)
-        size = np.diff(np.concatenate((begins, [len(grams)])))
-        most = np.maximum.reduceat(owners, begins)
-        shared = np.repeat(least != most, size)
-        pairs = np.unique(np.repeat(least, size)[shared].astype(np.int64) * len(known) + owners[shared])
-        return pa.table({"pivot": pa.array(key_bytes(known[pairs // len(known)]), pa.binary()), "key": pa.array(key_bytes(known[pairs % len(known)]), pa.binary())})
-
-    dealt = docs.select("text").mapInArrow(per_batch(deal), "block int, grams binary, owners binary, keys binary")
+        grams, owners, places, nodes, base = [], [], [], [], 0
+        for g, o, at, k in zip(*(table[c] for c in ("grams", "owners", "places", "nodes"))):
+            grams.append(np.frombuffer(g.as_buffer(), np.uint64))
+            owners.append(_long(o, len(grams[-1])) + base)
+            places.append(_long(at, len(grams[-1])))
+            nodes.append(np.frombuffer(k.as_buffer(), _NODE))
+            base += len(nodes[-1])
+        every = np.concatenate(nodes)
+        known, first, back = np.unique(every["key"], return_index=True, return_inverse=True)
+        return pivots(np.concatenate(grams), back[np.concatenate(owners)], np.concatenate(places), known, every["n"][first].astype(np.int64), similarity)
+
+    dealt = docs.select("text").mapInArrow(per_batch(deal), "block int, grams binary, owners binary, places binary, nodes binary")
     return dealt.groupBy("block").applyInArrow(gather, "pivot binary, key binary").distinct()
 
 
