@@ -10,8 +10,10 @@ n - ceil(t n) + 1 of either (prefix filter), so those alone are dealt out over t
 2. prefixes go, packed by chunk, to the blocks of the hash space. Where an n-gram is shared, its sharers of like sizes, for
    whom it can be the first shared one, are put into the group of the smallest key among them (its pivot). Two sets that share a prefix n-gram meet in a group at least once.
    Groups are lists of members, never lists of pairs: rows grow with the members.
-3. the sets of groups' members are fetched (one text for each distinct set), and each group is joined in a prefix tree.
-   A group of more than `block` members is split into blocks, and every two blocks are joined with the pivot beside them.
+3. within a group, the parities of the n-grams' numbers by residue of their hashes (a bit for each n-gram, about) bound from
+   below in how many n-grams two sets differ. Members that no other can be linked with leave; the rest falls into parts.
+   A group of more than `block` members is split into blocks first, and every two blocks meet with the pivot beside them.
+   The sets of what is left are fetched (one text for each distinct set), and each part is joined in a prefix tree.
 4. in the tree, a set walks down from the root, counting its overlap with a shared path once for all sets below. A subtree
    is left when the overlap so far plus what can remain, bounded by the remaining lengths, is too small for every size in
    it, or when all its sets are already in the walker's class. So a group of m near copies costs about m steps, not m^2,
@@ -91,6 +93,52 @@ def prefix(s: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
     return s[: len(s) - -(-p * len(s) // q) + 1] if len(s) else s
 
 
+def n_parities(n: int) -> int:
+    return 1 << min(16, max(6, int(n - 1).bit_length()))
+
+
+def parities(s: np.ndarray) -> bytes:
+    """For each residue of the n-grams' hashes the parity of their number.
+
+    Two sets differ in at least as many n-grams as their parities differ; residues modulo half as many are sums of these.
+    """
+    b = n_parities(len(s))
+    return np.packbits(np.bincount((W.mix(s) & np.uint64(b - 1)).astype(np.int64), minlength=b).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def possible(sizes: np.ndarray, bits: list[bytes], similarity: tuple[int, int]) -> np.ndarray:
+    """A label for each set: sets that could be linked, by their sizes and parities, share one. Exact: no link crosses labels."""
+    p, q = similarity
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    label = np.arange(len(n))
+    width = np.array([len(bits[i]) for i in order])
+    # sets of one width are neighbours, as widths grow with sizes
+    begins = {int(w): int(np.searchsorted(width, w)) for w in np.unique(width)}
+    rows = {w: np.frombuffer(b"".join(bits[i] for i in order[a : int(np.searchsorted(width, w, "right"))]), np.uint64).reshape(-1, w // 8) for w, a in begins.items()}
+    for x in range(1, len(n)):
+        lo = int(np.searchsorted(n, -(-p * int(n[x]) // q)))
+        if lo >= x or (label[lo:x] == label[x]).all():
+            continue
+        w = int(width[x])
+        mine = rows[w][x - begins[w]]
+        while True:
+            a, b = max(lo, begins.get(w, x)), min(x, begins.get(w, x) + len(rows.get(w, ())))
+            if a < b:
+                apart = np.bitwise_count(rows[w][a - begins[w] : b - begins[w]] ^ mine).sum(1)
+                least = -(-p * (n[a:b] + n[x]) // (p + q))
+                for other in np.unique(label[a:b][apart <= n[a:b] + n[x] - 2 * least]):
+                    if other != label[x]:
+                        label[label == other] = label[x]
+            if a == lo or w <= 8:
+                break
+            w //= 2
+            mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+    out = np.empty(len(n), np.int64)
+    out[order] = label
+    return out
+
+
 class PrefixTree:
     """Sets, in one order of their elements, as a tree with compressed paths: a node's path is a slice of its first set.
 
@@ -268,7 +316,7 @@ def _texts(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def document_sets(docs: DataFrame, ngram: int = NGRAM, frequent: float = FREQUENT) -> DataFrame:
-    """(doc_id, n, key) of each document, and rows (null, count, n-gram) of the n-grams frequent in a chunk of them."""
+    """(doc_id, n, key, bits) of each document, and rows (null, count, n-gram) of the n-grams frequent in a chunk of them."""
 
     def run(batch: pa.RecordBatch):
         ids, column = batch.column(0), batch.column(1)
@@ -277,7 +325,7 @@ def document_sets(docs: DataFrame, ngram: int = NGRAM, frequent: float = FREQUEN
             sets = W.shingles(hashes, first, ngram)
             keys = set_keys(sets)
             n = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(n)), ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key_bytes(keys), pa.binary())], names=["kind", "doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(n)), ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key_bytes(keys), pa.binary()), pa.array([parities(x) for x in sets], pa.binary())], names=["kind", "doc_id", "n", "key", "bits"])
             distinct = np.unique(keys, return_index=True)[1]
             flat = np.sort(np.concatenate([sets[i] for i in distinct]))
             if len(flat):
@@ -286,9 +334,9 @@ def document_sets(docs: DataFrame, ngram: int = NGRAM, frequent: float = FREQUEN
                 often = count > max(8, frequent * len(distinct))
                 found = flat[begins[often]]
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(["f"] * len(found)), pa.nulls(len(found), pa.int64()), pa.array(count[often], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["kind", "doc_id", "n", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(["f"] * len(found)), pa.nulls(len(found), pa.int64()), pa.array(count[often], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.nulls(len(found), pa.binary())], names=["kind", "doc_id", "n", "key", "bits"])
 
-    return docs.mapInArrow(per_batch(run), "kind string, doc_id bigint, n bigint, key binary")
+    return docs.mapInArrow(per_batch(run), "kind string, doc_id bigint, n bigint, key binary, bits binary")
 
 
 def _ranked(rows: DataFrame) -> np.ndarray:
@@ -353,7 +401,7 @@ def links(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tupl
     """(a, b): keys of sets linked directly, enough of them to make the classes of all links. docs: doc_id, text."""
     spark = docs.sparkSession
     members = materialised(groups(docs, _ranked(rows), 4 * partitions(spark), ngram, similarity), "members")
-    nodes = rows.where("kind = 'd' AND doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    nodes = rows.where("kind = 'd' AND doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     members = members.join(nodes, "key")
     # a group of more than `block` members: every two of its blocks meet, with the pivot beside them
     sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")).where("parts > 1")
@@ -363,7 +411,21 @@ def links(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tupl
     all_pairs = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     own = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     members = members.withColumn("to", F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).when(F.col("key") == F.col("pivot"), all_pairs).otherwise(own))
-    wanted = members.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pivot", "to")).alias("groups")).withColumnRenamed("key", "wanted")
+    dealt = members.withColumn("to", F.explode("to")).select("pivot", "to.i", "to.j", "key", "doc_id", "n", "bits")
+
+    def could_link(table: pa.Table) -> pa.Table:
+        keys = table["key"].to_pylist()
+        label = possible(table["n"].to_numpy(), table["bits"].to_pylist(), similarity)
+        least: dict[int, bytes] = {}
+        number: dict[int, int] = {}
+        for k, l in zip(keys, label.tolist()):
+            least[l] = min(k, least.get(l, k))
+            number[l] = number.get(l, 0) + 1
+        at = [i for i, l in enumerate(label.tolist()) if number[l] > 1]
+        return pa.table({"pivot": pa.array([least[int(label[i])] for i in at], pa.binary()), **{c: table[c].take(pa.array(at, pa.int64())) for c in ("i", "j", "key", "doc_id")}})
+
+    left = dealt.groupBy("pivot", "i", "j").applyInArrow(could_link, "pivot binary, i int, j int, key binary, doc_id bigint").distinct()
+    wanted = left.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("groups")).withColumnRenamed("key", "wanted")
 
     def fetch(batch: pa.RecordBatch):
         column = _texts(batch, "text")
@@ -379,10 +441,9 @@ def links(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tupl
                     continue
                 packed = s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # 48 bits of each: apart within any two sets
                 for g in where[i]:
-                    for t in g["to"]:
-                        for store, x in zip(out, (g["pivot"], t["i"], t["j"], key, packed)):
-                            store.append(x)
-                        size += len(packed)
+                    for store, x in zip(out, (*g.values(), key, packed)):
+                        store.append(x)
+                    size += len(packed)
                 if size > 16 << 20:
                     yield _members(out)
                     out, size = ([], [], [], [], []), 0
