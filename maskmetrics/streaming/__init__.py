@@ -1,0 +1 @@
+"""No operator of this engine is a stream: anonymised corpora are evaluated whole. Kept as the place for such sources."""
