@@ -5,7 +5,8 @@ A sentence's probability is logistic in the words it holds; a document's is the
 The fitted sentence scores then locate the offending sentences.
 
 Scale: the classifier is fitted on at most `max_per_label` labelled rows of either label, chosen by a hash of the text, and
-on at most `max_vocabulary` words of them; both are parameters and bound what reaches the driver. What is shipped back is
+on at most `max_vocabulary` words of them, from texts of at most `max_training_bytes`; these parameters bound what reaches
+the driver. What is shipped back is
 a weight for each of these words. Scoring is one scan of all documents, whole texts, without a shuffle. Labels are joined
 by key in a shuffle of their own, so a hot source changes nothing.
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import per_batch
 
-MAX_PER_LABEL = 4000
+MAX_PER_LABEL = 2000
+MAX_TRAINING_BYTES = 1 << 17
 MAX_VOCABULARY = 20_000
 THRESHOLD = 0.7
 _END = W.byte_class(lambda b: b in b".!?\n")
@@ -75,20 +77,25 @@ def fit(texts: list[str], labels: list[int], max_vocabulary: int = MAX_VOCABULAR
     none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -6.0)
     if not len(y) or y.min() == y.max():
         return none
-    hashes, sentence, doc, made, rows = [], [], [], 0, 0
-    for lo, hi, h, s, r, _ in sentence_words(pa.array(texts, pa.string())):
-        hashes.append(h)
-        sentence.append(s + made)
-        doc.append(r + lo)
-        made += len(r)
-    h, s, d = np.concatenate(hashes), np.concatenate(sentence), np.concatenate(doc)
-    if not len(h):
+    def parts():
+        for at in range(0, len(texts), 256):
+            for lo, _, h, s, r, _ in sentence_words(pa.array(texts[at : at + 256], pa.string())):
+                yield at + lo, h, s, r
+
+    # first pass: the words of each document once, and in how many documents of either label they stand
+    seen: list[list[np.ndarray]] = [[], []]
+    for lo, h, s, r in parts():
+        for i in np.unique(r).tolist() if len(r) else ():
+            a, b = np.searchsorted(s, [np.searchsorted(r, i), np.searchsorted(r, i, "right")])
+            seen[int(y[lo + i])].append(np.unique(h[a:b]))
+    counted = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for x in seen]
+    del seen
+    known = np.union1d(counted[0][0], counted[1][0])
+    if not len(known):
         return none
-    # document frequencies by label
-    known, word = np.unique(h, return_inverse=True)
-    pairs = np.unique(word.astype(np.int64) * len(y) + d[s])
-    w_of, d_of = pairs // len(y), pairs % len(y)
-    with_word = np.stack([np.bincount(w_of[y[d_of] == k], minlength=len(known)) for k in (0, 1)]).astype(float)
+    with_word = np.zeros((2, len(known)))
+    for k in (0, 1):
+        with_word[k, np.searchsorted(known, counted[k][0])] = counted[k][1]
     total = np.array([(y == 0).sum(), (y == 1).sum()], float)
     share = (with_word + 0.5) / (total[:, None] + 1)
     error = np.sqrt((share * (1 - share) / total[:, None]).sum(0))
@@ -97,9 +104,16 @@ def fit(texts: list[str], labels: list[int], max_vocabulary: int = MAX_VOCABULAR
     candidates = np.sort(candidates[np.argsort(-z[candidates], kind="stable")[:max_vocabulary]])
     if not len(candidates):
         return none
-    index = np.full(len(known), -1)
-    index[candidates] = np.arange(len(candidates))
-    cells = np.unique((s * len(candidates) + index[word])[index[word] >= 0])
+    vocabulary = known[candidates]
+    # second pass: which of them stand in which sentence
+    cells, doc, made = [], [], 0
+    for lo, h, s, r in parts():
+        near = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        true = vocabulary[near] == h
+        cells.append(np.unique((s[true] + made) * len(vocabulary) + near[true]))
+        doc.append(r + lo)
+        made += len(r)
+    cells, d = np.concatenate(cells), np.concatenate(doc)
     cell_s, cell_w = cells // len(candidates), cells % len(candidates)
     weight = np.where(y == 1, 0.5 / total[1], 0.5 / total[0])
     # start from the frequencies: words of label 1 alone carry it
@@ -119,11 +133,15 @@ def fit(texts: list[str], labels: list[int], max_vocabulary: int = MAX_VOCABULAR
         seen_b += gb * gb
         w -= 0.3 * gw / np.sqrt(seen_w)
         b -= 0.3 * gb / np.sqrt(seen_b)
-    return ToxicityModel(known[candidates], w, float(b))
+    return ToxicityModel(vocabulary, w, float(b))
+
 
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_per_label: int = MAX_PER_LABEL, max_training_bytes: int = MAX_TRAINING_BYTES, **options) -> ToxicityModel:
+    """A model from the labelled rows of docs: at most max_per_label of either label, those whose texts hash lowest.
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_per_label: int = MAX_PER_LABEL, **options) -> ToxicityModel:
-    """A model from the labelled rows of docs: at most max_per_label of either label, those whose texts hash lowest."""
+    Texts of more than max_training_bytes are scored like all, but not learned from.
+    """
+    docs = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= max_training_bytes)
     marked = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_order")).join(
         labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).alias("_label")).distinct(), "_key"
     )
