@@ -353,7 +353,7 @@ def groups(docs: DataFrame, frequent: np.ndarray, blocks: int, ngram: int = NGRA
 
     def deal(batch: pa.RecordBatch):
         bits = _bits(held.value)
-        for lo, hi, data, offsets in W.chunks(batch.column(0), 16 << 20):
+        for lo, hi, data, offsets in W.chunks(batch.column(0), 8 << 20):
             hashes, _, _, first = W.words(data, offsets, W.BLANK_SEPARATED)
             sets = W.shingles(hashes, first, ngram)
             keys = set_keys(sets)
@@ -431,7 +431,7 @@ def links(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tupl
         column = _texts(batch, "text")
         want = _texts(batch, "wanted").to_pylist()
         where = _texts(batch, "groups").to_pylist()
-        for lo, hi, data, offsets in W.chunks(column, 16 << 20):
+        for lo, hi, data, offsets in W.chunks(column, 8 << 20):
             hashes, _, _, first = W.words(data, offsets, W.BLANK_SEPARATED)
             sets = W.shingles(hashes, first, ngram)
             out = [], [], [], [], []
