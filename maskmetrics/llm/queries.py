@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, language_id, language_model, mixing, ngram_join, pii, sharding, topk, toxicity, warc
 from .common import crc_remainder
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +75,3 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
