@@ -63,6 +63,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has columns of (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_remainder(column: str, modulus: int):
     """crc32 of a column as text, modulo; null where the column is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

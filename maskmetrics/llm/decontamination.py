@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import per_batch
+from .common import per_batch, unused
 
 WINDOW = 10
 MAX_ITEM_WORDS = 400_000
@@ -291,17 +291,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, text
     The columns are docs' own; where n_chars is among them, it is counted anew for the texts that were cut. A document
     without a hit is kept byte for byte.
     """
-    found = findings(docs, benchmark, text=text, found="_found", **options)
-    kept = found.where(hit_words() <= F.lit(max_coverage) * F.greatest(F.col("_found.n_words"), F.lit(1)))
+    name, cut_text = unused(docs, "_found", "_cut")
+    found = findings(docs, benchmark, text=text, found=name, **options)
+    kept = found.where(hit_words(name) <= F.lit(max_coverage) * F.greatest(F.col(f"{name}.n_words"), F.lit(1)))
     raw = F.col(text).cast("binary")
     # pieces between the spans; substring() of binary counts bytes, from 1
-    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.col("_found.spans.end"))
-    begins = F.concat(F.col("_found.spans.start"), F.array(F.octet_length(text).cast("bigint")))
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.col(f"{name}.spans.end"))
+    begins = F.concat(F.col(f"{name}.spans.start"), F.array(F.octet_length(text).cast("bigint")))
     pieces = F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda p: F.decode(F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), "UTF-8"))
-    cut = F.when(F.size("_found.spans") > 0, F.array_join(pieces, "")).otherwise(F.col(text))
+    cut = F.when(F.size(f"{name}.spans") > 0, F.array_join(pieces, "")).otherwise(F.col(text))
     # under a name of its own first: a later expression over `text` would else see the cut text
-    kept = kept.withColumn("_cut", cut)
-    columns = {text: F.col("_cut")}
+    kept = kept.withColumn(cut_text, cut)
+    columns = {text: F.col(cut_text)}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.size("_found.spans") > 0, F.length("_cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        columns["n_chars"] = F.when(F.size(f"{name}.spans") > 0, F.length(cut_text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.select([columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

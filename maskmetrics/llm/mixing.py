@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, partitions
+from .common import materialised, partitions, unused
 
 EXPONENT = 0.5
 SEED = 17
@@ -70,16 +70,17 @@ def replicate(docs: DataFrame, weights: dict | None = None, exponent: float = EX
     """docs' rows, each as often as drawn, with `copy` (from 1) and `shuffle_key`, by which the result is in order within its partitions."""
     spark = docs.sparkSession
     found = materialised(with_distribution(rates(docs, weights, exponent, epochs, source, text)), "rates")
-    found = found.select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("distribution").alias("_distribution"))
+    of, parts, distribution, name, times = unused(docs, "_source", "_parts", "_distribution", "_id", "_times")
+    found = found.select(F.col("source").alias(of), F.col("parts").alias(parts), F.col("distribution").alias(distribution))
     identity = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    rows = docs.join(found, docs[source].eqNullSafe(found["_source"])).withColumn("_id", identity)
+    rows = docs.join(found, docs[source].eqNullSafe(found[of])).withColumn(name, identity)
     draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("_parts")),
+        F.sequence(F.lit(1), F.col(parts)),
         F.lit(0),
-        lambda n, i: n + F.size(F.filter(F.col("_distribution"), lambda f: f <= uniform(F.lit(str(seed)), F.col("_id"), i.cast("string")))),
+        lambda n, i: n + F.size(F.filter(F.col(distribution), lambda f: f <= uniform(F.lit(str(seed)), F.col(name), i.cast("string")))),
     )
-    rows = rows.withColumn("_times", draw).where("_times > 0")
-    copies = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col("_id"), F.col(copy).cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    rows = rows.withColumn(times, draw).where(F.col(times) > 0)
+    copies = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col(name), F.col(copy).cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
     copies = copies.withColumn(order, hashed).select(*(c for c in docs.columns if c not in (copy, order)), copy, order)
     return copies.repartition(partitions(spark), order).sortWithinPartitions(order)

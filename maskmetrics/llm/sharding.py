@@ -8,7 +8,8 @@ by another hash, counted by bucket, and numbered within the bucket from the sum
 is a count for each shard and bucket, bounded by shards * buckets.
 
 Cases: a null key is hashed as a key of its own. A null text has no bytes: size 1 and the checksum of nothing, 0. Equal keys
-share a shard; repeated rows have slots of their own. Columns of the input other than key and text aren't touched.
+share a shard; repeated rows have slots of their own. Columns of the input named as the added ones give way to them; no other
+is touched.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import unused
+
 BUCKETS = 2048
 _LOW = 0xFFFFFFFF
 #: The multiplier of the published jump function's 64-bit linear congruential generator.
@@ -62,17 +65,18 @@ def key_of(column: str) -> Column:
 
 def assign(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard (its shard if there were one more)."""
+    jumped, at, within_bucket, first_slot = unused(docs, "_jump", "_bucket", "_within", "_first")
     bucket = F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)).cast("int")
 
     def sharded(df: DataFrame) -> DataFrame:
-        return df.withColumn("_jump", jump(key_of(key), shards, shards + 1)).withColumns({"shard": F.col(f"_jump.n{shards}").cast("int"), "_bucket": bucket})
+        return df.withColumn(jumped, jump(key_of(key), shards, shards + 1)).withColumns({"shard": F.col(f"{jumped}.n{shards}").cast("int"), at: bucket})
 
-    counted = sharded(docs.select(key)).groupBy("shard", "_bucket").agg(F.count("*").alias("_count"))
-    before = F.sum("_count").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    first = counted.select("shard", "_bucket", F.coalesce(before, _long(0)).alias("_first"))
+    counted = sharded(docs.select(key)).groupBy("shard", at).agg(F.count("*").alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy("shard").orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    first = counted.select("shard", at, F.coalesce(before, _long(0)).alias(first_slot))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = sharded(docs).withColumns(
-        {"size": F.octet_length(raw).cast("bigint") + 1, "text_crc32": F.crc32(raw), "law": F.lit("key"), "grown_shard": F.col(f"_jump.n{shards + 1}").cast("int")}
+        {"size": F.octet_length(raw).cast("bigint") + 1, "text_crc32": F.crc32(raw), "law": F.lit("key"), "grown_shard": F.col(f"{jumped}.n{shards + 1}").cast("int")}
     )
-    within = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(key, "text_crc32", "size")).cast("bigint") - 1
-    return rows.withColumn("_within", within).join(F.broadcast(first), ["shard", "_bucket"]).withColumn("slot", F.col("_first") + F.col("_within")).drop("_jump", "_bucket", "_within", "_first")
+    within = F.row_number().over(Window.partitionBy("shard", at).orderBy(key, "text_crc32", "size")).cast("bigint") - 1
+    return rows.withColumn(within_bucket, within).join(F.broadcast(first), ["shard", at]).withColumn("slot", F.col(first_slot) + F.col(within_bucket)).drop(jumped, at, within_bucket, first_slot)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import per_batch
+from .common import per_batch, unused
 
 MAX_PER_LABEL = 2000
 MAX_TRAINING_BYTES = 1 << 17
@@ -202,4 +202,5 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", sentences_
 
 def clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """docs without those that score at least threshold."""
-    return scored(docs, model, text, score="_score").where(F.col("_score") < threshold).drop("_score")
+    (score,) = unused(docs, "_score")
+    return scored(docs, model, text, score=score).where(F.col(score) < threshold).drop(score)
