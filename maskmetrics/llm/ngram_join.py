@@ -12,7 +12,9 @@ n - ceil(t n) + 1 of either (prefix filter), so those alone are dealt out over t
    Groups are lists of members, never lists of pairs: rows grow with the members.
 3. within a group, the parities of the n-grams' numbers by residue of their hashes (a bit for each n-gram, about) bound from
    below in how many n-grams two sets differ. Members that no other can be linked with leave; the rest falls into parts.
-   A group of more than `block` members is split into blocks first, and every two blocks meet with the pivot beside them.
+   A group of more than `block` members is split into blocks first, with the pivot in each. When the classes of these links
+   are known, those of a large group that aren't of its most numerous class meet all its members, block by block: two of
+   that class need no link any more. So a third of all documents as near copies of one text costs about its members.
    The sets of what is left are fetched (one text for each distinct set), and each part is joined in a prefix tree.
 4. in the tree, a set walks down from the root, counting its overlap with a shared path once for all sets below. A subtree
    is left when the overlap so far plus what can remain, bounded by the remaining lengths, is too small for every size in
@@ -34,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, drop_path, materialised, new_path, partitions, per_batch
+from .common import components, materialised, partitions, per_batch
 
 NGRAM = 5
 SIMILARITY = (75, 100)
 FREQUENT = 1 / 500
-BLOCK = 8192
+BLOCK = 1024
 _KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -241,8 +243,8 @@ class PrefixTree:
         return found
 
 
-def join_group(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that make the classes of all pairs of sets (of hashes) with the similarity; equal sets must not repeat."""
+def join_group(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that make the classes of all pairs of sets (of hashes) with the similarity, beside the classes known; equal sets must not repeat."""
     if len(sets) < 2:
         return []
     flat = np.concatenate(sets)
@@ -251,7 +253,7 @@ def join_group(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY)
     by_frequency[np.argsort(count, kind="stable")] = np.arange(len(known), dtype=np.int32)
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
     ranks = by_frequency[rank]
-    return PrefixTree([np.sort(ranks[a:b]) for a, b in zip(at[:-1], at[1:])], len(known)).links(similarity)
+    return PrefixTree([np.sort(ranks[a:b]) for a, b in zip(at[:-1], at[1:])], len(known)).links(similarity, joined)
 
 
 _NODE = np.dtype([("key", _KEY), ("n", "<u4")])
@@ -397,96 +399,115 @@ def groups(docs: DataFrame, frequent: np.ndarray, blocks: int, ngram: int = NGRA
     return dealt.groupBy("block").applyInArrow(gather, "pivot binary, key binary").distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(a, b): keys of sets linked directly, enough of them to make the classes of all links. docs: doc_id, text."""
-    spark = docs.sparkSession
-    members = materialised(groups(docs, _ranked(rows), 4 * partitions(spark), ngram, similarity), "members")
-    nodes = rows.where("kind = 'd' AND doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    members = members.join(nodes, "key")
-    # a group of more than `block` members: every two of its blocks meet, with the pivot beside them
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")).where("parts > 1")
-    members = members.join(sizes, "pivot", "left").fillna(1, ["parts"])
-    last = F.col("parts") - 1
-    mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    all_pairs = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    own = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    members = members.withColumn("to", F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).when(F.col("key") == F.col("pivot"), all_pairs).otherwise(own))
-    dealt = members.withColumn("to", F.explode("to")).select("pivot", "to.i", "to.j", "key", "doc_id", "n", "bits")
+def _joined(docs: DataFrame, dealt: DataFrame, ngram: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): links between the members of each (pivot, i, j) of dealt that are of different classes, enough to make all their classes.
+
+    dealt: pivot, i, j, key, doc_id, n, bits, class (what is known of the member's class; its key, if nothing).
+    """
 
     def could_link(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_pylist()
-        label = possible(table["n"].to_numpy(), table["bits"].to_pylist(), similarity)
+        keys, known = table["key"].to_pylist(), table["class"].to_pylist()
+        label = possible(table["n"].to_numpy(), table["bits"].to_pylist(), similarity).tolist()
         least: dict[int, bytes] = {}
-        number: dict[int, int] = {}
-        for k, l in zip(keys, label.tolist()):
+        several: dict[int, set] = {}
+        for k, c, l in zip(keys, known, label):
             least[l] = min(k, least.get(l, k))
-            number[l] = number.get(l, 0) + 1
-        at = [i for i, l in enumerate(label.tolist()) if number[l] > 1]
-        return pa.table({"pivot": pa.array([least[int(label[i])] for i in at], pa.binary()), **{c: table[c].take(pa.array(at, pa.int64())) for c in ("i", "j", "key", "doc_id")}})
+            several.setdefault(l, set()).add(c)
+        at = [i for i, l in enumerate(label) if len(several[l]) > 1]
+        return pa.table({"pivot": pa.array([least[label[i]] for i in at], pa.binary()), **{c: table[c].take(pa.array(at, pa.int64())) for c in ("i", "j", "key", "doc_id", "class")}})
+
+    left = dealt.groupBy("pivot", "i", "j").applyInArrow(could_link, "pivot binary, i int, j int, key binary, doc_id bigint, class binary").distinct()
+    wanted = left.groupBy("doc_id", "key", "class").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("groups")).withColumnRenamed("key", "wanted")
+    kinds = {"pivot": pa.binary(), "i": pa.int32(), "j": pa.int32(), "key": pa.binary(), "class": pa.binary(), "grams": pa.binary()}
 
-    left = dealt.groupBy("pivot", "i", "j").applyInArrow(could_link, "pivot binary, i int, j int, key binary, doc_id bigint").distinct()
-    wanted = left.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("groups")).withColumnRenamed("key", "wanted")
+    def members(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds.values())], names=[*kinds])
 
     def fetch(batch: pa.RecordBatch):
-        column = _texts(batch, "text")
-        want = _texts(batch, "wanted").to_pylist()
-        where = _texts(batch, "groups").to_pylist()
-        for lo, hi, data, offsets in W.chunks(column, 8 << 20):
+        want, known, where = (_texts(batch, name).to_pylist() for name in ("wanted", "class", "groups"))
+        for lo, hi, data, offsets in W.chunks(_texts(batch, "text"), 8 << 20):
             hashes, _, _, first = W.words(data, offsets, W.BLANK_SEPARATED)
             sets = W.shingles(hashes, first, ngram)
-            out = [], [], [], [], []
-            size = 0
+            out, size = [], 0
             for i, (s, key) in enumerate(zip(sets, key_bytes(set_keys(sets))), lo):
                 if key != want[i]:
                     continue
                 packed = s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # 48 bits of each: apart within any two sets
                 for g in where[i]:
-                    for store, x in zip(out, (*g.values(), key, packed)):
-                        store.append(x)
+                    out.append((*g.values(), key, known[i], packed))
                     size += len(packed)
-                if size > 16 << 20:
-                    yield _members(out)
-                    out, size = ([], [], [], [], []), 0
-            if out[0]:
-                yield _members(out)
-
-    def _members(out):
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["pivot", "i", "j", "key", "grams"])
+                    if size > 16 << 20:
+                        yield members(out)
+                        out, size = [], 0
+            if out:
+                yield members(out)
 
     def join(table: pa.Table) -> pa.Table:
         keys = table["key"].to_pylist()
         first = {k: i for i, k in reversed([*enumerate(keys)])}  # repeated rows of a doc_id
         at = sorted(first.values())
-        packed = [np.frombuffer(table["grams"][i].as_buffer(), np.uint8).reshape(-1, 6) for i in at]
         sets = []
-        for x in packed:
-            wide = np.zeros((len(x), 8), np.uint8)
-            wide[:, 2:] = x
+        for i in at:
+            packed = np.frombuffer(table["grams"][i].as_buffer(), np.uint8).reshape(-1, 6)
+            wide = np.zeros((len(packed), 8), np.uint8)
+            wide[:, 2:] = packed
             sets.append(wide.reshape(-1).view(np.uint64))
-        found = join_group(sets, similarity)
+        number: dict[bytes, int] = {}
+        known = np.array([number.setdefault(table["class"][i].as_py(), len(number)) for i in at], np.int64)
+        found = join_group(sets, similarity, known)
         return pa.table({"a": pa.array([keys[at[x]] for x, _ in found], pa.binary()), "b": pa.array([keys[at[y]] for _, y in found], pa.binary())})
 
-    fetched = docs.join(wanted, "doc_id").select("text", "wanted", "groups").mapInArrow(per_batch(fetch), "pivot binary, i int, j int, key binary, grams binary")
-    return fetched.groupBy("pivot", "i", "j").applyInArrow(join, "a binary, b binary")
+    fetched = docs.join(wanted, "doc_id").select("text", "wanted", "class", "groups").mapInArrow(per_batch(fetch), "pivot binary, i int, j int, key binary, class binary, grams binary")
+    return fetched.groupBy("pivot", "i", "j").applyInArrow(join, "a binary, b binary").select(F.hex("a").alias("a"), F.hex("b").alias("b"))
+
+
+def _every(column: str):
+    return F.sequence(F.lit(0), F.col(column) - 1)
+
+
+def linked(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(node, component): the keys of sets (as hexadecimal digits) that are linked, and the least that links reach. docs: doc_id, text."""
+    spark = docs.sparkSession
+    members = materialised(groups(docs, _ranked(rows), 4 * partitions(spark), ngram, similarity), "members")
+    nodes = rows.where("kind = 'd' AND doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    dealt = lambda df: df.withColumn("to", F.explode("to")).select("pivot", "to.i", "to.j", "key", "doc_id", "n", "bits", "class")
+    # first, members meet in their own block, and the pivot in all blocks
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")).where("parts > 1")
+    own = lambda parts, name: F.pmod(F.xxhash64("key", F.lit(name)), F.col(parts)).cast("int")
+    placed = members.join(nodes, "key").join(sizes, "pivot", "left").fillna(1, ["parts"]).withColumn("class", F.col("key"))
+    alone = F.transform(F.when(F.col("key") == F.col("pivot"), _every("parts")).otherwise(F.array(own("parts", "member"))), lambda i: pair(i, i))
+    first = materialised(_joined(docs, dealt(placed.withColumn("to", alone)), ngram, similarity), "links")
+    found = components(first)
+    if sizes.isEmpty():
+        return found
+    # then those of a large group that aren't of its most numerous class meet all its members; two of that class need not meet
+    found = materialised(found, "classes")
+    large = members.join(sizes, "pivot").withColumn("node", F.hex("key")).join(found, "node", "left").withColumn("class", F.coalesce(F.unhex("component"), "key")).select("pivot", "parts", "key", "class")
+    large = materialised(large, "large")
+    counted = large.groupBy("pivot", "class").count()
+    most = counted.groupBy("pivot").agg(F.max_by("class", F.struct("count", "class")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("in_most"))
+    most = most.where("all > in_most").select("pivot", "most", F.ceil((F.col("all") - F.col("in_most")) / F.lit(block)).cast("int").alias("rest"))
+    open_groups = large.join(most, "pivot").join(nodes, "key")
+    as_member = F.transform(_every("rest"), lambda i: pair(i, own("parts", "member")))
+    as_other = F.transform(_every("parts"), lambda j: pair(own("rest", "other"), j))
+    to = F.when(F.col("class") == F.col("most"), as_member).otherwise(F.array_distinct(F.concat(as_member, as_other)))
+    second = materialised(_joined(docs, dealt(open_groups.withColumn("to", to)), ngram, similarity), "links")
+    if second.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, similarity: tuple[int, int] = SIMILARITY, frequent: float = FREQUENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: the smallest doc_id that links of the similarity reach."""
-    spark = docs.sparkSession
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = materialised(document_sets(narrow, ngram, frequent), "sets")
-    path = new_path(spark, "links")
-    links(narrow, rows, ngram, similarity, block).write.parquet(path)
-    found = spark.read.schema("a binary, b binary").parquet(path).select(F.hex("a").alias("a"), F.hex("b").alias("b"))
+    found = linked(narrow, rows, ngram, similarity, block)
     own = rows.where("kind = 'd'").select("doc_id", F.col("n").alias("n_shingles"), F.hex("key").alias("key"))
     least = own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    if found.isEmpty():
-        of = least.withColumn("component_id", F.col("least"))
-    else:
-        linked = components(found)
-        of = least.join(linked, least["key"] == linked["node"], "left").select("key", "least", F.coalesce("component", "key").alias("component"))
-        tops = of.groupBy("component").agg(F.min("least").alias("component_id"))
-        of = of.join(tops, "component")
+    of = least.join(found, least["key"] == found["node"], "left").select("key", "least", F.coalesce("component", "key").alias("component"))
+    tops = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = of.join(tops, "component")
     out = own.join(of.select("key", "component_id"), "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

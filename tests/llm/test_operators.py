@@ -174,7 +174,7 @@ def test_ngram_join(spark):
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    for block in (8192, 5):
+    for block in (1024, 5, 2):
         out = {r["doc_id"]: r for r in J.classes(frame(spark, texts), block=block).collect()}
         assert [out[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
         assert [out[i]["component_id"] for i in range(len(texts))] == components(sets)
