@@ -173,10 +173,7 @@ class PrefixTree:
         """The tree of the sorted sets' common prefix lengths, with one pass and a stack, as for a suffix tree."""
         stack: list[list] = [[0, 0, []]]  # depth of a branching, its first set, its children (node ids yet without a top)
         for i in range(len(self.sets)):
-            leaf, depth = self._node(i, i + 1, 0, len(self.sets[i]), []), len(self.sets[i])
-            first, last = i, leaf
-            if stack[-1][0] < depth or not stack[-1][2]:
-                pass
+            first, last = i, self._node(i, i + 1, 0, len(self.sets[i]), [])
             nxt = shared[i + 1]
             while stack[-1][0] > nxt:
                 d, f, kids = stack.pop()
@@ -416,7 +413,8 @@ def _joined(docs: DataFrame, dealt: DataFrame, ngram: int, similarity: tuple[int
         at = [i for i, l in enumerate(label) if len(several[l]) > 1]
         return pa.table({"pivot": pa.array([least[label[i]] for i in at], pa.binary()), **{c: table[c].take(pa.array(at, pa.int64())) for c in ("i", "j", "key", "doc_id", "class")}})
 
-    left = dealt.groupBy("pivot", "i", "j").applyInArrow(could_link, "pivot binary, i int, j int, key binary, doc_id bigint, class binary").distinct()
+    # dealt by block, even where a join has dealt by pivot before: that would do for groupBy, with all blocks in one task
+    left = dealt.repartition("pivot", "i", "j").groupBy("pivot", "i", "j").applyInArrow(could_link, "pivot binary, i int, j int, key binary, doc_id bigint, class binary").distinct()
     wanted = left.groupBy("doc_id", "key", "class").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("groups")).withColumnRenamed("key", "wanted")
     kinds = {"pivot": pa.binary(), "i": pa.int32(), "j": pa.int32(), "key": pa.binary(), "class": pa.binary(), "grams": pa.binary()}
 
@@ -473,7 +471,8 @@ def linked(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tup
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     dealt = lambda df: df.withColumn("to", F.explode("to")).select("pivot", "to.i", "to.j", "key", "doc_id", "n", "bits", "class")
     # first, members meet in their own block, and the pivot in all blocks
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")).where("parts > 1")
+    # (written, so that its size is known and Spark broadcasts it only below its threshold)
+    sizes = materialised(members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")).where("parts > 1"), "sizes")
     own = lambda parts, name: F.pmod(F.xxhash64("key", F.lit(name)), F.col(parts)).cast("int")
     placed = members.join(nodes, "key").join(sizes, "pivot", "left").fillna(1, ["parts"]).withColumn("class", F.col("key"))
     alone = F.transform(F.when(F.col("key") == F.col("pivot"), _every("parts")).otherwise(F.array(own("parts", "member"))), lambda i: pair(i, i))
@@ -487,7 +486,7 @@ def linked(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tup
     large = materialised(large, "large")
     counted = large.groupBy("pivot", "class").count()
     most = counted.groupBy("pivot").agg(F.max_by("class", F.struct("count", "class")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("in_most"))
-    most = most.where("all > in_most").select("pivot", "most", F.ceil((F.col("all") - F.col("in_most")) / F.lit(block)).cast("int").alias("rest"))
+    most = materialised(most.where("all > in_most").select("pivot", "most", F.ceil((F.col("all") - F.col("in_most")) / F.lit(block)).cast("int").alias("rest")), "most")
     open_groups = large.join(most, "pivot").join(nodes, "key")
     as_member = F.transform(_every("rest"), lambda i: pair(i, own("parts", "member")))
     as_other = F.transform(_every("parts"), lambda j: pair(own("rest", "other"), j))
