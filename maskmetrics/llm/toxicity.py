@@ -1,14 +1,16 @@
 """Toxicity by multiple-instance learning: sentences are the instances, a document is the bag.
 
-A sentence's probability is logistic in the words it holds; a document's is the noisy-or of its sentences',
-1 - prod(1 - p). Only document labels are learned from; the gradient of the noisy-or shares the blame among the sentences.
-The fitted sentence scores then locate the offending sentences.
-
-Scale: the classifier is fitted on at most `max_per_label` labelled rows of either label, chosen by a hash of the text, and
-on at most `max_vocabulary` words of them, from texts of at most `max_training_bytes`; these parameters bound what reaches
-the driver. What is shipped back is
-a weight for each of these words. Scoring is one scan of all documents, whole texts, without a shuffle. Labels are joined
-by key in a shuffle of their own, so a hot source changes nothing.
+A sentence's log-odds are the bias and its evidence, the weights of the words it holds. A document's probability is a
+noisy-or, 1 - exp(-H): H is the bias's hazard once for the document, log(1 + e^b), and for each sentence whose evidence is at
+least EVIDENCE what its own hazard exceeds that by. Sentences without evidence add nothing, so a text's length alone doesn't
+raise its score. Only document labels are learned from; the gradient shares the blame among the sentences. The fitted
+sentence scores then locate the offending sentences.
+
+Scale: the classifier is fitted on at most `max_per_label` labelled rows of either label, chosen by a hash of the text,
+whatever their length, and on at most `max_vocabulary` words of them. Their words are found and counted on the executors;
+what reaches the driver are the vocabulary and the cells (sentence, word of the vocabulary) of these rows, never a text. What
+is shipped back is a weight for each of these words. Scoring is one scan of all documents, whole texts, without a shuffle.
+Labels are joined by key in a shuffle of their own, so a hot source changes nothing.
 
 Cases: a null or empty text has no sentence and so the score 0. Rows without a label, or whose label is null, don't train.
 With no labelled rows, or none of one label, the model knows no word and every score is its bias's. Repeated rows are each
@@ -25,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import per_batch, unused
+from .common import drop_path, new_path, per_batch, unused
 
 MAX_PER_LABEL = 2000
-MAX_TRAINING_BYTES = 1 << 17
 MAX_VOCABULARY = 20_000
 THRESHOLD = 0.7
+EVIDENCE = 1.0
 _END = W.byte_class(lambda b: b in b".!?\n")
 
 
@@ -62,73 +64,49 @@ def sentence_words(column: pa.Array):
         yield lo, hi, hashes, sentence, row[begins], spans
 
 
-def _log_not(z: np.ndarray) -> np.ndarray:
-    """log(1 - sigmoid(z))"""
-    return -np.logaddexp(0, z)
+def _hazards(evidence: np.ndarray, bias: float) -> np.ndarray:
+    """What sentences of that evidence add to -log(1 - P)."""
+    return np.where(evidence >= EVIDENCE, np.logaddexp(0, bias + evidence) - np.logaddexp(0, bias), 0.0)
+
 
+def _near(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted vocabulary, whether it is that word) of each hash."""
+    near = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return near, vocabulary[near] == hashes
 
-def fit(texts: list[str], labels: list[int], max_vocabulary: int = MAX_VOCABULARY, steps: int = 300, l2: float = 1e-4, prune: float = 3.0) -> ToxicityModel:
+
+def document_words(column: pa.Array):
+    """(row, word hashes, the sentence of each) for each text that has a word; a word stands once in a sentence."""
+    for lo, _, hashes, sentence, row, _ in sentence_words(column):
+        order = np.lexsort((hashes, sentence))
+        hashes, sentence = hashes[order], sentence[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (sentence[1:] != sentence[:-1])
+        hashes, sentence = hashes[new], sentence[new]
+        of = row[sentence]
+        begins = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else []
+        for a, z in zip(begins, [*begins[1:], len(of)]):
+            yield lo + int(of[a]), hashes[a:z], sentence[a:z] - sentence[a]
+
+
+def descended(vocabulary: np.ndarray, start: np.ndarray, y: np.ndarray, spoken: np.ndarray, doc: np.ndarray, cell_s: np.ndarray, cell_w: np.ndarray, steps: int = 300, l2: float = 1e-4) -> ToxicityModel:
     """Full-batch gradient descent with Adagrad steps on the noisy-or likelihood, both labels weighted alike.
 
-    The vocabulary: words that stand in two documents at least and whose document frequencies under the two labels differ by
-    `prune` standard errors, the most different first.
+    spoken: the documents with a sentence at all; doc: the document of each sentence that has a word of the vocabulary;
+    cells: that sentence and the word.
     """
-    y = np.array(labels, np.float64)
-    none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -6.0)
-    if not len(y) or y.min() == y.max():
-        return none
-    def parts():
-        for at in range(0, len(texts), 256):
-            for lo, _, h, s, r, _ in sentence_words(pa.array(texts[at : at + 256], pa.string())):
-                yield at + lo, h, s, r
-
-    # first pass: the words of each document once, and in how many documents of either label they stand
-    seen: list[list[np.ndarray]] = [[], []]
-    for lo, h, s, r in parts():
-        for i in np.unique(r).tolist() if len(r) else ():
-            a, b = np.searchsorted(s, [np.searchsorted(r, i), np.searchsorted(r, i, "right")])
-            seen[int(y[lo + i])].append(np.unique(h[a:b]))
-    counted = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for x in seen]
-    del seen
-    known = np.union1d(counted[0][0], counted[1][0])
-    if not len(known):
-        return none
-    with_word = np.zeros((2, len(known)))
-    for k in (0, 1):
-        with_word[k, np.searchsorted(known, counted[k][0])] = counted[k][1]
-    total = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    share = (with_word + 0.5) / (total[:, None] + 1)
-    error = np.sqrt((share * (1 - share) / total[:, None]).sum(0))
-    z = np.abs(share[1] - share[0]) / error
-    candidates = np.flatnonzero((with_word.sum(0) >= 2) & (z >= prune))
-    candidates = np.sort(candidates[np.argsort(-z[candidates], kind="stable")[:max_vocabulary]])
-    if not len(candidates):
-        return none
-    vocabulary = known[candidates]
-    # second pass: which of them stand in which sentence
-    cells, doc, made = [], [], 0
-    for lo, h, s, r in parts():
-        near = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        true = vocabulary[near] == h
-        cells.append(np.unique((s[true] + made) * len(vocabulary) + near[true]))
-        doc.append(r + lo)
-        made += len(r)
-    cells, d = np.concatenate(cells), np.concatenate(doc)
-    cell_s, cell_w = cells // len(candidates), cells % len(candidates)
-    weight = np.where(y == 1, 0.5 / total[1], 0.5 / total[0])
-    # start from the frequencies: words of label 1 alone carry it
-    w = np.clip(np.log(share[1, candidates] / share[0, candidates]), -2, 4)
-    b = -6.0
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    w, b = start.copy(), -6.0
     seen_w, seen_b = np.full(len(w), 1e-8), 1e-8
     for _ in range(steps):
-        score = b + np.bincount(cell_s, w[cell_w], made)
-        p = 1 / (1 + np.exp(-score))
-        log_none = np.bincount(d, _log_not(score), len(y))
-        bag = -np.expm1(log_none)
-        # d loss / d score of a sentence: p for label 0; -p (1 - P) / P for label 1
-        gradient = weight[d] * np.where(y[d] == 1, -p * np.exp(log_none[d]) / np.maximum(bag[d], 1e-9), p)
-        gw = np.bincount(cell_w, gradient[cell_s], len(w)) + l2 * w
-        gb = gradient.sum()
+        evidence = np.bincount(cell_s, w[cell_w], len(doc))
+        leak, p = 1 / (1 + np.exp(-b)), 1 / (1 + np.exp(-b - evidence))
+        hazard = np.where(spoken, np.logaddexp(0, b), 0.0) + np.bincount(doc, _hazards(evidence, b), len(y))
+        # d loss / d hazard: 1 for label 0; -(1 - P) / P for label 1
+        gradient = weight * np.where(y == 1, -np.exp(-hazard) / np.maximum(-np.expm1(-hazard), 1e-9), 1.0)
+        active = evidence >= EVIDENCE
+        gw = np.bincount(cell_w, (gradient[doc] * p * active)[cell_s], len(w)) + l2 * w
+        gb = (gradient * spoken).sum() * leak + (gradient[doc] * (p - leak) * active).sum()
         seen_w += gw * gw
         seen_b += gb * gb
         w -= 0.3 * gw / np.sqrt(seen_w)
@@ -136,14 +114,16 @@ def fit(texts: list[str], labels: list[int], max_vocabulary: int = MAX_VOCABULAR
     return ToxicityModel(vocabulary, w, float(b))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_per_label: int = MAX_PER_LABEL, max_training_bytes: int = MAX_TRAINING_BYTES, **options) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_per_label: int = MAX_PER_LABEL, max_vocabulary: int = MAX_VOCABULARY, prune: float = 3.0, **options) -> ToxicityModel:
     """A model from the labelled rows of docs: at most max_per_label of either label, those whose texts hash lowest.
 
-    Texts of more than max_training_bytes are scored like all, but not learned from.
+    The vocabulary: words that stand in two documents at least and whose document frequencies under the two labels differ by
+    `prune` standard errors, the most different first.
     """
-    docs = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= max_training_bytes)
+    spark = docs.sparkSession
+    none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -6.0)
     marked = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_order")).join(
-        labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).alias("_label")).distinct(), "_key"
+        labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).distinct(), "_key"
     )
     chosen = None
     for k in (0, 1):  # a top-k by order is merged from partial ones; only keys and hashes reach the driver
@@ -152,12 +132,78 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     rows = (
         docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_order"), F.col(text).alias("_text"))
         .join(F.broadcast(chosen), ["_key", "_order"])  # at most 2 * max_per_label rows
-        .select("_key", "_order", "_label", "_text")
         .dropDuplicates(["_key", "_order", "_label"])
-        .collect()
+        .select("_order", F.col("_key").cast("string").alias("_name"), "_label", "_text")
     )
-    rows.sort(key=lambda r: (r["_order"], str(r["_key"]), r["_label"]))
-    return fit([r["_text"] or "" for r in rows], [r["_label"] for r in rows], **options)
+
+    def words(batch: pa.RecordBatch):
+        n, at = batch.num_rows, 0
+        hashes, sentences = [b""] * n, [b""] * n
+        for i, h, s in document_words(batch.column(3)):
+            hashes[i], sentences[i] = h.tobytes(), s.astype(np.int64).tobytes()
+        while at < n:  # rows of long texts apart
+            z, size = at + 1, len(hashes[at])
+            while z < n and size + len(hashes[z]) < 1 << 24:
+                size += len(hashes[z])
+                z += 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, z - at) for i in range(3)), pa.array(hashes[at:z], pa.binary()), pa.array(sentences[at:z], pa.binary())], names=["_order", "_name", "_label", "words", "sentences"])
+            at = z
+
+    def counted(batch: pa.RecordBatch):
+        for k in (0, 1):
+            mine = [np.unique(np.frombuffer(x.as_buffer(), np.uint64)) for x, y in zip(batch.column(1), batch.column(0).to_pylist()) if y == k]
+            if mine:
+                word, times = np.unique(np.concatenate(mine), return_counts=True)
+                zero = np.zeros(len(word), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(zero if k else times), pa.array(times if k else zero)], names=["word", "clean", "toxic"])
+
+    path = new_path(spark, "labelled")
+    rows.mapInArrow(per_batch(words), "_order bigint, _name string, _label int, words binary, sentences binary").write.parquet(path)
+    try:
+        kept = spark.read.parquet(path)
+        total = dict(kept.groupBy("_label").count().collect())
+        if len(total) < 2:
+            return none
+        # first pass: in how many documents of either label each word stands
+        frequencies = kept.select("_label", "words").mapInArrow(per_batch(counted), "word bigint, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        share = [(F.col(c) + 0.5) / F.lit(float(total[k] + 1)) for k, c in enumerate(("clean", "toxic"))]
+        error = F.sqrt(share[0] * (1 - share[0]) / F.lit(float(total[0])) + share[1] * (1 - share[1]) / F.lit(float(total[1])))
+        z = F.abs(share[1] - share[0]) / error
+        best = frequencies.where("clean + toxic >= 2").select("word", share[0].alias("s0"), share[1].alias("s1"), z.alias("z")).where(F.col("z") >= prune).orderBy(F.desc("z"), "word").limit(max_vocabulary).collect()
+        if not best:
+            return none
+        vocabulary = np.array([r["word"] for r in best], np.int64).view(np.uint64)
+        # start from the frequencies: words of label 1 alone carry it
+        start = np.clip(np.log([r["s1"] / r["s0"] for r in best]), -2, 4)
+        order = np.argsort(vocabulary)
+        vocabulary, start = vocabulary[order], start[order]
+        held = spark.sparkContext.broadcast(vocabulary)
+
+        # second pass: which of them stand in which sentence
+        def cells(batch: pa.RecordBatch):
+            at, of = [], []
+            for h, s in zip(batch.column(3), batch.column(4)):
+                near, true = _near(held.value, np.frombuffer(h.as_buffer(), np.uint64))
+                at.append(near[true].astype(np.int32).tobytes())
+                of.append(np.frombuffer(s.as_buffer(), np.int64)[true].tobytes())
+            spoken = [len(h.as_buffer()) > 0 for h in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(spoken), pa.array(at, pa.binary()), pa.array(of, pa.binary())], names=["_order", "_name", "_label", "spoken", "at", "of"])
+
+        found = kept.select("_order", "_name", "_label", "words", "sentences").mapInArrow(per_batch(cells), "_order bigint, _name string, _label int, spoken boolean, at binary, of binary").toArrow()
+    finally:
+        drop_path(spark, path)
+    names, orders, marks = (found[c].to_pylist() for c in ("_name", "_order", "_label"))
+    in_order = sorted(range(len(names)), key=lambda i: (orders[i], names[i], marks[i]))
+    doc, cell_s, cell_w, made = [], [], [], 0
+    for d, i in enumerate(in_order):
+        sentence, s = np.unique(np.frombuffer(found["of"][i].as_buffer(), np.int64), return_inverse=True)
+        doc.append(np.full(len(sentence), d))
+        cell_s.append(s + made)
+        cell_w.append(np.frombuffer(found["at"][i].as_buffer(), np.int32))
+        made += len(sentence)
+    y = np.array([marks[i] for i in in_order], np.int64)
+    spoken = found["spoken"].to_numpy()[in_order].astype(bool)
+    return descended(vocabulary, start, y, spoken, *(np.concatenate(x).astype(np.int64) for x in (doc, cell_s, cell_w)), **options)
 
 
 def score_batch(column: pa.Array, model: ToxicityModel):
@@ -166,15 +212,16 @@ def score_batch(column: pa.Array, model: ToxicityModel):
     low = np.uint64((1 << 18) - 1)
     bits[(model.words & low).astype(np.int64)] = True
     for lo, hi, hashes, sentence, row, spans in sentence_words(column):
-        z = np.full(len(row), model.bias)
+        evidence = np.zeros(len(row))
         at = np.flatnonzero(bits[(hashes & low).astype(np.int64)])
         if len(at):
-            near = np.minimum(np.searchsorted(model.words, hashes[at]), len(model.words) - 1)
-            true = model.words[near] == hashes[at]
+            near, true = _near(model.words, hashes[at])
             # a word counts once in a sentence
             cells = np.unique(sentence[at[true]] * len(model.words) + near[true])
-            np.add.at(z, cells // len(model.words), model.weights[cells % len(model.words)])
-        yield lo, hi, -np.expm1(np.bincount(row, _log_not(z), hi - lo)), row, spans, z
+            np.add.at(evidence, cells // len(model.words), model.weights[cells % len(model.words)])
+        hazard = np.bincount(row, _hazards(evidence, model.bias), hi - lo).astype(float)
+        hazard[row[np.concatenate(([True], row[1:] != row[:-1]))] if len(row) else row] += np.logaddexp(0, model.bias)
+        yield lo, hi, -np.expm1(-hazard), row, spans, model.bias + evidence
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", sentences_over: float | None = None, score: str = "score", located: str = "sentences") -> DataFrame:

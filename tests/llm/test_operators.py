@@ -129,6 +129,18 @@ def test_toxicity(spark):
     assert len(toxicity.learn(docs, labels.where("toxic = 0")).words) == 0
 
 
+def test_toxicity_does_not_grow_with_length(spark):
+    rng = np.random.default_rng(3)
+    plain = lambda n: " ".join(" ".join(rng.choice([f"w{i}" for i in range(40)], 9)) + "." for _ in range(n))
+    # the sign of label 1 stands in long texts alone, which are learned from like others
+    texts = [plain(2) + (" You scum idiot." if i % 3 == 0 else "") for i in range(90)] + [plain(7000) + " Vermin of vermin." * (i % 2) for i in range(24)]
+    labels = spark.createDataFrame([(i, i % 2 if i >= 90 else int(i % 3 == 0)) for i in range(len(texts))], "doc_id bigint, toxic int")
+    model = toxicity.learn(frame(spark, texts), labels)
+    asked = [plain(20_000), plain(10_000) + " You scum idiot. " + plain(10_000), "w1 w2. Vermin of vermin!", "w1."]
+    out = {r["doc_id"]: r["score"] for r in toxicity.scored(frame(spark, asked), model).collect()}
+    assert out[0] < 0.7 <= min(out[1], out[2]) and out[3] < 0.1
+
+
 def test_pii(spark):
     text = "Born 1987-03-05, 05/03/1987 or 31.12.1999, ssn 123-45-6789, 666-45-6789, ip 10.0.0.1 300.1.1.1 card 4111 1111 1111 1111 4111111111111112 Anna.Bell_7@x.org +44 20 7946 0958 (555) 123-4567 2023-02-30"
     docs = frame(spark, [text, text + " again", *EDGES])
