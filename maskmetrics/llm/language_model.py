@@ -1,25 +1,25 @@
 """A hierarchical Pitman-Yor language model: seatings by Gibbs, scores from averaged predictive probabilities.
 
-A text is its words, A-Z lower-cased, and one end. A token's context is the class of the word before it (the end, at a
-text's start): CONTEXTS classes by hash, so that frequent words have one nearly to themselves and the number of context
-restaurants is bounded. Each context has a restaurant whose parent is one restaurant of all words; that one's parent is
-uniform over the V known words and one unknown. With counts c, tables t and sums over words n, T:
+A text is its words, A-Z lower-cased, and one end. A token's context is the word before it (the end, at a text's start), by
+its 64-bit hash. Each context has a restaurant whose parent is one restaurant of all words; that one's parent is uniform over
+the V known words and one unknown. With counts c, tables t and sums over words n, T:
 
     P(w | u) = (c_uw - d t_uw + (theta + d T_u) P(w)) / (theta + n_u)
     P(w)     = (c_w - d0 t_w + (theta0 + d0 T0) / (V + 1)) / (theta0 + C0),   c_w = sum over u of t_uw
 
-Seating: customers of a dish are seated one by one, then for `burn_in` + `samples` sweeps each is taken out of its table and
-seated again (a new table with weight (theta + d T_u) P(w), an old one by its size less d). After each sweep the parent's
-customers, the tables of the contexts, are seated anew. A dish with more than BUNDLE customers in a restaurant seats them in
-that many equal parties, so that its memory is bounded. Texts are scored with the mean over the sampled seatings of P(w | u).
+Seating: all that the probabilities need of a dish is its number of tables t, whose distribution given the others is
+S_d(c, t) (theta + d T')(theta + d (T' + 1)) ... (theta + d (T' + t - 1)) P(w)^t, T' being the restaurant's other tables and S
+the generalised Stirling numbers. Dishes of up to EXACT customers draw from it; larger ones take STEPS Metropolis steps, with
+S by a short series or its saddle point, so that any number of customers takes the memory of one number. All start with one table; then come
+1 + `burn_in` + `samples` sweeps over the contexts' dishes and then the parent's. In a sweep the dishes of a restaurant move at
+once, given T_u, C0, T0 and P(w) as the sweep before left them, exact over the whole corpus. Texts are scored with the mean
+over the sampled seatings of P(w | u).
 
-Scale: words are dealt out to blocks by hash, with all that any context counts of them; a word's parent numbers are then at
-home, and what is global are two numbers for each of CONTEXTS contexts. Chunks of documents send each block the (word,
-context) pairs that they hold and which of their documents hold them: training counts and questions in one shuffle. The
-block counts, seats and answers with sums for each document, so neither counts nor the vocabulary are ever collected or
-broadcast. A frequent word has at most CONTEXTS pairs. While seating, T_u, C0 and T0 are taken as the block's own times the
-number of blocks; the probabilities use the exact global sums of each sampled seating, so each of them sums to one. The same
-seeds give the same seating wherever a block is worked out again.
+Scale: words are dealt out to blocks by hash, with all contexts that they stand in; a word's parent numbers are then at home.
+Chunks of documents send each block the (word, context) pairs that they hold and which of their documents hold them. After
+each sweep a block sends its tables by context to slices of the contexts, which send the sums back: numbers for each context
+of a block, so neither counts nor contexts nor the vocabulary are ever collected or broadcast. Random numbers are hashes of
+word, context and sweep, so the seating is the same for any number of blocks, and wherever a block is worked out again.
 
 Cases: a null or blank text is one token, its end. Repeated rows are scored each, and count each. Without training rows all
 words are unknown and P is uniform. Extra columns are left alone.
@@ -27,7 +27,9 @@ words are unknown and P is uniform. Extra columns are left alone.
 
 from __future__ import annotations
 
+import math
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import partitions
+from .common import drop_path, new_path, partitions
 
-CONTEXTS = 1 << 16
-BUNDLE = 256
+EXACT = 64
+STEPS = 12
+NEAR, TERMS = 1.5, 40
 CHUNK_TOKENS = 1 << 21
 CHUNK_DOCS = 60_000
 DISCOUNT, STRENGTH = 0.8, 2.0
@@ -47,10 +50,6 @@ ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 END = np.uint64(0x5BD1E9955BD1E995)
 
 
-def context_of(word_hashes: np.ndarray) -> np.ndarray:
-    return (W.mix(word_hashes) >> np.uint64(48)).astype(np.uint16)
-
-
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hash, context, row) of each token of each text."""
     hashes, _, _, first = W.words(data, offsets, W.BLANK_SEPARATED)
@@ -62,7 +61,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     inside[ends] = False
     out[inside] = hashes
     before = np.concatenate(([END], out[:-1]))  # a text's first token follows the end of the one before
-    return out, context_of(before), row
+    return out, before, row
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -125,6 +124,10 @@ class Chunk:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([name] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary()), pa.array(meta, pa.binary())], names=["block", "chunk", "pairs", "meta"])
 
 
+def _pair(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return W.mix(words + contexts * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Block:
     """All pairs of one block's words: the training counts, and which chunk's documents ask for them."""
 
@@ -136,140 +139,180 @@ class Block:
             words.append(np.repeat(w, per_word))
             contexts.append(u)
             flags = np.unpackbits(held, count=len(docs)).astype(bool)
-            token_type = np.repeat(np.arange(len(u), dtype=np.int64), per_type) + at
-            self.asked.append((token_type, local.astype(np.int64), docs, flags))
+            self.asked.append((np.repeat(np.arange(at, at + len(u), dtype=np.int32), per_type), local, docs, flags))
             at += len(u)
         words, contexts = np.concatenate(words), np.concatenate(contexts)
-        _, first, back = np.unique(W.mix(words + contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
-        _, self.word = np.unique(words[first], return_inverse=True)
-        self.context = contexts[first].astype(np.int64)
-        self.n_words = int(self.word.max()) + 1
-        self.asked = [(back[t], local, docs, flags) for t, local, docs, flags in self.asked]
+        _, first, back = np.unique(_pair(words, contexts), return_index=True, return_inverse=True)
+        words, contexts, back = words[first], contexts[first], back.astype(np.int32)
+        self.words, self.word = np.unique(words, return_inverse=True)
+        self.contexts, self.context = np.unique(contexts, return_inverse=True)
         self.count = np.zeros(len(first), np.int64)
-        for t, local, _, flags in self.asked:
+        for i, (t, local, docs, flags) in enumerate(self.asked):
+            t = back[t]
+            self.asked[i] = t, local, docs, flags
             self.count += np.bincount(t[~flags[local]], minlength=len(first))
-        self.word_count = np.bincount(self.word, self.count, self.n_words).astype(np.int64)
-        self.context_count = np.bincount(self.context, self.count, CONTEXTS)
+        self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
+
+
+def _uniform(key: np.ndarray, *salts: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the keys and salts alone."""
+    for x in salts:
+        key = W.mix(key + np.uint64((x + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return ((W.mix(key) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma for x > 0, by Stirling's series above 8."""
+    x = np.asarray(x, np.float64)
+    low = np.maximum(0, np.ceil(8 - x))
+    out = np.zeros_like(x)
+    for i in range(8):
+        out -= np.where(i < low, np.log(np.maximum(x + i, 1e-300)), 0)
+    x = x + low
+    return out + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+@lru_cache
+def _stirling(discount: float) -> np.ndarray:
+    """log S_d(c, t) for c and t up to EXACT."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0
+    for c in range(EXACT):
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore"):
+            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, 0 : c + 1], out[c, 1 : c + 2] + np.log(np.maximum(c - discount * t, 0)))
+    return out
+
+
+@lru_cache
+def _saddle(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By log(c / t - 1): log f(x) - (c / t) log x and the log curvature at the saddle, f(x) = (1 - (1 - x)^d) / d."""
+    y = np.concatenate((-np.expm1(-np.geomspace(1e-7, 1, 4000)), np.exp(-np.linspace(1, 160, 12_000))[1:]))
+    y = np.sort(1 - y[:4000]).tolist() + y[4000:].tolist()
+    y = np.sort(np.unique(np.array(y)))[::-1]
+    x, power = 1 - y, y**discount
+    r = x * discount * power / y / (1 - power)
+    curvature = r * (1 + (1 - discount) * x / y - r)  # x dr/dx
+    good = (r > 1 + 1e-9) & (curvature > 0)
+    x, power, r, curvature = x[good], power[good], r[good], curvature[good]
+    at = np.log(r - 1)
+    order = np.argsort(at)
+    return at[order], (np.log((1 - power) / discount) - r * np.log(x))[order], np.log(curvature)[order]
+
+
+@lru_cache
+def _series(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """log of |1 / Gamma(-d j)| and its sign, for j from 1."""
+    j = [discount * i for i in range(1, TERMS + 1)]
+    pole = [abs(x - round(x)) < 1e-9 for x in j]
+    return np.array([-np.inf if q else -math.lgamma(-x) for x, q in zip(j, pole)]), np.array([0.0 if q else 1.0 if math.floor(-x) % 2 == 0 else -1.0 for x, q in zip(j, pole)])
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S_d(c, t), 1 <= t <= c, c large: an alternating sum while t is below NEAR c^d, and the saddle point of the generating function beyond."""
+    c, t = np.asarray(c, np.float64), np.asarray(t, np.float64)
+    out = np.zeros(len(c))  # t = c: S is 1
+    near = t <= NEAR * c**discount
+    x, y = c[near], t[near]
+    if len(x):
+        log, sign = _series(discount)
+        top, total = _log_gamma(x - discount) + np.log(y) + log[0], np.zeros(len(x))
+        choose = np.zeros(len(x))
+        for j in range(1, TERMS + 1):
+            choose = choose + np.log(np.maximum(y - j + 1, 1e-300) / j)
+            if sign[j - 1]:
+                total += np.where(y >= j, sign[j - 1] * (-1) ** j * np.exp(choose + _log_gamma(np.maximum(x - discount * j, 1e-9)) + log[j - 1] - top), 0)
+        out[near] = top + np.log(np.maximum(total, 1e-300)) - y * np.log(discount) - _log_gamma(y + 1)
+    far = ~near & (t < c)
+    x, y = c[far], t[far]
+    if len(x):
+        at, value, curvature = _saddle(discount)
+        place = np.log(x / y - 1)
+        out[far] = _log_gamma(x + 1) - _log_gamma(y + 1) + y * np.interp(place, at, value) - 0.5 * (np.log(2 * np.pi * y) + np.interp(place, at, curvature))
+    return out
+
+
+def seated(count: np.ndarray, tables: np.ndarray, strength: np.ndarray, p: np.ndarray, discount: float, key: np.ndarray, salt: int) -> np.ndarray:
+    """New numbers of tables of dishes with that many customers. strength: theta + d times the restaurant's other tables."""
+    out = np.minimum(count, 1)
+    order = np.argsort(count, kind="stable")
+    sizes = np.searchsorted(count[order], np.arange(2, EXACT + 2))
+    small = _stirling(discount)
+    for c in range(2, EXACT + 1):
+        rows = (1 << 18) // c
+        for a in range(sizes[c - 2], sizes[c - 1], rows):
+            at = order[a : min(a + rows, sizes[c - 1])]
+            log = np.cumsum(np.log((strength[at, None] + discount * np.arange(c)) * p[at, None]), 1) + small[c, 1 : c + 1]
+            total = np.cumsum(np.exp(log - log.max(1, keepdims=True)), 1)
+            out[at] = 1 + (total < _uniform(key[at], salt)[:, None] * total[:, -1:]).sum(1)
+    at = order[sizes[-1] :]
+    if len(at):
+        c, t, s, lp, k = count[at].astype(float), tables[at].astype(float), strength[at] / discount, np.log(p[at] * discount), key[at]
+        weight = lambda t: log_stirling(c, t, discount) + _log_gamma(s + t) + t * lp
+        low, high = np.ones(len(at)), c.copy()
+        while (high > low).any():  # the mode
+            middle = np.floor((low + high) / 2)
+            up = weight(np.minimum(middle + 1, c)) > weight(middle)
+            low, high = np.where(up & (high > low), middle + 1, low), np.where(up, high, middle)
+        step = np.maximum(np.minimum(np.floor(np.sqrt(low) / 2), np.minimum(low - 1, c - low)), 1)
+        bend = 2 * weight(low) - weight(np.minimum(low + step, c)) - weight(np.maximum(low - step, 1))
+        width = np.clip(step / np.sqrt(np.maximum(bend, 1e-9)), 1, c)
+        # steps are proposed about the mode, by a rounded Cauchy distribution
+        dense = lambda t: np.log(np.arctan2(1 / width, 1 + ((t - low) ** 2 - 0.25) / width**2))
+        now = weight(t) - dense(t)
+        for i in range(STEPS):
+            to = np.rint(low + width * np.tan(np.pi * (_uniform(k, salt, i, 0) - 0.5)))
+            inside = (to >= 1) & (to <= c)
+            to = np.where(inside, to, t)
+            then = weight(to) - dense(to)
+            take = inside & (np.log(_uniform(k, salt, i, 1)) < then - now)
+            t, now = np.where(take, to, t), np.where(take, then, now)
+        out[at] = t.astype(np.int64)
+    return out
 
 
 class Seating:
-    """Tables of a block's (context, word) dishes, and of its words in the parent."""
-
-    def __init__(self, block: Block, blocks: int, seed: int):
-        self.b, self.scale, self.rng = block, blocks, np.random.default_rng(seed)
-        self.tables = (block.count > 0).astype(np.int64)
-        self.parent_tables = np.zeros(block.n_words, np.int64)
-        self.dish = np.flatnonzero(block.count > 1)
-        size = np.minimum(block.count[self.dish], BUNDLE)
-        # the largest dishes first, so that those with a k-th customer are the first ones
-        order = np.argsort(-size, kind="stable")
-        self.dish, self.size = self.dish[order], size[order]
-        self.first = np.concatenate(([0], np.cumsum(self.size)))[:-1]
-        total = int(self.size.sum())
-        self.table_of = np.full(total, -1, np.int32)
-        self.seated = np.zeros(total, np.int32)  # by table
-        self.free = np.zeros(total, np.int32)  # a stack of each dish's unused tables
-        self.n_free = self.size.copy()
-        if total:
-            self.free[:] = np.arange(total) - np.repeat(self.first, self.size)
-        self.own_tables = np.zeros(len(self.dish), np.int64)
-        self.own_n = np.zeros(len(self.dish), np.int64)
-        self._context_tables()
-        self._parent()
-        self._sweep(first=True)
-        self._parent()
-
-    def _context_tables(self) -> None:
-        self.by_context = np.bincount(self.b.context, self.tables, CONTEXTS)
-
-    def _parent(self) -> None:
-        """The parent's customers, seated anew: one table for each known word and more by the rule of the restaurant."""
-        customers = np.bincount(self.b.word, self.tables, self.b.n_words)
-        self.parent_customers = customers
-        base = 1.0 / (1 + max(1, int((self.b.word_count > 0).sum())) * self.scale)
-        t = (customers > 0).astype(np.float64)
-        parties = np.minimum(customers, BUNDLE).astype(np.int64)
-        weight = (ROOT_STRENGTH + ROOT_DISCOUNT * max(1.0, t.sum()) * self.scale) * base
-        order = np.argsort(-parties, kind="stable")
-        sorted_parties, k = parties[order], 1
-        while k < BUNDLE and (n := int(np.searchsorted(-sorted_parties, -k, "left"))):
-            at = order[:n]
-            seated = customers[at] * (k / parties[at])
-            old = np.maximum(seated - ROOT_DISCOUNT * t[at], 0)
-            t[at] += self.rng.random(n) * (weight + old) < weight
-            k += 1
-        self.parent_tables = np.minimum(t, customers).astype(np.int64)
-        total = max(1.0, customers.sum()) * self.scale
-        tables = max(1.0, t.sum()) * self.scale
-        self.p_word = (customers - ROOT_DISCOUNT * self.parent_tables + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) * base) / (ROOT_STRENGTH + total)
-
-    def _sweep(self, first: bool = False) -> None:
-        rng = self.rng
-        if first:
-            self.tables[self.dish] = 0
-        k, least = 0, -self.size
-        while (n := int(np.searchsorted(least, -k, "left"))) and k < BUNDLE:
-            customer = self.first[:n] + k
-            if not first:  # out of the table
-                table = self.first[:n] + self.table_of[customer]
-                self.seated[table] -= 1
-                empty = np.flatnonzero(self.seated[table] == 0)
-                if len(empty):
-                    self.free[self.first[empty] + self.n_free[empty]] = self.table_of[customer[empty]]
-                    self.n_free[empty] += 1
-                    self.own_tables[empty] -= 1
-                self.own_n[:n] -= 1
-            party = self.b.count[self.dish[:n]] / self.size[:n]
-            u = self.b.context[self.dish[:n]]
-            new = (STRENGTH + DISCOUNT * self.by_context[u] * self.scale) * self.p_word[self.b.word[self.dish[:n]]]
-            old = np.maximum(self.own_n[:n] * party - DISCOUNT * self.own_tables[:n], 0)
-            old[self.own_n[:n] == 0] = 0
-            opens = rng.random(n) * (new + old) < new
-            opens |= self.own_n[:n] == 0
-            at = np.flatnonzero(opens)
-            if len(at):
-                self.n_free[at] -= 1
-                table = self.free[self.first[at] + self.n_free[at]]
-                self.table_of[customer[at]] = table
-                self.seated[self.first[at] + table] = 1
-                self.own_tables[at] += 1
-            at = np.flatnonzero(~opens)
-            tries = 0
-            while len(at):  # a table by its size less the discount: another customer's, taken with 1 - d / size
-                other = (rng.random(len(at)) * self.size[at]).astype(np.int64)
-                table = self.table_of[self.first[at] + other]
-                ready = (other != k) & (table >= 0) & (other < k if first else True)
-                size = self.seated[self.first[at] + np.maximum(table, 0)] * party[at]
-                ready &= rng.random(len(at)) * np.maximum(size, 1e-9) >= DISCOUNT
-                if first and tries > 6:  # few seated yet: the one seated first
-                    table = self.table_of[self.first[at]]
-                    ready[:] = True
-                tries += 1
-                done = at[ready]
-                self.table_of[customer[done]] = table[ready]
-                np.add.at(self.seated, self.first[done] + table[ready], 1)
-                at = at[~ready]
-                if tries > 200:
-                    table = self.table_of[self.first[at] + (0 if k else 1)]
-                    self.table_of[customer[at]] = table
-                    np.add.at(self.seated, self.first[at] + table, 1)
-                    at = at[:0]
-            self.own_n[:n] += 1
-            k += 1
-        self.tables[self.dish] = self.own_tables
-        self._context_tables()
-
-    def sampled(self, burn_in: int, samples: int):
-        """After each sampled sweep (tables by dish, customers and tables by word in the parent)."""
-        for i in range(burn_in + samples):
-            self._sweep()
-            self._parent()
-            if i >= burn_in:
-                yield self.tables.copy(), self.parent_customers.copy(), self.parent_tables.copy()
-
-
-def _samples(block: Block, name: int, blocks: int, seed: int, burn_in: int, samples: int):
-    return Seating(block, blocks, seed * 1_000_003 + name).sampled(burn_in, samples)
+    """A block's tables by pair and, in the parent, by word; the sum over the sampled seatings of P(w | u) by pair."""
+
+    fields = ("words", "word", "contexts", "context", "count", "tables", "customers", "parent_tables", "mean")
+
+    @classmethod
+    def of(cls, block: Block) -> Seating:
+        out = cls()
+        for name in cls.fields[:5]:
+            setattr(out, name, getattr(block, name))
+        out.tables = np.minimum(block.count, 1)
+        out.customers = np.bincount(out.word, out.tables, len(out.words)).astype(np.int64)
+        out.parent_tables = np.minimum(out.customers, 1)
+        out.mean = np.zeros(0)
+        return out
+
+    @classmethod
+    def read(cls, raw) -> Seating:
+        out = cls()
+        for name, x in zip(cls.fields, _unpacked(raw)):
+            setattr(out, name, x if x.dtype.itemsize == 8 else x.astype(np.int64))
+        return out
+
+    def packed(self) -> bytes:
+        return _packed(*(x if x.dtype in (np.uint64, np.float64) else _narrow(x) for x in (getattr(self, f) for f in self.fields)))
+
+    def p_word(self, v: float, c0: float, t0: float) -> np.ndarray:
+        return (self.customers - ROOT_DISCOUNT * self.parent_tables + (ROOT_STRENGTH + ROOT_DISCOUNT * t0) / (v + 1)) / (ROOT_STRENGTH + c0)
+
+    def sampled(self, n_u: np.ndarray, t_u: np.ndarray, v: float, c0: float, t0: float) -> None:
+        p = self.p_word(v, c0, t0)[self.word]
+        p = (np.maximum(self.count - DISCOUNT * self.tables, 0) + (STRENGTH + DISCOUNT * t_u[self.context]) * p) / (STRENGTH + n_u[self.context])
+        self.mean = p if not len(self.mean) else self.mean + p
+
+    def sweep(self, t_u: np.ndarray, v: float, c0: float, t0: float, salt: int) -> None:
+        p = self.p_word(v, c0, t0)[self.word]
+        self.tables = seated(self.count, self.tables, STRENGTH + DISCOUNT * (t_u[self.context] - self.tables), p, DISCOUNT, _pair(self.words[self.word], self.contexts[self.context]), salt)
+        before = self.parent_tables
+        self.customers = np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
+        base = np.full(len(self.words), 1.0 / (v + 1))
+        start = np.minimum(np.maximum(before, 1), np.maximum(self.customers, 1))
+        self.parent_tables = seated(self.customers, start, ROOT_STRENGTH + ROOT_DISCOUNT * (t0 - before), base, ROOT_DISCOUNT, self.words, salt)
 
 
 def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", burn_in: int = 2, samples: int = 3, seed: int = 11) -> DataFrame:
@@ -297,45 +340,76 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 
     dealt = docs.select(F.col(doc_id).cast("bigint"), text, held_out).mapInArrow(deal, "block int, chunk bigint, pairs binary, meta binary")
 
-    def totals(table: pa.Table) -> pa.Table:
-        block = Block([x.as_buffer() for x in table["pairs"]])
-        name = table["block"][0].as_py()
-        sums = [np.array([block.word_count.sum(), (block.word_count > 0).sum()], np.float64), block.context_count.astype(np.float64)]
-        for tables, customers, parent_tables in _samples(block, name, blocks, seed, burn_in, samples):
-            sums += [np.array([customers.sum(), parent_tables.sum()], np.float64), np.bincount(block.context, tables, CONTEXTS)]
-        flat = np.concatenate(sums)
-        pieces = np.array_split(flat, SLICES)
-        return pa.table({"slice": pa.array(range(SLICES), pa.int32()), "sums": pa.array([x.tobytes() for x in pieces], pa.binary())})
+    shape = "block int, slice int, state binary, contexts binary, counts binary, tables binary, n bigint, v bigint, c0 bigint, t0 bigint"
+    edges = np.array([(i << 64) // blocks for i in range(1, blocks)], np.uint64)
+    scalars = ("n", "v", "c0", "t0")
+
+    def told(block: int, x: Seating) -> pa.Table:
+        """A block's state, and its tables by context for each slice of the contexts."""
+        cuts = [0, *np.searchsorted(x.contexts, edges).tolist(), len(x.contexts)]
+        sums = [np.bincount(x.context, y, len(x.contexts)).astype(np.int64) for y in (x.count, x.tables)]
+        slices = [i for i in range(blocks) if cuts[i] < cuts[i + 1]]
+        part = lambda y: [None] + [_packed(_narrow(y[cuts[i] : cuts[i + 1]]) if y.dtype == np.int64 else y[cuts[i] : cuts[i + 1]]) for i in slices]
+        known = np.bincount(x.word, x.count, len(x.words))
+        own = (x.count.sum(), (known > 0).sum(), x.customers.sum(), x.parent_tables.sum())
+        rest = [None] * len(slices)
+        columns = [pa.array([block] * (len(slices) + 1), pa.int32()), pa.array([-1, *slices], pa.int32()), pa.array([x.packed(), *rest], pa.binary()), *(pa.array(part(y), pa.binary()) for y in (x.contexts, *sums))]
+        return pa.table([*columns, *(pa.array([int(y), *rest], pa.int64()) for y in own)], names=["block", "slice", "state", "contexts", "counts", "tables", *scalars])
 
     def added(table: pa.Table) -> pa.Table:
-        out = None
-        for x in table["sums"]:
-            x = np.frombuffer(x.as_buffer())
-            out = x.copy() if out is None else out + x
-        return pa.table({"slice": table["slice"].slice(0, 1), "sums": pa.array([out.tobytes()], pa.binary())})
-
-    summed = dealt.groupBy("block").applyInArrow(totals, "slice int, sums binary").groupBy("slice").applyInArrow(added, "slice int, sums binary")
-    # the sums, of a size that CONTEXTS bounds, once for each block
-    for_blocks = summed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int64()), "sums": pa.array([], pa.binary()), "meta": pa.array([], pa.binary())})
-        block, name = Block([x.as_buffer() for x in asked["pairs"]]), asked["block"][0].as_py()
-        pieces = sorted(zip(sums["slice"].to_pylist(), sums["sums"]))
-        flat = np.concatenate([np.frombuffer(x.as_buffer()) for _, x in pieces])
-        n, v = flat[:2]
-        n_u = flat[2 : 2 + CONTEXTS]
-        mean = np.zeros(len(block.count))
-        at = 2 + CONTEXTS
-        for tables, customers, parent_tables in _samples(block, name, blocks, seed, burn_in, samples):
-            c0, t0 = flat[at : at + 2]
-            t_u = flat[at + 2 : at + 2 + CONTEXTS]
-            at += 2 + CONTEXTS
-            p = (customers - ROOT_DISCOUNT * parent_tables + (ROOT_STRENGTH + ROOT_DISCOUNT * t0) / (v + 1)) / (ROOT_STRENGTH + c0)
-            u = block.context
-            mean += (np.maximum(block.count - DISCOUNT * tables, 0) + (STRENGTH + DISCOUNT * t_u[u]) * p[block.word]) / (STRENGTH + n_u[u])
-        score = np.log10(mean / samples)
+        """The sums over all blocks, for each block those of its contexts."""
+        contexts, counts, tables = ([_unpacked(x.as_buffer())[0] for x in table[c]] for c in ("contexts", "counts", "tables"))
+        known, at = np.unique(np.concatenate(contexts), return_inverse=True)
+        ends = np.cumsum([len(x) for x in contexts])[:-1]
+        sums = [np.bincount(at, np.concatenate(x), len(known)).astype(np.int64) for x in (counts, tables)]
+        return pa.table({"block": table["block"], "slice": table["slice"], "sums": pa.array([_packed(*(_narrow(y[i]) for y in sums)) for i in np.split(at, ends)], pa.binary())})
+
+    def summed(sums: pa.Table) -> list[np.ndarray]:
+        parts = [_unpacked(x.as_buffer()) for _, x in sorted(zip(sums["slice"].to_pylist(), sums["sums"]), key=lambda x: x[0])]
+        return [np.concatenate(x).astype(np.float64) for x in zip(*parts)]
+
+    paths: list[str] = []
+
+    def written(df: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
+        """(states, sums for each block, n, v, c0 and t0 of the corpus) after a sweep."""
+        paths.append(new_path(spark, "seating"))
+        df.write.parquet(paths[-1])
+        for old in paths[:-1]:
+            drop_path(spark, old)
+        del paths[:-1]
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffles of the sweep before
+        df = spark.read.schema(shape).parquet(paths[-1])
+        state = df.where("slice < 0").select("block", "state")
+        sums = df.where("slice >= 0").groupBy("slice").applyInArrow(added, "block int, slice int, sums binary")
+        totals = df.where("slice < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in scalars)).first()
+        return state, sums, tuple(float(x) for x in totals)
+
+    state, sums, of_all = written(dealt.groupBy("block").applyInArrow(lambda t: told(t["block"][0].as_py(), Seating.of(Block([x.as_buffer() for x in t["pairs"]]))), shape))
+
+    def sweep(i: int, of_all: tuple):
+        def run(own: pa.Table, sums: pa.Table) -> pa.Table:
+            x, (n_u, t_u) = Seating.read(own["state"][0].as_buffer()), summed(sums)
+            if i > 1 + burn_in:
+                x.sampled(n_u, t_u, *of_all[1:])
+            x.sweep(t_u, *of_all[1:], seed * 1000 + i)
+            return told(own["block"][0].as_py(), x)
+
+        return run
+
+    for i in range(1 + burn_in + samples):
+        state, sums, of_all = written(state.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(sweep(i, of_all), shape))
+
+    def last(own: pa.Table, sums: pa.Table) -> pa.Table:
+        x, (n_u, t_u) = Seating.read(own["state"][0].as_buffer()), summed(sums)
+        x.sampled(n_u, t_u, *of_all[1:])
+        return pa.table({"block": own["block"], "mean": pa.array([(x.mean / samples).tobytes()], pa.binary())})
+
+    means = state.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(last, "block int, mean binary")
+
+    def answer(asked: pa.Table, mean: pa.Table) -> pa.Table:
+        block = Block([x.as_buffer() for x in asked["pairs"]])
+        n, v = of_all[:2]
+        score = np.log10(np.frombuffer(mean["mean"][0].as_buffer()))
         base = np.log10((block.word_count + 1.0) / (n + v + 1.0))[block.word]
         known = (block.word_count > 0)[block.word]
         out = []
@@ -344,7 +418,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
             out.append(_packed(rows, np.bincount(local, base[token_type], m), np.bincount(local, score[token_type], m), _narrow(np.bincount(local, known[token_type], m).astype(np.int64)), np.array([n], np.float64)))
         return pa.table({"chunk": asked["chunk"], "sums": pa.array(out, pa.binary()), "meta": asked["meta"]})
 
-    answers = dealt.groupBy("block").cogroup(for_blocks.groupBy("block")).applyInArrow(answer, "chunk bigint, sums binary, meta binary")
+    answers = dealt.groupBy("block").cogroup(means.groupBy("block")).applyInArrow(answer, "chunk bigint, sums binary, meta binary")
 
     def documents(table: pa.Table) -> pa.Table:
         ids, null, held, n_tokens = next(_unpacked(x.as_buffer()) for x in table["meta"] if x.is_valid)
@@ -362,9 +436,6 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     return answers.groupBy("chunk").applyInArrow(documents, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-SLICES = 16
-
-
 def perplexity(scores: DataFrame) -> DataFrame:
     """Perplexity by token of the held-out rows and of the others, under the model and under the base."""
     per_token = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))

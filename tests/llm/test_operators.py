@@ -57,6 +57,43 @@ def test_predictive_probabilities_sum_to_one(spark):
     assert len(scored) == 5 and all(r["score"] < 0 for r in scored) and len(first) == 4
 
 
+def test_seating_is_exact_for_small_and_large_dishes():
+    for d, c in ((LM.DISCOUNT, 64), (LM.ROOT_DISCOUNT, 64)):
+        t = np.arange(1, c)
+        assert np.abs(LM.log_stirling(np.full(c - 1, float(c)), t.astype(float), d) - LM._stirling(d)[c, 1:c]).max() < 0.15
+    # S(c, t) for 300 customers by its recurrence, and the mean number of tables that follows; the steps must reach it
+    d, c, strength, p = 0.8, 300, 40.0, 0.3
+    log = np.full(c + 2, -np.inf)
+    log[0] = 0.0
+    for n in range(c):
+        t = np.arange(1, c + 2)
+        log[1:], log[0] = np.logaddexp(log[:-1], log[1:] + np.log(np.maximum(n - d * t, 1e-300))), -np.inf
+    t = np.arange(1, c + 1)
+    weight = log[1 : c + 1] + np.cumsum(np.log((strength + d * (t - 1)) * p))
+    weight = np.exp(weight - weight.max())
+    want = (t * weight).sum() / weight.sum()
+    n = 2000
+    tables = np.ones(n, np.int64)
+    for salt in range(30):
+        tables = LM.seated(np.full(n, c), tables, np.full(n, strength), np.full(n, p), d, np.arange(n).astype(np.uint64), salt)
+    assert abs(tables.mean() - want) < 0.02 * want
+    # more customers than ever had a party of their own: tables go on growing
+    more = LM.seated(np.full(n, 1_000_000), tables, np.full(n, 1e5), np.full(n, p), d, np.arange(n).astype(np.uint64), 1)
+    assert more.min() > 300
+
+
+def test_language_model_knows_every_context_and_any_partitioning(spark):
+    # 70,000 contexts of one word each: none shares a restaurant, and the same scores for any number of blocks
+    texts = [" ".join(f"c{i} f{i}" for i in range(a, a + 1000)) for a in range(0, 70_000, 1000)] * 3
+    docs = frame(spark, texts + ["the cat the cat the dog"] * 200 + ["c5 f5", "c5 f6"])
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append({r["doc_id"]: r["score"] for r in LM.scored(docs, F.col("doc_id") >= 410).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == pytest.approx(found[1]) and found[0][410] > found[0][411] + 2
+
+
 def test_mixing(spark):
     docs = frame(spark, [f"text {i}" for i in range(400)]).withColumn("source", F.when(F.col("doc_id") % 4 == 0, "a").when(F.col("doc_id") % 4 == 1, None).otherwise("b"))
     out = mixing.replicate(docs, epochs=3.0).toPandas()
