@@ -253,14 +253,13 @@ def results_pivot(x: Fixture):
 
 
 def kmeans_k_search(x: Fixture):
-    texts = x.documents.select(F.lit("original").alias("anon_name"), "doc_id", "text").unionByName(M.masked_texts(x.documents, x.anon_docs.where("anon_name = 'Repl'"), x.maskings))
-    found, k, _ = C.agreement(C.embed(texts), "original", 2, 4, 2, 1, 1)
+    texts = x.documents.select(F.lit("original").alias("anon_name"), "doc_id", "text").unionByName(M.masked_texts(x.documents, x.anon_docs, x.maskings))
+    found, k, _ = C.agreement(C.embed(texts), "original")
     return x.spark.createDataFrame([(n, v, k) for n, v in found.items()], "anon_name string, nmi double, k int")
 
 
 def trir_end_to_end(x: Fixture):
-    chosen = x.anon_docs.where("anon_name IN ('Clear', 'Sparse')")
-    texts = M.masked_texts(x.documents, chosen, x.maskings).withColumnRenamed("anon_name", "source")
+    texts = M.masked_texts(x.documents, x.anon_docs, x.maskings).withColumnRenamed("anon_name", "source")
     return R.risk(texts, x.background, R.AttackConfig(), parser.with_entity_types, parser.curate)
 
 
