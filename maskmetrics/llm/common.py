@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,10 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of our own if all of Spark is this one process; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="maskmetrics-")
         found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -31,21 +37,48 @@ def _remove(folder: str) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder not yet there. What drop_path() hasn't deleted when Python ends is deleted then."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_drop_rest, spark)
+    _written.append(path)
+    return path
+
+
+def _drop_rest(spark: SparkSession) -> None:
+    for path in list(_written):
+        try:
+            drop_path(spark, path)
+        except Exception:  # Spark has gone: the folder's owner cleans it
+            return
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there, and a lost executor loses none of it."""
+def materialised(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends there, and a lost executor loses none of it.
+
+    The folder's path is appended to paths, for a caller that can tell when nothing reads it any more.
+    """
     path = new_path(df.sparkSession, name)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Has this session hand Python at most that many bytes in an Arrow batch, so that long texts don't come by the thousand."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"-?\d+", spark.conf.get(name))[0]) not in range(1, most + 1):
+        spark.conf.set(name, str(most))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder that new_path gave, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _written:
+        _written.remove(path)
 
 
 def per_batch(function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> Callable:
@@ -55,6 +88,7 @@ def per_batch(function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) ->
         for batch in batches:
             if batch.num_rows:
                 yield from function(batch)
+                pa.default_memory_pool().release_unused()
 
     return run
 

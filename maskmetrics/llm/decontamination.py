@@ -7,8 +7,8 @@ are windows as a whole, found along the suffix links.
 
 Scale: one scan of the documents, no shuffle. What is shipped to the executors is the automaton. The benchmark is read in
 parts of at most `max_item_words` words, each with an automaton of its own and at most twice as many states, so no
-broadcast grows with the benchmark; the documents are scanned once for each part, and the parts' findings are united by
-row. Words and neighbouring pairs that no item holds lead from any state back to the root within two steps: a vectorised
+broadcast grows with the benchmark; where there are several, the documents are scanned once for each part, what is found is
+written before the next automaton is built, and the parts' findings are united by row. Words and neighbouring pairs that no item holds lead from any state back to the root within two steps: a vectorised
 look at the pairs' hashes finds them, so that Python walks the automaton only where two words of some item meet.
 
 Cases: a null text has no words. An item that is null or has no words gives no window. Items with equal words are all
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import per_batch, unused
+from .common import materialised, per_batch, small_batches, unused
 
 WINDOW = 10
 MAX_ITEM_WORDS = 400_000
@@ -211,19 +211,18 @@ def scan(column: pa.Array, automaton: Automaton):
             yield b - a, [(x, y, int(start[a + x]) - base, int(end[a + y - 1]) - base) for x, y in zip(s.tolist(), e.tolist())], {str(x) for x in items[row] if x is not None}
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS, item_id: str = "item_id", text: str = "text"):
-    """Automata of parts of the benchmark, each of at most max_item_words words (or one longer item), built one at a time."""
+def parts(benchmark: DataFrame, max_item_words: int = MAX_ITEM_WORDS, item_id: str = "item_id", text: str = "text"):
+    """The benchmark's (item_id, text) rows in lists of at most max_item_words words (or one longer item)."""
     part, size = [], 0
     for row in benchmark.select(F.col(item_id).cast("string"), F.col(text)).orderBy(item_id).toLocalIterator():
-        n = len((row[1] or "").split())
+        n = len(W.words(*W.text_buffers(pa.array([row[1]], pa.string())), W.ALPHANUMERIC)[0])
         if part and size + n > max_item_words:
-            if (built := build(part, window)) is not None:
-                yield built
+            yield part
             part, size = [], 0
         part.append((row[0], row[1]))
         size += n
-    if part and (built := build(part, window)) is not None:
-        yield built
+    if part:
+        yield part
 
 
 def united(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -249,12 +248,12 @@ def _schema(docs: DataFrame) -> str:
 
 def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS, text: str = "text", found: str = "_found") -> DataFrame:
     """docs with a column `found`: n_words; spans of hit words, as words and as UTF-8 bytes of the text; the items that occur."""
-    out, names = docs, docs.columns
-    for part, automaton in enumerate([*automata(benchmark, window, max_item_words)] or [None]):
-        held = docs.sparkSession.sparkContext.broadcast(automaton)
+    spark, out, names, held = docs.sparkSession, docs, docs.columns, None
+    small_batches(spark)
 
-        def run(batch: pa.RecordBatch, held=held, part=part):
-            before = batch.column(batch.schema.get_field_index(found)).to_pylist() if part else None
+    def scanned(out: DataFrame, held, again: bool) -> DataFrame:
+        def run(batch: pa.RecordBatch):
+            before = batch.column(batch.schema.get_field_index(found)).to_pylist() if again else None
             rows = []
             for i, (n, spans, items) in enumerate(scan(batch.column(batch.schema.get_field_index(text)), held.value)):
                 if before:
@@ -263,8 +262,20 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_it
                 rows.append({"n_words": n, "spans": [dict(zip(("first_word", "end_word", "start", "end"), x)) for x in spans], "items": sorted(items)})
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(rows, _FOUND)], names=[*names, found])
 
-        out = out.mapInArrow(per_batch(run), f"{_schema(docs)}, `{found}` {_FOUND_SQL}")
-    return out
+        return out.mapInArrow(per_batch(run), f"{_schema(docs)}, `{found}` {_FOUND_SQL}")
+
+    for rows in parts(benchmark, max_item_words):
+        automaton = build(rows, window)
+        if automaton is None:
+            continue
+        again = held is not None
+        if again:  # the pass with the automaton before ends here, so that one at a time is held
+            out = materialised(out, "findings")
+            held.destroy()
+        held = spark.sparkContext.broadcast(automaton)
+        del automaton, rows
+        out = scanned(out, held, again)
+    return out if held is not None else scanned(out, spark.sparkContext.broadcast(None), False)
 
 
 def hit_words(found: str = "_found"):

@@ -5,12 +5,15 @@ ASCII characters that aren't letters made blank. Weights are learned by follow-t
 coordinate) with L1 and L2 penalties; a part of the sample is left out of that and sets the temperature.
 
 Scale: document frequencies are counted over all training rows, added up by bucket. The classifier is fitted on a bounded
-sample, `max_per_language` rows of each of at most `max_languages` languages (those with most rows) in the mean, and
-no more than the product in all; both are parameters. What reaches the driver are those rows' sparse features. What is
-shipped back are BUCKETS weights a language. Scoring is one scan over whole texts without a shuffle.
+sample: of each language the `max_per_language` distinct texts whose hashes are lowest, or fewer where so many languages would
+make more than `max_rows` of them in all; both are parameters, and every language of the training rows is learned. What
+reaches the driver are those texts' sparse features. What is shipped back are BUCKETS weights a language. Scoring is one scan
+over whole texts without a shuffle.
 
 Cases: a text that is null or has no letter is `und` with score 0. Rows whose language is null don't train. With no
-training row every language is `und`; with one language, that one has score 1. Repeated rows are each scored.
+training row every language is `und`; with one language, that one has score 1. Repeated rows are each scored, and are one text
+of the sample. A text whose bytes aren't UTF-8 is read as Latin-1, whatever its neighbours are. Columns of the input named as
+the added ones give way to them.
 """
 
 from __future__ import annotations
@@ -19,15 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import per_batch
+from .common import per_batch, small_batches
 
 BUCKETS = 1 << 14
 MAX_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 200
+MAX_ROWS = 50_000
 UNDETERMINED = "und"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -43,12 +46,19 @@ class LanguageModel:
 
 def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points, offsets in them) of UTF-8 texts, normalised."""
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    begins = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    at = begins[offsets]
-    if at[-1] != len(points):  # not UTF-8: as Latin-1
-        points, at = data.astype(np.uint32), offsets
-    points = points.copy()
+    raw = data.tobytes()
+    try:
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32).copy()
+        at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    except UnicodeDecodeError:  # text by text
+        each = []
+        for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            try:
+                each.append(raw[a:z].decode())
+            except UnicodeDecodeError:
+                each.append(raw[a:z].decode("latin-1"))
+        points = np.frombuffer("".join(each).encode("utf-32-le"), np.uint32).copy()
+        at = np.concatenate(([0], np.cumsum([len(x) for x in each], dtype=np.int64)))
     upper = ((points >= 0x41) & (points <= 0x5A)) | ((points >= 0xC0) & (points <= 0xDE) & (points != 0xD7))
     points[upper] += 32
     points[(points < 0x61) | ((points > 0x7A) & (points < 0xAA))] = 0x20
@@ -154,9 +164,11 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np
     return LanguageModel(languages, idf, w[:-1].astype(np.float32), w[-1], temperature_of(scores, y[aside]) if len(languages) > 1 else 1.0)
 
 
-def learn(docs: DataFrame, language: str = "lang", text: str = "text", max_per_language: int = MAX_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, **options) -> LanguageModel:
+def learn(docs: DataFrame, language: str = "lang", text: str = "text", max_per_language: int = MAX_PER_LANGUAGE, max_rows: int = MAX_ROWS, **options) -> LanguageModel:
     """A model from the rows of docs that have a language."""
-    rows = docs.where(F.col(language).isNotNull()).select(F.col(text).alias("text"), F.col(language).alias("lang"))
+    small_batches(docs.sparkSession)
+    order = F.xxhash64(text, F.lit("sample"))
+    rows = docs.where(F.col(language).isNotNull()).select(F.col(text).alias("text"), F.col(language).alias("lang"), order.alias("place"))
 
     def frequencies(batches):
         total, seen = np.zeros(BUCKETS, np.int64), 0
@@ -171,32 +183,38 @@ def learn(docs: DataFrame, language: str = "lang", text: str = "text", max_per_l
     df = np.zeros(BUCKETS + 1)
     df[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not sizes:
+    languages = rows.select("lang").distinct().count()
+    if not languages:
         return fit([], [], idf)
-    rate = F.lit(0.0)
-    for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, max_per_language / r["n"]))).otherwise(rate)
-    drawn = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < F.ceil(rate * (1 << 20))
+    if languages > max_rows:
+        raise ValueError(f"{languages} languages can't be learned from at most {max_rows} rows")
+    quota = max(1, min(max_per_language, max_rows // languages))
+    # only (language, hash) is sorted; each task passes on its lowest `quota` of a language
+    ranked = rows.where(F.col("text").isNotNull()).select("lang", "place").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+    ends = ranked.where(F.col("rank") <= quota).groupBy("lang").agg(F.max("place").alias("end"))
+    drawn = rows.join(F.broadcast(ends), "lang").where("place <= end")  # a row a language, at most max_rows
 
     def sampled(batch: pa.RecordBatch):
-        out = [], [], []
+        out = [], [], [], []
         for lo, _, count, letters in counts(batch.column(0)):
             for i in np.flatnonzero(letters).tolist():
                 at = np.flatnonzero(count[i])
                 out[0].append(batch.column(1)[lo + i].as_py())
-                out[1].append(at.astype(np.uint16).tobytes())
-                out[2].append(count[i][at].astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["lang", "at", "count"])
-
-    kept = rows.where(drawn).select("text", "lang").mapInArrow(per_batch(sampled), "lang string, at binary, count binary").limit(max_per_language * len(sizes)).toPandas()
-    kept = kept.sort_values(["lang", "at", "count"], kind="stable")
+                out[1].append(batch.column(2)[lo + i].as_py())
+                out[2].append(at.astype(np.uint16).tobytes())
+                out[3].append(count[i][at].astype(np.float32).tobytes())
+        kinds = pa.string(), pa.int64(), pa.binary(), pa.binary()
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names=["lang", "place", "at", "count"])
+
+    kept = drawn.select("text", "lang", "place").mapInArrow(per_batch(sampled), "lang string, place bigint, at binary, count binary").dropDuplicates(["lang", "place"]).toPandas()
+    kept = kept.sort_values(["lang", "place"], kind="stable")
     samples = [(np.frombuffer(a, np.uint16), np.frombuffer(c, np.float32)) for a, c in zip(kept["at"], kept["count"])]
     return fit(samples, kept["lang"].tolist(), idf, **options)
 
 
 def predicted(docs: DataFrame, model: LanguageModel, text: str = "text", language: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the most likely language of `text` and its calibrated probability."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in (language, score)]
 

@@ -5,8 +5,8 @@ part of the corpus last, the others by hash. Two sets of Jaccard similarity t or
 n - ceil(t n) + 1 of either (prefix filter), so those alone are dealt out over the cluster:
 
 1. a scan hashes each text's set: its size and a 128-bit key of the set. Equal sets are one node from here on. The scan
-   also names the n-grams that stand in more than `frequent` of some chunk's documents; their number is bounded by
-   (n-grams of a document) / frequent in each chunk, and only those move to the order's end.
+   also names the n-grams that stand in more than `frequent` of some chunk's documents; the MAX_LAST of them that are named
+   for the most documents move to the order's end. Any order gives the same links, so that bound changes only the work.
 2. prefixes go, packed by chunk, to the blocks of the hash space. Where an n-gram is shared, its sharers of like sizes, for
    whom it can be the first shared one, are put into the group of the smallest key among them (its pivot). Two sets that share a prefix n-gram meet in a group at least once.
    Groups are lists of members, never lists of pairs: rows grow with the members.
@@ -20,10 +20,12 @@ n - ceil(t n) + 1 of either (prefix filter), so those alone are dealt out over t
    is left when the overlap so far plus what can remain, bounded by the remaining lengths, is too small for every size in
    it, or when all its sets are already in the walker's class. So a group of m near copies costs about m steps, not m^2,
    and gives m - 1 links. Links between different classes are never dropped.
-5. components of the links, by large-star and small-star rounds.
+5. components of the links, by large-star and small-star rounds. A node's name begins with the smallest doc_id of its set, so
+   the least name that links reach says the component, and nothing is joined by component.
 
-Nothing of this is collected but the frequent n-grams. Cases: a null or blank text has the empty set, no link, and itself
-as component. A row without a doc_id takes no part and has no component. Repeated rows and equal texts are one node.
+Nothing of this is collected but those MAX_LAST n-grams. Cases: a null or blank text has the empty set, no link, and itself
+as component. A row without a doc_id takes no part and has no component. Repeated rows and equal texts are one node. Where a
+doc_id repeats with different texts, each of its sets is a node. A doc_id is a bigint, or text that holds one.
 """
 
 from __future__ import annotations
@@ -36,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, materialised, partitions, per_batch
+from .common import components, drop_path, materialised, partitions, per_batch, small_batches
 
 NGRAM = 5
 SIMILARITY = (75, 100)
 FREQUENT = 1 / 500
 BLOCK = 1024
+MAX_LAST = 1 << 18
+_SIGN = -(1 << 63)
 _KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -315,16 +319,19 @@ def _texts(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def document_sets(docs: DataFrame, ngram: int = NGRAM, frequent: float = FREQUENT) -> DataFrame:
-    """(doc_id, n, key, bits) of each document, and rows (null, count, n-gram) of the n-grams frequent in a chunk of them."""
+    """(doc_id, text_id, n, key, bits) of each document, and rows (null, null, count, n-gram) of the n-grams frequent in a chunk of them.
+
+    docs: doc_id, text, text_id.
+    """
 
     def run(batch: pa.RecordBatch):
-        ids, column = batch.column(0), batch.column(1)
-        for lo, hi, data, offsets in W.chunks(column, 16 << 20):
+        ids, column, text_ids = (batch.column(i) for i in range(3))
+        for lo, hi, data, offsets in W.chunks(column, 4 << 20):
             hashes, _, _, first = W.words(data, offsets, W.BLANK_SEPARATED)
             sets = W.shingles(hashes, first, ngram)
             keys = set_keys(sets)
             n = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(n)), ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key_bytes(keys), pa.binary()), pa.array([parities(x) for x in sets], pa.binary())], names=["kind", "doc_id", "n", "key", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(n)), ids.slice(lo, hi - lo), text_ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key_bytes(keys), pa.binary()), pa.array([parities(x) for x in sets], pa.binary())], names=["kind", "doc_id", "text_id", "n", "key", "bits"])
             distinct = np.unique(keys, return_index=True)[1]
             flat = np.sort(np.concatenate([sets[i] for i in distinct]))
             if len(flat):
@@ -333,14 +340,15 @@ def document_sets(docs: DataFrame, ngram: int = NGRAM, frequent: float = FREQUEN
                 often = count > max(8, frequent * len(distinct))
                 found = flat[begins[often]]
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(["f"] * len(found)), pa.nulls(len(found), pa.int64()), pa.array(count[often], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.nulls(len(found), pa.binary())], names=["kind", "doc_id", "n", "key", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(["f"] * len(found)), *[pa.nulls(len(found), pa.int64())] * 2, pa.array(count[often], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.nulls(len(found), pa.binary())], names=["kind", "doc_id", "text_id", "n", "key", "bits"])
 
-    return docs.mapInArrow(per_batch(run), "kind string, doc_id bigint, n bigint, key binary, bits binary")
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(per_batch(run), "kind string, doc_id bigint, text_id bigint, n bigint, key binary, bits binary")
 
 
 def _ranked(rows: DataFrame) -> np.ndarray:
-    """The frequent n-grams, sorted: bounded by their definition."""
-    found = rows.where("kind = 'f'").select("key").distinct().toPandas()["key"]
+    """The n-grams that go last, sorted: at most MAX_LAST."""
+    found = rows.where("kind = 'f'").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MAX_LAST).select("key").toPandas()["key"]
     return np.sort(np.frombuffer(b"".join(bytes(x) for x in found), np.uint64))
 
 
@@ -352,7 +360,7 @@ def groups(docs: DataFrame, frequent: np.ndarray, blocks: int, ngram: int = NGRA
 
     def deal(batch: pa.RecordBatch):
         bits = _bits(held.value)
-        for lo, hi, data, offsets in W.chunks(batch.column(0), 8 << 20):
+        for lo, hi, data, offsets in W.chunks(batch.column(0), 4 << 20):
             hashes, _, _, first = W.words(data, offsets, W.BLANK_SEPARATED)
             sets = W.shingles(hashes, first, ngram)
             keys = set_keys(sets)
@@ -397,9 +405,9 @@ def groups(docs: DataFrame, frequent: np.ndarray, blocks: int, ngram: int = NGRA
 
 
 def _joined(docs: DataFrame, dealt: DataFrame, ngram: int, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b): links between the members of each (pivot, i, j) of dealt that are of different classes, enough to make all their classes.
+    """(a, b): links between the nodes in each (pivot, i, j) of dealt that are of different classes, enough to make all their classes.
 
-    dealt: pivot, i, j, key, doc_id, n, bits, class (what is known of the member's class; its key, if nothing).
+    dealt: pivot, i, j, key, node, doc_id, n, bits, class (what is known of the member's class; its node, if nothing).
     """
 
     def could_link(table: pa.Table) -> pa.Table:
@@ -411,19 +419,19 @@ def _joined(docs: DataFrame, dealt: DataFrame, ngram: int, similarity: tuple[int
             least[l] = min(k, least.get(l, k))
             several.setdefault(l, set()).add(c)
         at = [i for i, l in enumerate(label) if len(several[l]) > 1]
-        return pa.table({"pivot": pa.array([least[label[i]] for i in at], pa.binary()), **{c: table[c].take(pa.array(at, pa.int64())) for c in ("i", "j", "key", "doc_id", "class")}})
+        return pa.table({"pivot": pa.array([least[label[i]] for i in at], pa.binary()), **{c: table[c].take(pa.array(at, pa.int64())) for c in ("i", "j", "key", "node", "doc_id", "class")}})
 
     # dealt by block, even where a join has dealt by pivot before: that would do for groupBy, with all blocks in one task
-    left = dealt.repartition("pivot", "i", "j").groupBy("pivot", "i", "j").applyInArrow(could_link, "pivot binary, i int, j int, key binary, doc_id bigint, class binary").distinct()
-    wanted = left.groupBy("doc_id", "key", "class").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("groups")).withColumnRenamed("key", "wanted")
-    kinds = {"pivot": pa.binary(), "i": pa.int32(), "j": pa.int32(), "key": pa.binary(), "class": pa.binary(), "grams": pa.binary()}
+    left = dealt.repartition("pivot", "i", "j").groupBy("pivot", "i", "j").applyInArrow(could_link, "pivot binary, i int, j int, key binary, node string, doc_id bigint, class string").distinct()
+    wanted = left.groupBy("doc_id", "key", "node", "class").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("groups")).withColumnRenamed("key", "wanted")
+    kinds = {"pivot": pa.binary(), "i": pa.int32(), "j": pa.int32(), "node": pa.string(), "class": pa.string(), "grams": pa.binary()}
 
     def members(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds.values())], names=[*kinds])
 
     def fetch(batch: pa.RecordBatch):
-        want, known, where = (_texts(batch, name).to_pylist() for name in ("wanted", "class", "groups"))
-        for lo, hi, data, offsets in W.chunks(_texts(batch, "text"), 8 << 20):
+        want, node, known, where = (_texts(batch, name).to_pylist() for name in ("wanted", "node", "class", "groups"))
+        for lo, hi, data, offsets in W.chunks(_texts(batch, "text"), 4 << 20):
             hashes, _, _, first = W.words(data, offsets, W.BLANK_SEPARATED)
             sets = W.shingles(hashes, first, ngram)
             out, size = [], 0
@@ -432,17 +440,17 @@ def _joined(docs: DataFrame, dealt: DataFrame, ngram: int, similarity: tuple[int
                     continue
                 packed = s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # 48 bits of each: apart within any two sets
                 for g in where[i]:
-                    out.append((*g.values(), key, known[i], packed))
+                    out.append((*g.values(), node[i], known[i], packed))
                     size += len(packed)
-                    if size > 16 << 20:
+                    if size > 8 << 20:
                         yield members(out)
                         out, size = [], 0
             if out:
                 yield members(out)
 
     def join(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_pylist()
-        first = {k: i for i, k in reversed([*enumerate(keys)])}  # repeated rows of a doc_id
+        nodes = table["node"].to_pylist()
+        first = {k: i for i, k in reversed([*enumerate(nodes)])}  # repeated rows of a doc_id
         at = sorted(first.values())
         sets = []
         for i in at:
@@ -453,75 +461,90 @@ def _joined(docs: DataFrame, dealt: DataFrame, ngram: int, similarity: tuple[int
         number: dict[bytes, int] = {}
         known = np.array([number.setdefault(table["class"][i].as_py(), len(number)) for i in at], np.int64)
         found = join_group(sets, similarity, known)
-        return pa.table({"a": pa.array([keys[at[x]] for x, _ in found], pa.binary()), "b": pa.array([keys[at[y]] for _, y in found], pa.binary())})
+        return pa.table({"a": pa.array([nodes[at[x]] for x, _ in found], pa.string()), "b": pa.array([nodes[at[y]] for _, y in found], pa.string())})
 
-    fetched = docs.join(wanted, "doc_id").select("text", "wanted", "class", "groups").mapInArrow(per_batch(fetch), "pivot binary, i int, j int, key binary, class binary, grams binary")
-    return fetched.groupBy("pivot", "i", "j").applyInArrow(join, "a binary, b binary").select(F.hex("a").alias("a"), F.hex("b").alias("b"))
+    fetched = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "wanted", "node", "class", "groups").mapInArrow(per_batch(fetch), "pivot binary, i int, j int, node string, class string, grams binary")
+    return fetched.groupBy("pivot", "i", "j").applyInArrow(join, "a string, b string")
 
 
 def _every(column: str):
     return F.sequence(F.lit(0), F.col(column) - 1)
 
 
+def _node(doc_id: str, key: str):
+    """The name of a set with that doc_id: in the order of doc_ids, negative ones first."""
+    return F.concat(F.lpad(F.hex(F.col(doc_id).bitwiseXOR(F.lit(_SIGN))), 16, "0"), F.hex(key))
+
+
+def _doc_id(node: str):
+    return F.conv(F.substring(node, 1, 16), 16, -10).cast("bigint").bitwiseXOR(F.lit(_SIGN))
+
+
 def linked(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(node, component): the keys of sets (as hexadecimal digits) that are linked, and the least that links reach. docs: doc_id, text."""
+    """(key, component): each set that isn't empty, with the least node that links reach, its own included. docs: doc_id, text."""
     spark = docs.sparkSession
-    members = materialised(groups(docs, _ranked(rows), 4 * partitions(spark), ngram, similarity), "members")
+    done: list[str] = []
     nodes = rows.where("kind = 'd' AND doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = materialised(nodes.withColumn("node", _node("doc_id", "key")), "nodes")
+    members = materialised(groups(docs, _ranked(rows), 4 * partitions(spark), ngram, similarity), "members", done)
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    dealt = lambda df: df.withColumn("to", F.explode("to")).select("pivot", "to.i", "to.j", "key", "doc_id", "n", "bits", "class")
+    dealt = lambda df: df.withColumn("to", F.explode("to")).select("pivot", "to.i", "to.j", "key", "node", "doc_id", "n", "bits", "class")
     # first, members meet in their own block, and the pivot in all blocks
     # (written, so that its size is known and Spark broadcasts it only below its threshold)
-    sizes = materialised(members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")).where("parts > 1"), "sizes")
+    sizes = materialised(members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")).where("parts > 1"), "sizes", done)
     own = lambda parts, name: F.pmod(F.xxhash64("key", F.lit(name)), F.col(parts)).cast("int")
-    placed = members.join(nodes, "key").join(sizes, "pivot", "left").fillna(1, ["parts"]).withColumn("class", F.col("key"))
+    placed = members.join(nodes, "key").join(sizes, "pivot", "left").fillna(1, ["parts"]).withColumn("class", F.col("node"))
     alone = F.transform(F.when(F.col("key") == F.col("pivot"), _every("parts")).otherwise(F.array(own("parts", "member"))), lambda i: pair(i, i))
-    first = materialised(_joined(docs, dealt(placed.withColumn("to", alone)), ngram, similarity), "links")
-    found = components(first)
-    if sizes.isEmpty():
-        return found
-    # then those of a large group that aren't of its most numerous class meet all its members; two of that class need not meet
-    found = materialised(found, "classes")
-    large = members.join(sizes, "pivot").withColumn("node", F.hex("key")).join(found, "node", "left").withColumn("class", F.coalesce(F.unhex("component"), "key")).select("pivot", "parts", "key", "class")
-    large = materialised(large, "large")
-    counted = large.groupBy("pivot", "class").count()
-    most = counted.groupBy("pivot").agg(F.max_by("class", F.struct("count", "class")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("in_most"))
-    most = materialised(most.where("all > in_most").select("pivot", "most", F.ceil((F.col("all") - F.col("in_most")) / F.lit(block)).cast("int").alias("rest")), "most")
-    open_groups = large.join(most, "pivot").join(nodes, "key")
-    as_member = F.transform(_every("rest"), lambda i: pair(i, own("parts", "member")))
-    as_other = F.transform(_every("parts"), lambda j: pair(own("rest", "other"), j))
-    to = F.when(F.col("class") == F.col("most"), as_member).otherwise(F.array_distinct(F.concat(as_member, as_other)))
-    second = materialised(_joined(docs, dealt(open_groups.withColumn("to", to)), ngram, similarity), "links")
-    if second.isEmpty():
-        return found
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
+    first = materialised(_joined(docs, dealt(placed.withColumn("to", alone)), ngram, similarity), "links", done)
+    found = materialised(components(first), "classes")
+    if not sizes.isEmpty():
+        # then those of a large group that aren't of its most numerous class meet all its members; two of that class need not meet
+        large = members.join(sizes, "pivot").join(nodes, "key").join(found, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+        large = materialised(large, "large", done)
+        counted = large.groupBy("pivot", "class").count()
+        most = counted.groupBy("pivot").agg(F.max_by("class", F.struct("count", "class")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("in_most"))
+        most = materialised(most.where("all > in_most").select("pivot", "most", F.ceil((F.col("all") - F.col("in_most")) / F.lit(block)).cast("int").alias("rest")), "most", done)
+        open_groups = large.join(most, "pivot")
+        as_member = F.transform(_every("rest"), lambda i: pair(i, own("parts", "member")))
+        as_other = F.transform(_every("parts"), lambda j: pair(own("rest", "other"), j))
+        to = F.when(F.col("class") == F.col("most"), as_member).otherwise(F.array_distinct(F.concat(as_member, as_other)))
+        second = materialised(_joined(docs, dealt(open_groups.withColumn("to", to)), ngram, similarity), "links", done)
+        if not second.isEmpty():
+            found = materialised(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)), "classes")
+    for path in done:
+        drop_path(spark, path)
+    return nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+
+
+def _classed(docs: DataFrame, doc_id: str, text: str, ngram: int, similarity: tuple[int, int], frequent: float, block: int) -> DataFrame:
+    """(doc_id, text_id, n, key, component) of each row; component is null without a doc_id or with an empty set."""
+    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_id"))
+    rows = materialised(document_sets(narrow, ngram, frequent), "sets")
+    found = linked(narrow.select("doc_id", "text"), rows, ngram, similarity, block)
+    return rows.where("kind = 'd'").drop("kind", "bits").join(found, "key", "left")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, similarity: tuple[int, int] = SIMILARITY, frequent: float = FREQUENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: the smallest doc_id that links of the similarity reach."""
-    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialised(document_sets(narrow, ngram, frequent), "sets")
-    found = linked(narrow, rows, ngram, similarity, block)
-    own = rows.where("kind = 'd'").select("doc_id", F.col("n").alias("n_shingles"), F.hex("key").alias("key"))
-    least = own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    of = least.join(found, least["key"] == found["node"], "left").select("key", "least", F.coalesce("component", "key").alias("component"))
-    tops = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(tops, "component")
-    out = own.join(of.select("key", "component_id"), "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = _classed(docs, doc_id, text, ngram, similarity, frequent, block)
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(_doc_id("component"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with one document of each class: the one with the smallest doc_id (and of its repeated rows, one).
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, similarity: tuple[int, int] = SIMILARITY, frequent: float = FREQUENT, block: int = BLOCK) -> DataFrame:
+    """docs with one document of each class: that with the smallest doc_id, of several texts of that id and set the one that hashes lowest.
 
-    Rows without a doc_id, and those with an empty set, stay.
+    Rows without a doc_id, and those with an empty set, stay; of rows repeated with their id and text, one stays.
     """
-    found = classes(docs, doc_id, **options).select(F.col("doc_id").alias("_id"), "n_shingles", "component_id")
-    gone = found.where("_id <> component_id AND n_shingles > 0").select("_id").distinct()
-    kept = docs.join(gone, docs[doc_id] == gone["_id"], "left_anti")
-    text = options.get("text", "text")
-    # rows repeated with their id and text: one stays
-    twice = kept.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).count().where("count > 1").select("_id")
-    single = kept.join(twice, kept[doc_id] == twice["_id"], "left_anti")
-    several = kept.join(twice, kept[doc_id] == twice["_id"], "left_semi").dropDuplicates([doc_id, text])
-    return single.unionByName(several)
+    found = _classed(docs, doc_id, text, ngram, similarity, frequent, block).where("doc_id IS NOT NULL").groupBy("doc_id", "text_id", "key", "n", "component").count()
+    found = materialised(found, "texts")
+    stays = found.where((F.col("n") == 0) | (_node("doc_id", "key") == F.col("component")))
+    first = stays.where("n > 0").groupBy("doc_id", "key").agg(F.min("text_id").alias("text_id"))
+    kept = materialised(first.select("doc_id", "text_id").union(stays.where("n = 0").select("doc_id", "text_id")).distinct(), "kept")
+    gone = materialised(found.select("doc_id", "text_id").distinct().join(kept, ["doc_id", "text_id"], "left_anti"), "gone")
+    twice = materialised(found.where("count > 1").select("doc_id", "text_id").distinct().join(gone, ["doc_id", "text_id"], "left_anti"), "twice")
+    same = lambda other: (docs[doc_id].cast("bigint") == other["doc_id"]) & (F.xxhash64(docs[text]) == other["text_id"])
+    remaining = docs.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return remaining
+    return remaining.join(twice, same(twice), "left_anti").unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates([doc_id, text]))

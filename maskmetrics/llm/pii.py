@@ -15,7 +15,10 @@ pseudonyms, and the holder of the key can undo them. The round function is SHA-2
 
 DataFrame functions only: matches are taken out with one pattern, the pieces between them with split(), and both are put
 together again. No shuffle; a row's work grows with its text. Cases: a null text stays null; text without a value is
-returned as it is; what has the form but isn't valid stays; repeated rows give equal results; other columns are kept.
+returned as it is; what has the form but isn't valid stays; repeated rows give equal results; other columns are kept, but a
+column of the input named as the added count gives way to it.
+
+The key is a secret: whoever has it can undo the pseudonyms. It is a required argument, and an empty one is refused.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 ROUNDS = 8
-KEY = "maskmetrics"
 _PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "ipv4": r"(?<![0-9A-Za-z.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
@@ -203,7 +207,7 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of one matched value; the value itself where it isn't valid. back: from pseudonym to value."""
     out = None
     kind = kind_of(m)
@@ -212,12 +216,15 @@ def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", back: bool = False, values: str = "n_values") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = False, values: str = "n_values") -> DataFrame:
     """docs with the values of `text` replaced by pseudonyms (or, back, pseudonyms by values) and `values`, how many were."""
-    own = docs.withColumn("_values", F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))))
-    own = own.withColumn("_new", F.when(F.size("_values") > 0, F.transform("_values", lambda m: pseudonym(m, key, back))))
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    found, new, replaced, n = unused(docs, "_values", "_new", "_text", "_n")
+    own = docs.withColumn(found, F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))))
+    own = own.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key, back))))
     pieces = F.split(F.col(text), PATTERN, -1)
-    joined = F.array_join(F.zip_with(pieces, F.concat(F.col("_new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = F.size(F.filter(F.arrays_zip(F.col("_values").alias("o"), F.col("_new").alias("n")), lambda p: p["o"] != p["n"]))
-    own = own.withColumn("_text", F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(text))).withColumn("_n", F.when(F.col("_new").isNotNull(), changed).otherwise(0))
-    return own.select(*((F.col("_text") if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns if c != values), F.col("_n").alias(values))
+    joined = F.array_join(F.zip_with(pieces, F.concat(F.col(new), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = F.size(F.filter(F.arrays_zip(F.col(found).alias("o"), F.col(new).alias("n")), lambda p: p["o"] != p["n"]))
+    own = own.withColumn(replaced, F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text))).withColumn(n, F.when(F.col(new).isNotNull(), changed).otherwise(0))
+    return own.select(*((F.col(replaced) if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns if c != values), F.col(n).alias(values))

@@ -14,7 +14,7 @@ Labels are joined by key in a shuffle of their own, so a hot source changes noth
 
 Cases: a null or empty text has no sentence and so the score 0. Rows without a label, or whose label is null, don't train.
 With no labelled rows, or none of one label, the model knows no word and every score is its bias's. Repeated rows are each
-scored; extra columns are kept.
+scored; extra columns are kept, but those named as the added ones give way to them.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import drop_path, new_path, per_batch, unused
+from .common import drop_path, new_path, per_batch, small_batches, unused
 
-MAX_PER_LABEL = 2000
+MAX_PER_LABEL = 4000
 MAX_VOCABULARY = 20_000
 THRESHOLD = 0.7
 EVIDENCE = 1.0
@@ -121,6 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     `prune` standard errors, the most different first.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -6.0)
     marked = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_order")).join(
         labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).distinct(), "_key"
@@ -227,7 +228,9 @@ def score_batch(column: pa.Array, model: ToxicityModel):
 def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", sentences_over: float | None = None, score: str = "score", located: str = "sentences") -> DataFrame:
     """docs with `score`, the probability of being toxic; with sentences_over also `located`: (start, end, p) of the sentences of at least that p, in bytes."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    small_batches(docs.sparkSession)
+    added = [score] if sentences_over is None else [score, located]
+    names = [c for c in docs.columns if c not in added]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batch: pa.RecordBatch):
@@ -239,9 +242,9 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", sentences_
                 for i in np.flatnonzero(each >= sentences_over).tolist():
                     where[lo + int(row[i])].append({"start": int(spans[i, 0]), "end": int(spans[i, 1]), "p": float(each[i])})
         more = [pa.array(out)] + ([pa.array(where, kind)] if where is not None else [])
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *more], names=[*names, score, located][: len(names) + len(more)])
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *more], names=[*names, *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score}` double"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), f"`{score}` double"])
     if sentences_over is not None:
         schema += f", `{located}` array<struct<start bigint, end bigint, p double>>"
     return docs.mapInArrow(per_batch(run), schema)

@@ -12,8 +12,9 @@ that a third of all pages share is no hot key. Archives are rolled over at `arch
 piece of a stream. Files go to the shared folder; names are new for each attempt and only those that a finished task reports
 are read, so a lost executor's files are never taken up.
 
-Cases: null html is an empty payload. A page without an id is written too, and has no id when read; it refers to others but is
-referred to only among such pages. Pages of one id and payload are all responses. Null urls have no target header; line breaks in urls are escaped.
+Cases: null html is an empty payload. A page without an id is written too, as a response, and has no id when read; it neither
+refers to others nor is referred to. Pages of one id and payload are all responses. Null urls have no target header; line
+breaks in urls are escaped. Other columns, whatever their names, are left alone. Ids are bigints, or text that holds one.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, new_path, partitions
+from .common import materialised, new_path, partitions, small_batches, unused
 
 ARCHIVE_BYTES = 64 << 20
 PIECE = 1 << 20
@@ -100,20 +101,25 @@ def inflated(stream, piece: int = PIECE) -> Iterator[bytes]:
         yield out
 
 
-def with_referrals(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
-    """pages with _refers_to: the response's id for pages that are revisits. Payloads under `least` bytes are never revisits."""
+def with_referrals(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: int = 0, refers_to: str = "refers_to") -> DataFrame:
+    """pages with `refers_to`: the response's id for pages that are revisits. Payloads under `least` bytes are never revisits.
+
+    A column of pages named `refers_to` gives way to it.
+    """
+    pages = pages.drop(refers_to)
     raw = F.coalesce(F.col(html), F.lit(""))
-    own = pages.where(F.octet_length(raw) >= least).select(F.col(page_id).alias("_page"), F.sha2(raw.cast("binary"), 256).alias("_sha"))
-    tops = own.groupBy("_sha").agg(F.max("_page").alias("_refers_to"))
-    revisits = own.where(F.col("_page").isNotNull()).join(tops, "_sha").where("_page <> _refers_to").distinct()
+    page, sha, key = unused(pages, "_page", "_sha", "_key")
+    own = pages.where(F.octet_length(raw) >= least).select(F.col(page_id).alias(page), F.sha2(raw.cast("binary"), 256).alias(sha))
+    tops = own.groupBy(sha).agg(F.max(page).alias(refers_to))
+    revisits = own.where(F.col(page).isNotNull()).join(tops, sha).where(F.col(page) != F.col(refers_to)).distinct()
     revisits = materialised(revisits, "revisits")
-    keyed = pages.withColumn("_key", F.sha2(raw.cast("binary"), 256))
-    found = keyed.join(revisits, (keyed[page_id] == revisits["_page"]) & (keyed["_key"] == revisits["_sha"]), "left")
-    return found.select(*(pages[c] for c in pages.columns), "_refers_to")
+    keyed = pages.withColumn(key, F.sha2(raw.cast("binary"), 256))
+    found = keyed.join(revisits, (keyed[page_id] == revisits[page]) & (keyed[key] == revisits[sha]), "left")
+    return found.select(*(keyed[c] for c in pages.columns), revisits[refers_to])
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES, level: int = 3) -> DataFrame:
-    """Writes a record for each row (with _refers_to) and gives (path, records) of the archives, each one gzip stream."""
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", refers_to: str = "refers_to", archive_bytes: int = ARCHIVE_BYTES, level: int = 3) -> DataFrame:
+    """Writes a record for each row (with `refers_to`) and gives (path, records) of the archives, each one gzip stream."""
 
     def run(batches):
         stream = z = None
@@ -144,7 +150,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if stream is not None:
             yield close()
 
-    rows = pages.select(F.col(page_id).cast("bigint"), F.col(url).cast("string"), F.col(html), F.col("_refers_to").cast("bigint"))
+    rows = pages.select(F.col(page_id).cast("bigint"), F.col(url).cast("string"), F.col(html), F.col(refers_to).cast("bigint"))
+    small_batches(pages.sparkSession)
     return rows.mapInArrow(run, "path string, records bigint")
 
 
@@ -226,5 +233,6 @@ def read_records(archives: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """pages written, normalised and read back: read_records() of them."""
     folder = new_path(pages.sparkSession, "warc")
+    pages = pages.select("page_id", "url", "html")
     written = materialised(write_archives(with_referrals(pages, least=least), f"{folder}/raw", archive_bytes=archive_bytes), "archives")
     return read_records(materialised(normalise(written, f"{folder}/normal"), "normalised"))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,51 @@ def test_language_id(spark):
     assert out[0][0] == "en" and out[1][0] == "de" and all(out[i] == ("und", 0.0) for i in (2, 3, 4, 5)) and out[6][0] in ("en", "de")
     assert all(0 <= s <= 1 for _, s in out.values())
     assert {r[0] for r in LI.predicted(asked, LI.learn(docs.where("false"))).select("lang_pred").collect()} == {"und"}
+    # every language is learned however few rows there may be of each; too many are refused
+    many = docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 20))
+    assert len(LI.learn(many, max_rows=20).languages) == 20
+    with pytest.raises(ValueError):
+        LI.learn(many, max_rows=19)
+    assert {r["doc_id"] for r in LI.predicted(frame(spark, ["x y " * 40_000]), model).collect()} == {0}
+
+
+def test_features_do_not_depend_on_neighbours():
+    texts = [b"caf\xc3\xa9 the", b"\xff\xfe bad \xe9", b"", b"gar\xc3\xa7on \xe2\x82\xac"]
+    every = [LI.characters(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tolist() for t in texts]
+    points, at = LI.characters(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert [points[a:z].tolist() for a, z in zip(at[:-1], at[1:])] == every and len(every[0]) == 8 and len(every[1]) == 8
+
+
+def test_leader_by_brute_force():
+    # the published per-coordinate updates, one number at a time
+    rng = np.random.default_rng(5)
+    leader = LI.FollowTheRegularisedLeader(6, 3, alpha=0.7, beta=1.0, l1=0.05, l2=0.1)
+    z, n = [[0.0] * 3 for _ in range(6)], [[0.0] * 3 for _ in range(6)]
+    w = lambda i, k: 0.0 if abs(z[i][k]) <= 0.05 else -(z[i][k] - (0.05 if z[i][k] > 0 else -0.05)) / ((1.0 + n[i][k] ** 0.5) / 0.7 + 0.1)
+    for _ in range(60):
+        at = np.sort(rng.choice(6, 3, replace=False))
+        x, label = rng.random(3), int(rng.integers(3))
+        scores = [sum(v * w(i, k) for i, v in zip(at, x)) for k in range(3)]
+        total = sum(np.exp(s) for s in scores)
+        old = {(i, k): w(i, k) for i in at for k in range(3)}
+        for i, v in zip(at, x):
+            for k in range(3):
+                g = v * (np.exp(scores[k]) / total - (k == label))
+                sigma = ((n[i][k] + g * g) ** 0.5 - n[i][k] ** 0.5) / 0.7
+                z[i][k] += g - sigma * old[i, k]
+                n[i][k] += g * g
+        leader.learn(at, x, label)
+    assert np.allclose(leader.weights(), [[w(i, k) for k in range(3)] for i in range(6)])
+
+
+def test_tf_idf_by_brute_force():
+    texts = ["abba", "ab c", "zz"]
+    found = np.concatenate([c for _, _, c, _ in LI.counts(pa.array(texts))])
+    assert found.sum(1).tolist() == [3 * len(t) - 3 for t in texts]
+    idf = np.log((1 + 3) / (1 + (found > 0).sum(0))) + 1
+    x = LI.features(found, idf)
+    want = np.log(1 + found) * idf
+    assert np.allclose(x, want / np.sqrt((want**2).sum(1, keepdims=True)), rtol=1e-5)
 
 
 def test_temperature():
@@ -166,6 +212,31 @@ def test_toxicity(spark):
     assert len(toxicity.learn(docs, labels.where("toxic = 0")).words) == 0
 
 
+def test_noisy_or_fit_by_brute_force():
+    # steps of the written-out likelihood, with its gradient by differences
+    doc, cell_s, cell_w = np.array([0, 0, 1, 2, 3]), np.array([0, 0, 1, 2, 3, 4]), np.array([0, 1, 2, 0, 1, 2])
+    y, spoken, start = np.array([1, 0, 1, 0]), np.array([True, True, True, True]), np.array([2.0, 1.5, 1.2])
+    weight = np.where(y == 1, 0.5 / 2, 0.5 / 2)
+
+    def loss(v):
+        w, b = v[:-1], v[-1]
+        hazard = [np.log1p(np.exp(b))] * 4
+        for s in range(5):
+            evidence = sum(w[j] for i, j in zip(cell_s, cell_w) if i == s)
+            if evidence >= toxicity.EVIDENCE:
+                hazard[doc[s]] += np.log1p(np.exp(b + evidence)) - np.log1p(np.exp(b))
+        each = [-np.log(-np.expm1(-h)) if label else h for h, label in zip(hazard, y)]
+        return float(np.dot(weight, each)) + 0.5 * 1e-4 * float((w**2).sum())
+
+    v, seen = np.array([*start, -6.0]), np.full(4, 1e-8)
+    for _ in range(5):
+        g = np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in np.eye(4) * 1e-5])
+        seen += g * g
+        v = v - 0.3 * g / np.sqrt(seen)
+    model = toxicity.descended(np.arange(3, dtype=np.uint64), start, y, spoken, doc, cell_s, cell_w, steps=5)
+    assert np.allclose([*model.weights, model.bias], v, atol=1e-3)
+
+
 def test_toxicity_does_not_grow_with_length(spark):
     rng = np.random.default_rng(3)
     plain = lambda n: " ".join(" ".join(rng.choice([f"w{i}" for i in range(40)], 9)) + "." for _ in range(n))
@@ -181,14 +252,17 @@ def test_toxicity_does_not_grow_with_length(spark):
 def test_pii(spark):
     text = "Born 1987-03-05, 05/03/1987 or 31.12.1999, ssn 123-45-6789, 666-45-6789, ip 10.0.0.1 300.1.1.1 card 4111 1111 1111 1111 4111111111111112 Anna.Bell_7@x.org +44 20 7946 0958 (555) 123-4567 2023-02-30"
     docs = frame(spark, [text, text + " again", *EDGES])
-    out = {r["doc_id"]: r for r in pii.pseudonymise(docs).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymise(docs, "k").collect()}
+    assert out[0]["text"] != pii.pseudonymise(docs, "another").where("doc_id = 0").first()["text"]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, "")
     assert out[0]["n_values"] == 9 and out[1]["text"] == out[0]["text"] + " again"
     new = out[0]["text"]
     assert len(re.findall(r"\d{4}-\d{2}-\d{2}", new)) >= 2 and "666-45-6789" in new and "300.1.1.1" in new and "4111111111111112" in new and "2023-02-30" in new and "@x.org" in new
     card = re.search(r"4\d{3} \d{4} \d{4} \d{4}", new)[0].replace(" ", "")
     assert sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(card)) % 10 == 0
     assert all(out[i + 2]["text"] == t for i, t in enumerate(EDGES))
-    back = pii.pseudonymise(spark.createDataFrame([(0, new)], "doc_id int, text string"), back=True).first()
+    back = pii.pseudonymise(spark.createDataFrame([(0, new)], "doc_id int, text string"), "k", back=True).first()
     assert back["text"] == text
     days = spark.range(500).select(pii.feistel(F.col("id") % 25, F.floor(F.col("id") / 25), F.lit(25).cast("bigint"), F.lit(20).cast("bigint"), "t", "k").alias("f"))
     assert days.distinct().count() == 500
@@ -227,6 +301,11 @@ def test_ngram_join(spark):
         out = {r["doc_id"]: r for r in J.classes(frame(spark, texts), block=block).collect()}
         assert [out[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
         assert [out[i]["component_id"] for i in range(len(texts))] == components(sets)
+    # a doc_id repeated with another text: each text is judged by itself, and of wholly repeated rows one stays
+    base = [" ".join(rng.choice(vocabulary, 60)) for _ in range(3)]
+    again = frame(spark, [base[0], base[0], base[1], base[2], base[2].upper(), base[1] + " more"], ids=[1, 2, 2, 5, 5, 9]).union(frame(spark, [base[1]], ids=[2]))
+    assert sorted((r["doc_id"], r["text"].lower()) for r in J.keep_one(again).collect()) == sorted([(1, base[0]), (2, base[1]), (5, base[2])])
+    assert [r["component_id"] for r in J.classes(frame(spark, [base[0], base[0]], ids=[-3, 4])).collect()] == [-3, -3]
     kept = J.keep_one(frame(spark, texts))
     assert kept.count() == len(set(components(sets)) | {0, 1, 2}) and J.classes(frame(spark, texts).limit(0)).count() == 0
 
@@ -287,6 +366,24 @@ def test_topk(spark):
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_keeps_ties_and_large_components():
+    rng = np.random.default_rng(11)
+    for trial in range(24):
+        size, n, d = [0.02, 6, 110, 1e5, 1e9, 1e17][trial % 6], int(rng.integers(1, 500)), [1, 3, 64][trial % 3]
+        x = np.floor(rng.normal(size=(n, d)) * size * 256)
+        if n > 250:  # more equal best rows than are ever resolved early
+            x[40:240] = x[np.argmax(x @ x[0])]
+        ids = rng.permutation(3 * n)[:n].astype(np.int64)
+        exact = np.array([[int(v) for v in row] for row in x], object)
+        m = min(n, 12)
+        at, found, score = topk.SortedLists(ids, x).top(ids[:m], x[:m], 5, 8)
+        for i in range(m):
+            s = exact @ exact[i]
+            best = [j for j in sorted(range(n), key=lambda j: (-s[j], ids[j])) if j != i][:5]
+            assert found[at == i].tolist() == [ids[j] for j in best]
+            assert score[at == i].tolist() == [max(-(2**63), min(2**63 - 1, s[j])) for j in best]
+
+
 BENCH = "item_id string, text string"
 
 
