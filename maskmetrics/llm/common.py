@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -72,6 +74,13 @@ def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles that nothing refers to any more. py4j passes on what Python has dropped within a second."""
+    gc.collect()
+    time.sleep(1.2)
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder that new_path gave, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

@@ -1,7 +1,7 @@
 """A hierarchical Pitman-Yor language model: seatings by Gibbs, scores from averaged predictive probabilities.
 
-A text is its words, A-Z lower-cased, and one end. A token's context is the word before it (the end, at a text's start), by
-its 64-bit hash. Each context has a restaurant whose parent is one restaurant of all words; that one's parent is uniform over
+A text is its words, A-Z lower-cased, and one end. A token's context is the word before it (the end, at a text's start).
+Words are told apart by 64 bits of a hash, contexts by 48 of them: of a hundred million contexts about 18 pairs are one. Each context has a restaurant whose parent is one restaurant of all words; that one's parent is uniform over
 the V known words and one unknown. With counts c, tables t and sums over words n, T:
 
     P(w | u) = (c_uw - d t_uw + (theta + d T_u) P(w)) / (theta + n_u)
@@ -21,7 +21,8 @@ of them, and their parent numbers are added up and seated by the driver. Pairs a
 are dealt, so a text that a third of all documents repeats weighs little. Only dishes of two customers or more are carried
 from sweep to sweep. After each, a block sends by how much the tables of their contexts have changed to slices of the
 contexts, which send the sums back; neither counts nor contexts nor the vocabulary are ever collected or broadcast. At the
-end the documents' pairs are dealt out by chunk with the documents that hold them, and sums by document come back. Random
+end all documents' pairs are dealt out once for the sums of their contexts, and once with the documents that hold them; sums
+by document come back. Random
 numbers are hashes of word, context and sweep, so seating and scores are the same for any number of blocks and partitions (but
 for the last bits, as sums of doubles are taken in another order), and wherever a block is worked out again.
 
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -43,16 +45,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import drop_path, materialised, partitions, small_batches
+from .common import drop_path, forget, materialised, partitions, small_batches
 
 EXACT = 64
 STEPS = 12
 NEAR, TERMS = 1.5, 40
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 3 << 19
 CHUNK_DOCS = 60_000
 DISCOUNT, STRENGTH = 0.8, 2.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 END = np.uint64(0x5BD1E9955BD1E995)
+#: A context is a word's hash without its last 16 bits.
+CONTEXT = np.uint64(16)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +86,17 @@ def _unpacked(raw) -> list[np.ndarray]:
     return out
 
 
+def _six(x: np.ndarray) -> np.ndarray:
+    """Numbers of 48 bits as bytes, six each."""
+    return x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6].ravel()
+
+
+def _eight(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.ravel().view("<u8")
+
+
 def _narrow(x: np.ndarray) -> np.ndarray:
     low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
     kinds = (np.uint8, np.uint16, np.uint32, np.uint64) if low >= 0 else (np.int8, np.int16, np.int32, np.int64)
@@ -115,7 +130,7 @@ class Chunk:
         self.n += len(words)
 
     def dealt(self, blocks: int, name: int, hot: np.ndarray, counted: bool):
-        """The (word, context) pairs by block: counted, or with the documents that hold them."""
+        """The (word, context) pairs by block: with how often they stand in documents that train, or with the documents that hold them."""
         words, rows = (np.concatenate(x) for x in zip(*self.parts))
         self.parts = []
         known, word = np.unique(words, return_inverse=True)
@@ -123,7 +138,7 @@ class Chunk:
         # a token's context is the token before it; a text's first follows the end of the text before
         context = np.empty_like(word)
         context[0], context[1:] = np.searchsorted(known, END), word[:-1]
-        block = block_of(words, known[context], hot, blocks).astype(np.uint32)
+        block = block_of(words, known[context] >> CONTEXT, hot, blocks).astype(np.uint32)
         del words
         bits, n = max(1, len(known).bit_length()), len(word)
         if 2 * bits + blocks.bit_length() <= 64:
@@ -146,8 +161,12 @@ class Chunk:
             t, w = np.flatnonzero(new_type[x:y]), np.flatnonzero(new_word[x:y])
             per_type = np.diff(t, append=y - x)
             types = np.diff(np.searchsorted(t, w), append=len(t))
-            pairs = known[word[x:y][w]], _narrow(types), known[context[x:y][t]], _narrow(per_type)
-            if not counted:
+            pairs = known[word[x:y][w]], _narrow(types), _six(known[context[x:y][t]] >> CONTEXT)
+            if counted:
+                trains = np.concatenate(([0], np.cumsum(~held[rows[x:y]])))
+                pairs = *pairs, _narrow(trains[np.append(t[1:], y - x)] - trains[t])
+            else:
+                pairs = *pairs, _narrow(per_type)
                 docs, local = np.unique(rows[x:y], return_inverse=True)
                 pairs = *pairs, _narrow(local), docs.astype(np.uint16), np.packbits(held[docs])
             out[0].append(b)
@@ -171,6 +190,7 @@ class Block:
         at = 0
         for raw in pairs:
             w, per_word, u, per_type, *rest = _unpacked(raw)
+            u = _eight(u)
             words.append(np.repeat(w, per_word))
             contexts.append(u)
             if rest:
@@ -246,28 +266,47 @@ def _series(discount: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array([-np.inf if q else -math.lgamma(-x) for x, q in zip(j, pole)]), np.array([0.0 if q else 1.0 if math.floor(-x) % 2 == 0 else -1.0 for x, q in zip(j, pole)])
 
 
-def log_stirling(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
-    """log S_d(c, t), 1 <= t <= c, c large: an alternating sum while t is below NEAR c^d, and the saddle point of the generating function beyond."""
-    c, t = np.asarray(c, np.float64), np.asarray(t, np.float64)
-    out = np.zeros(len(c))  # t = c: S is 1
-    near = t <= NEAR * c**discount
-    x, y = c[near], t[near]
-    if len(x):
+class LargeDishes:
+    """log S_d(c, t) of dishes with many customers each, at one t for each, 1 <= t <= c.
+
+    An alternating sum while t is below NEAR c^d; the saddle point of the generating function beyond. What depends on c alone
+    is worked out once.
+    """
+
+    def __init__(self, c: np.ndarray, discount: float):
+        self.c, self.d = np.asarray(c, np.float64), discount
+        self.scale = self.c**discount
         log, sign = _series(discount)
-        top, total = _log_gamma(x - discount) + np.log(y) + log[0], np.zeros(len(x))
-        choose = np.zeros(len(x))
-        for j in range(1, TERMS + 1):
-            choose = choose + np.log(np.maximum(y - j + 1, 1e-300) / j)
-            if sign[j - 1]:
-                total += np.where(y >= j, sign[j - 1] * (-1) ** j * np.exp(choose + _log_gamma(np.maximum(x - discount * j, 1e-9)) + log[j - 1] - top), 0)
-        out[near] = top + np.log(np.maximum(total, 1e-300)) - y * np.log(discount) - _log_gamma(y + 1)
-    far = ~near & (t < c)
-    x, y = c[far], t[far]
-    if len(x):
-        at, value, curvature = _saddle(discount)
-        place = np.log(x / y - 1)
-        out[far] = _log_gamma(x + 1) - _log_gamma(y + 1) + y * np.interp(place, at, value) - 0.5 * (np.log(2 * np.pi * y) + np.interp(place, at, curvature))
-    return out
+        top = _log_gamma(self.c - discount)
+        self.first = top + log[0]
+        self.terms = [
+            sign[j - 1] * (-1) ** j * np.exp(_log_gamma(np.maximum(self.c - discount * j, 1e-9)) - top + log[j - 1] - log[0] + discount * (j - 1) * np.log(self.c)) if sign[j - 1] else None
+            for j in range(1, TERMS + 1)
+        ]
+        self.whole = _log_gamma(self.c + 1)
+
+    def log(self, t: np.ndarray) -> np.ndarray:
+        t = np.asarray(t, np.float64)
+        near = t <= NEAR * self.scale
+        total, falling = self.terms[0].copy(), np.ones(len(t))
+        for j in range(2, TERMS + 1):
+            falling = falling * (t - j + 1) / (j * self.scale)  # 0 from j = t + 1 on
+            if self.terms[j - 1] is not None:
+                total += falling * self.terms[j - 1]
+        fewer = _log_gamma(t + 1)
+        out = self.first + np.log(t) + np.log(np.maximum(total, 1e-300)) - t * np.log(self.d) - fewer
+        far = np.flatnonzero(~near)
+        if len(far):
+            at, value, curvature = _saddle(self.d)
+            c, t = self.c[far], t[far]
+            place = np.log(np.maximum(c / t - 1, 1e-300))
+            by_saddle = self.whole[far] - fewer[far] + t * np.interp(place, at, value) - 0.5 * (np.log(2 * np.pi * t) + np.interp(place, at, curvature))
+            out[far] = np.where(t < c, by_saddle, 0.0)  # t = c: S is 1
+        return out
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    return LargeDishes(c, discount).log(t)
 
 
 def seated(count: np.ndarray, tables: np.ndarray, strength: np.ndarray, p: np.ndarray, discount: float, key: np.ndarray, salt: int) -> np.ndarray:
@@ -283,10 +322,11 @@ def seated(count: np.ndarray, tables: np.ndarray, strength: np.ndarray, p: np.nd
             log = np.cumsum(np.log((strength[at, None] + discount * np.arange(c)) * p[at, None]), 1) + small[c, 1 : c + 1]
             total = np.cumsum(np.exp(log - log.max(1, keepdims=True)), 1)
             out[at] = 1 + (total < _uniform(key[at], salt)[:, None] * total[:, -1:]).sum(1)
-    at = order[sizes[-1] :]
-    if len(at):
+    for a in range(sizes[-1], len(order), 1 << 15):
+        at = order[a : a + (1 << 15)]
+        dishes = LargeDishes(count[at], discount)
         c, t, s, lp, k = count[at].astype(float), tables[at].astype(float), strength[at] / discount, np.log(p[at] * discount), key[at]
-        weight = lambda t: log_stirling(c, t, discount) + _log_gamma(s + t) + t * lp
+        weight = lambda t: dishes.log(t) + _log_gamma(s + t) + t * lp  # noqa: E731, B023
         low, high = np.ones(len(at)), c.copy()
         while (high > low).any():  # the mode
             middle = np.floor((low + high) / 2)
@@ -296,7 +336,7 @@ def seated(count: np.ndarray, tables: np.ndarray, strength: np.ndarray, p: np.nd
         bend = 2 * weight(low) - weight(np.minimum(low + step, c)) - weight(np.maximum(low - step, 1))
         width = np.clip(step / np.sqrt(np.maximum(bend, 1e-9)), 1, c)
         # steps are proposed about the mode, by a rounded Cauchy distribution
-        dense = lambda t: np.log(np.arctan2(1 / width, 1 + ((t - low) ** 2 - 0.25) / width**2))
+        dense = lambda t: np.log(np.arctan2(1 / width, 1 + ((t - low) ** 2 - 0.25) / width**2))  # noqa: E731, B023
         now = weight(t) - dense(t)
         for i in range(STEPS):
             to = np.rint(low + width * np.tan(np.pi * (_uniform(k, salt, i, 0) - 0.5)))
@@ -454,13 +494,18 @@ def hot_words(texts: DataFrame, text: str, blocks: int) -> np.ndarray:
 def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", burn_in: int = 3, samples: int = 3, seed: int = 11) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row; rows not held out train."""
     spark = docs.sparkSession
-    blocks = 2 * partitions(spark)
+    blocks = partitions(spark)
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     training = rows.where(~F.col("held_out"))
     hot = hot_words(training, "text", blocks)
 
+    # a task for each core or each eight blocks, so that a sweep doesn't write many small files
+    few = max(spark.sparkContext.defaultParallelism, -(-blocks // 8))
+
     def dealt(df: DataFrame, counted: bool) -> DataFrame:
+        """Chunks' pairs by block; counted: without the documents."""
+
         def run(batches):
             chunk, made, part = Chunk(), 0, TaskContext.get().partitionId()
             for batch in batches:
@@ -482,7 +527,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 
         return df.mapInArrow(run, "block int, chunk bigint, pairs binary, meta binary")
 
-    edges = np.array([(i << 64) // blocks for i in range(1, blocks)], np.uint64)
+    edges = np.array([(i << 48) // blocks for i in range(1, blocks)], np.uint64)
     scalars = ("n", "v", "c0", "t0")
     shape = "block int, slice int, state binary, contexts binary, sums binary, n bigint, v bigint, c0 bigint, t0 bigint, hot array<bigint>"
 
@@ -492,7 +537,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
         of = [(i, a, z) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
         return pa.table({
             "block": pa.array([block] * len(of), pa.int32()), "slice": pa.array([i for i, _, _ in of], pa.int32()),
-            "contexts": pa.array([_packed(contexts[a:z]) for _, a, z in of], pa.binary()), "sums": pa.array([_packed(*(_narrow(y[a:z]) for y in sums)) for _, a, z in of], pa.binary()),
+            "contexts": pa.array([_packed(_six(contexts[a:z])) for _, a, z in of], pa.binary()), "sums": pa.array([_packed(*(_narrow(y[a:z]) for y in sums)) for _, a, z in of], pa.binary()),
         })
 
     def told(block: int, x: Seating, contexts: np.ndarray, change: np.ndarray) -> pa.Table:
@@ -509,7 +554,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 
     def added(table: pa.Table) -> pa.Table:
         """The sums over all blocks, for each block those of its contexts."""
-        contexts = [_unpacked(x.as_buffer())[0] for x in table["contexts"]]
+        contexts = [_eight(_unpacked(x.as_buffer())[0]) for x in table["contexts"]]
         sums = [np.concatenate(x) for x in zip(*(_unpacked(x.as_buffer()) for x in table["sums"]))]
         known, at = np.unique(np.concatenate(contexts), return_inverse=True)
         ends = np.cumsum([len(x) for x in contexts])[:-1]
@@ -525,13 +570,13 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 
     paths: list[str] = []
 
-    def written(df: DataFrame) -> tuple[DataFrame, DataFrame, dict, np.ndarray, np.ndarray]:
+    def written(seatings: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame, dict, np.ndarray, np.ndarray]:
         """(seatings, sums for each block, totals, hot words' customers and tokens) after a sweep."""
-        found = materialised(df, "seating", paths)
+        found = materialised(seatings().coalesce(few), "seating", paths)
         for old in paths[:-1]:
             drop_path(spark, old)
         del paths[:-1]
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffles of the sweep before
+        forget(spark)
         own = found.where("slice < 0")
         totals = own.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in scalars)).first().asDict()
         of_hot = np.zeros(2 * len(hot), np.int64)
@@ -556,14 +601,14 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 
         return run
 
-    state, sums, totals, hot_customers, hot_tokens = written(dealt(training, True).groupBy("block").applyInArrow(first, shape))
+    state, sums, totals, hot_customers, hot_tokens = written(lambda: dealt(training, True).groupBy("block").applyInArrow(first, shape))
     n, v = totals["n"], float(totals["v"] + (hot_tokens > 0).sum())
     hot_tables = np.minimum(hot_customers, 1)
     root = Root(v, float(totals["c0"]), float(totals["t0"] + hot_tables.sum()), hot_customers, hot_tables)
     roots = []
     for i in range(burn_in + samples):
         if n:
-            state, sums, totals, hot_customers, _ = written(state.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(sweep(i, root), shape))
+            state, sums, totals, hot_customers, _ = written(lambda: state.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(sweep(i, root), shape))  # noqa: B023
             hot_tables = root.seated(hot, hot_customers, root.tables, seed * 1000 + i)
             root = Root(v, float(totals["c0"]), float(totals["t0"] + hot_tables.sum()), hot_customers, hot_tables)
         if i >= burn_in:
@@ -595,10 +640,12 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
                 out.append(_packed(rows, np.bincount(local, base[token_type], m), np.bincount(local, score[token_type], m), _narrow(np.bincount(local, known[token_type], m).astype(np.int64))))
         return pa.table({"chunk": asked["chunk"], "sums": pa.array(out, pa.binary()), "meta": asked["meta"]})
 
-    asked = dealt(rows, False)  # dealt out once, for both
-    contexts = asked.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(contexts_asked, "block int, slice int, contexts binary, sums binary")
-    own = everywhere(contexts).union(state.select("block", F.lit(-1), "state"))
-    answers = asked.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(answer, "chunk bigint, sums binary, meta binary")
+    # in two jobs, so that the shuffles of the one are gone when the other begins
+    contexts = dealt(rows, True).groupBy("block").cogroup(state.groupBy("block")).applyInArrow(contexts_asked, "block int, slice int, contexts binary, sums binary")
+    known = materialised(everywhere(contexts).coalesce(few), "contexts")
+    del contexts
+    forget(spark)
+    answers = dealt(rows, False).groupBy("block").cogroup(known.union(state.select("block", F.lit(-1), "state")).groupBy("block")).applyInArrow(answer, "chunk bigint, sums binary, meta binary")
 
     def documents(table: pa.Table) -> pa.Table:
         ids, null, held, n_tokens = next(_unpacked(x.as_buffer()) for x in table["meta"] if x.is_valid)
