@@ -74,10 +74,16 @@ def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffles that nothing refers to any more. py4j passes on what Python has dropped within a second."""
+def forget(spark: SparkSession, rounds: int = 0) -> None:
+    """Lets Spark delete the shuffles that nothing refers to any more.
+
+    py4j passes on what Python has dropped within a second, and some of it goes at the second collection only: with 2 rounds
+    all are gone, with none those of some time ago.
+    """
     gc.collect()
-    time.sleep(1.2)
+    for _ in range(rounds):
+        time.sleep(1.2)
+        spark.sparkContext._jvm.System.gc()
     spark.sparkContext._jvm.System.gc()
 
 

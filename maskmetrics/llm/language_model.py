@@ -527,7 +527,9 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 
         return df.mapInArrow(run, "block int, chunk bigint, pairs binary, meta binary")
 
-    edges = np.array([(i << 48) // blocks for i in range(1, blocks)], np.uint64)
+    # fewer than the blocks, which each have a message for each of them
+    slices = min(blocks, math.ceil(4 * math.sqrt(blocks)))
+    edges = np.array([(i << 48) // slices for i in range(1, slices)], np.uint64)
     scalars = ("n", "v", "c0", "t0")
     shape = "block int, slice int, state binary, contexts binary, sums binary, n bigint, v bigint, c0 bigint, t0 bigint, hot array<bigint>"
 
@@ -644,7 +646,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     contexts = dealt(rows, True).groupBy("block").cogroup(state.groupBy("block")).applyInArrow(contexts_asked, "block int, slice int, contexts binary, sums binary")
     known = materialised(everywhere(contexts).coalesce(few), "contexts")
     del contexts
-    forget(spark)
+    forget(spark, 2)
     answers = dealt(rows, False).groupBy("block").cogroup(known.union(state.select("block", F.lit(-1), "state")).groupBy("block")).applyInArrow(answer, "chunk bigint, sums binary, meta binary")
 
     def documents(table: pa.Table) -> pa.Table:
