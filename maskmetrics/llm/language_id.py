@@ -5,8 +5,9 @@ ASCII characters that aren't letters made blank. Weights are learned by follow-t
 coordinate) with L1 and L2 penalties; a part of the sample is left out of that and sets the temperature.
 
 Scale: document frequencies are counted over all training rows, added up by bucket. The classifier is fitted on a bounded
-sample: of each language the `max_per_language` distinct texts whose hashes are lowest, or fewer where so many languages would
-make more than `max_rows` of them in all; both are parameters, and every language of the training rows is learned. What
+sample: of each language the `max_per_language` distinct texts whose hashes are lowest (of the rows that hash among the
+language's lowest 4 * `max_per_language`, so fewer where three rows of four are copies), or fewer where so many languages
+would make more than `max_rows` of them in all; both are parameters, and every language of the training rows is learned. What
 reaches the driver are those texts' sparse features. What is shipped back are BUCKETS weights a language. Scoring is one scan
 over whole texts without a shuffle.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import per_batch, small_batches
+from .common import materialised, per_batch, small_batches
 
 BUCKETS = 1 << 14
 MAX_PER_LANGUAGE = 1000
@@ -183,14 +184,17 @@ def learn(docs: DataFrame, language: str = "lang", text: str = "text", max_per_l
     df = np.zeros(BUCKETS + 1)
     df[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    languages = rows.select("lang").distinct().count()
+    sizes = materialised(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    languages = sizes.count()
     if not languages:
         return fit([], [], idf)
     if languages > max_rows:
         raise ValueError(f"{languages} languages can't be learned from at most {max_rows} rows")
     quota = max(1, min(max_per_language, max_rows // languages))
-    # only (language, hash) is sorted; each task passes on its lowest `quota` of a language
-    ranked = rows.where(F.col("text").isNotNull()).select("lang", "place").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+    # only (language, hash) is sorted, of the rows that hash among the lowest 4 * quota of their language
+    low = F.shiftrightunsigned(F.col("place").bitwiseXOR(F.lit(-1 << 63)), 11) < 4 * quota / F.col("rows") * float(1 << 53)
+    near = rows.where(F.col("text").isNotNull()).select("lang", "place").join(F.broadcast(sizes), "lang").where(low)  # sizes: a row a language
+    ranked = near.select("lang", "place").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
     ends = ranked.where(F.col("rank") <= quota).groupBy("lang").agg(F.max("place").alias("end"))
     drawn = rows.join(F.broadcast(ends), "lang").where("place <= end")  # a row a language, at most max_rows
 
