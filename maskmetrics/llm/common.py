@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -123,6 +123,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def split_by(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, buckets: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be one of wanted's, rows whose key is none), without a shuffle of rows.
+
+    What is broadcast is the hash buckets that wanted's keys fall into, at most `buckets` integers. A join with wanted then
+    moves the first of the two only: wanted's rows and those that share a bucket with them by chance.
+    """
+    (name,) = unused(rows, "_bucket")
+    bucket = lambda k: F.pmod(F.xxhash64(k), F.lit(buckets)).cast("int")
+    held = F.broadcast(wanted.select(bucket(wanted_key).alias(name)).distinct())
+    own = rows.withColumn(name, bucket(key))
+    return own.join(held, name, "left_semi").select(*rows.columns), own.join(held, name, "left_anti").select(*rows.columns)
+
+
 def crc_remainder(column: str, modulus: int):
     """crc32 of a column as text, modulo; null where the column is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, drop_path, materialised, partitions, per_batch, small_batches
+from .common import components, drop_path, materialised, partitions, per_batch, small_batches, split_by
 
 NGRAM = 5
 SIMILARITY = (75, 100)
@@ -404,7 +404,7 @@ def groups(docs: DataFrame, frequent: np.ndarray, blocks: int, ngram: int = NGRA
     return dealt.groupBy("block").applyInArrow(gather, "pivot binary, key binary").distinct()
 
 
-def _joined(docs: DataFrame, dealt: DataFrame, ngram: int, similarity: tuple[int, int]) -> DataFrame:
+def _joined(docs: DataFrame, dealt: DataFrame, ngram: int, similarity: tuple[int, int], paths: list[str]) -> DataFrame:
     """(a, b): links between the nodes in each (pivot, i, j) of dealt that are of different classes, enough to make all their classes.
 
     dealt: pivot, i, j, key, node, doc_id, n, bits, class (what is known of the member's class; its node, if nothing).
@@ -424,6 +424,9 @@ def _joined(docs: DataFrame, dealt: DataFrame, ngram: int, similarity: tuple[int
     # dealt by block, even where a join has dealt by pivot before: that would do for groupBy, with all blocks in one task
     left = dealt.repartition("pivot", "i", "j").groupBy("pivot", "i", "j").applyInArrow(could_link, "pivot binary, i int, j int, key binary, node string, doc_id bigint, class string").distinct()
     wanted = left.groupBy("doc_id", "key", "node", "class").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("groups")).withColumnRenamed("key", "wanted")
+    wanted = materialised(wanted, "wanted", paths)
+    texts = docs.select("doc_id", "text")
+    texts, _ = split_by(texts, texts["doc_id"], wanted, wanted["doc_id"])
     kinds = {"pivot": pa.binary(), "i": pa.int32(), "j": pa.int32(), "node": pa.string(), "class": pa.string(), "grams": pa.binary()}
 
     def members(out: list) -> pa.RecordBatch:
@@ -463,7 +466,7 @@ def _joined(docs: DataFrame, dealt: DataFrame, ngram: int, similarity: tuple[int
         found = join_group(sets, similarity, known)
         return pa.table({"a": pa.array([nodes[at[x]] for x, _ in found], pa.string()), "b": pa.array([nodes[at[y]] for _, y in found], pa.string())})
 
-    fetched = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "wanted", "node", "class", "groups").mapInArrow(per_batch(fetch), "pivot binary, i int, j int, node string, class string, grams binary")
+    fetched = texts.join(wanted, "doc_id").select("text", "wanted", "node", "class", "groups").mapInArrow(per_batch(fetch), "pivot binary, i int, j int, node string, class string, grams binary")
     return fetched.groupBy("pivot", "i", "j").applyInArrow(join, "a string, b string")
 
 
@@ -495,7 +498,7 @@ def linked(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tup
     own = lambda parts, name: F.pmod(F.xxhash64("key", F.lit(name)), F.col(parts)).cast("int")
     placed = members.join(nodes, "key").join(sizes, "pivot", "left").fillna(1, ["parts"]).withColumn("class", F.col("node"))
     alone = F.transform(F.when(F.col("key") == F.col("pivot"), _every("parts")).otherwise(F.array(own("parts", "member"))), lambda i: pair(i, i))
-    first = materialised(_joined(docs, dealt(placed.withColumn("to", alone)), ngram, similarity), "links", done)
+    first = materialised(_joined(docs, dealt(placed.withColumn("to", alone)), ngram, similarity, done), "links", done)
     found = materialised(components(first), "classes")
     if not sizes.isEmpty():
         # then those of a large group that aren't of its most numerous class meet all its members; two of that class need not meet
@@ -508,7 +511,7 @@ def linked(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tup
         as_member = F.transform(_every("rest"), lambda i: pair(i, own("parts", "member")))
         as_other = F.transform(_every("parts"), lambda j: pair(own("rest", "other"), j))
         to = F.when(F.col("class") == F.col("most"), as_member).otherwise(F.array_distinct(F.concat(as_member, as_other)))
-        second = materialised(_joined(docs, dealt(open_groups.withColumn("to", to)), ngram, similarity), "links", done)
+        second = materialised(_joined(docs, dealt(open_groups.withColumn("to", to)), ngram, similarity, done), "links", done)
         if not second.isEmpty():
             found = materialised(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)), "classes")
     for path in done:
@@ -516,17 +519,18 @@ def linked(docs: DataFrame, rows: DataFrame, ngram: int = NGRAM, similarity: tup
     return nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
 
 
-def _classed(docs: DataFrame, doc_id: str, text: str, ngram: int, similarity: tuple[int, int], frequent: float, block: int) -> DataFrame:
-    """(doc_id, text_id, n, key, component) of each row; component is null without a doc_id or with an empty set."""
+def _classed(docs: DataFrame, doc_id: str, text: str, ngram: int, similarity: tuple[int, int], frequent: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_id, n, key) of each row; (key, component) of each set that isn't empty and has a doc_id."""
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_id"))
     rows = materialised(document_sets(narrow, ngram, frequent), "sets")
     found = linked(narrow.select("doc_id", "text"), rows, ngram, similarity, block)
-    return rows.where("kind = 'd'").drop("kind", "bits").join(found, "key", "left")
+    return rows.where("kind = 'd'").drop("kind", "bits"), found
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, similarity: tuple[int, int] = SIMILARITY, frequent: float = FREQUENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: the smallest doc_id that links of the similarity reach."""
-    found = _classed(docs, doc_id, text, ngram, similarity, frequent, block)
+    rows, found = _classed(docs, doc_id, text, ngram, similarity, frequent, block)
+    found = rows.join(found, "key", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(_doc_id("component"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -536,15 +540,25 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram:
 
     Rows without a doc_id, and those with an empty set, stay; of rows repeated with their id and text, one stays.
     """
-    found = _classed(docs, doc_id, text, ngram, similarity, frequent, block).where("doc_id IS NOT NULL").groupBy("doc_id", "text_id", "key", "n", "component").count()
-    found = materialised(found, "texts")
+    rows, found = _classed(docs, doc_id, text, ngram, similarity, frequent, block)
+    texts = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "text_id", "key", "n").count()
+    found = materialised(texts.join(found, "key", "left"), "texts")
     stays = found.where((F.col("n") == 0) | (_node("doc_id", "key") == F.col("component")))
     first = stays.where("n > 0").groupBy("doc_id", "key").agg(F.min("text_id").alias("text_id"))
     kept = materialised(first.select("doc_id", "text_id").union(stays.where("n = 0").select("doc_id", "text_id")).distinct(), "kept")
     gone = materialised(found.select("doc_id", "text_id").distinct().join(kept, ["doc_id", "text_id"], "left_anti"), "gone")
     twice = materialised(found.where("count > 1").select("doc_id", "text_id").distinct().join(gone, ["doc_id", "text_id"], "left_anti"), "twice")
-    same = lambda other: (docs[doc_id].cast("bigint") == other["doc_id"]) & (F.xxhash64(docs[text]) == other["text_id"])
-    remaining = docs.join(gone, same(gone), "left_anti")
+    name = lambda df, doc_id, text_id: F.struct(df[doc_id].cast("bigint"), text_id)
+
+    def apart(df: DataFrame, other: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+        """(rows of df that are, or aren't, in other, of those that may be; the rest)"""
+        near, rest = split_by(df, name(df, doc_id, F.xxhash64(df[text])), other, name(other, "doc_id", other["text_id"]))
+        same = (near[doc_id].cast("bigint") == other["doc_id"]) & (F.xxhash64(near[text]) == other["text_id"])
+        return near.join(other, same, kind), rest
+
+    near, rest = apart(docs, gone, "left_anti")
+    remaining = near.unionByName(rest)
     if twice.isEmpty():
         return remaining
-    return remaining.join(twice, same(twice), "left_anti").unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates([doc_id, text]))
+    near, rest = apart(remaining, twice, "left_anti")
+    return near.unionByName(rest).unionByName(apart(docs, twice, "left_semi")[0].dropDuplicates([doc_id, text]))
