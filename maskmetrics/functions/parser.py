@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -26,17 +26,22 @@ _ENTITIES = re.compile(r"(?P<EMAIL>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<IP>\d{1,3}(
 IGNORABLE_WORDS = sorted({*T.TOKENS_TO_IGNORE, *(w for c in T.POS_TO_IGNORE for w in CLOSED_CLASSES.get(c, []))})
 
 
-@F.pandas_udf(ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("label", StringType())))
-def entity_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "label": m.lastgroup} for m in _ENTITIES.finditer(t or "")])
+@F.arrow_udf(ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("label", StringType())))
+def entity_spans(texts: pa.Array) -> pa.Array:
+    ends, rows = [0], []
+    for text in texts.to_pylist():
+        rows.extend((*m.span(), m.lastgroup) for m in _ENTITIES.finditer(text or ""))
+        ends.append(len(rows))
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["start", "end", "label"]))
 
 
 def tokens(documents: DataFrame) -> DataFrame:
     """(doc_id, tok_ord, start, end, text, lower, pos, lemma, is_stop, ent_id, ent_label, chunk_id)."""
-    each = documents.select("doc_id", "text", entity_spans("text").alias("ents"), F.posexplode(T.term_spans("text")).alias("tok_ord", "p"))
+    each = documents.select("doc_id", entity_spans("text").alias("ents"), F.posexplode(T.term_texts("text")).alias("tok_ord", "p"))
     own = F.filter("ents", lambda e: (e["start"] <= F.col("p.start")) & (F.col("p.end") <= e["end"]))
     out = each.select(
-        "doc_id", "tok_ord", F.col("p.start").alias("start"), F.col("p.end").alias("end"), T.slice_of(F.col("text"), F.col("p.start"), F.col("p.end")).alias("text"),
+        "doc_id", "tok_ord", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.text").alias("text"),
         F.get(own, F.lit(0)).alias("_ent"),
     )
     lower = F.lower("text")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 #: The fixed values of the measures: marks that anonymizers leave, in their order; what may stay unmasked.
 MASK_MARKS = [
@@ -24,21 +25,73 @@ WORD = r"[\p{L}\p{N}_]"
 SPAN = StructType().add("start", IntegerType()).add("end", IntegerType())
 
 
-def spans(pattern: str) -> Callable[[Column], Column]:
-    """The spans of a (Python) pattern's matches in a text, in code points; row by row, so nothing is shuffled."""
+TOKEN = StructType().add("start", IntegerType()).add("end", IntegerType()).add("text", StringType())
+PIECE = StructType().add("i", IntegerType()).add("n", IntegerType()).add("start", IntegerType()).add("end", IntegerType()).add("text", StringType())
+
+
+def _numbers(values: list) -> pa.Array:
+    return pa.array(np.asarray(values, np.int32))
+
+
+def spans(pattern: str, with_text: bool = False) -> Callable[[Column], Column]:
+    """The spans of a (Python) pattern's matches in a text, in code points, from one Arrow batch to another; nothing is shuffled."""
     compiled = re.compile(pattern)
 
-    @F.pandas_udf(ArrayType(SPAN))
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else [{"start": m.start(), "end": m.end()} for m in compiled.finditer(t)])
+    @F.arrow_udf(ArrayType(TOKEN if with_text else SPAN))
+    def found(texts: pa.Array) -> pa.Array:
+        ends, edges, words = [0], [], []
+        for text in texts.to_pylist():
+            for m in compiled.finditer(text or ""):
+                edges.append(m.span())
+                if with_text:
+                    words.append(m.group())
+            ends.append(len(edges))
+        edges = np.asarray(edges, np.int32).reshape(-1, 2)
+        columns, names = [pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["start", "end"]
+        if with_text:
+            columns, names = [*columns, pa.array(words, pa.string())], [*names, "text"]
+        return pa.ListArray.from_arrays(_numbers(ends), pa.StructArray.from_arrays(columns, names))
 
     return found
 
 
-#: Words; words and other visible characters; runs of what may not be ignored.
+def spans_within(pattern: str) -> Callable[[Column, Column, Column], Column]:
+    """What a pattern matches in slices of a text, given by arrays of starts and ends: the slice's place i, the match's place n in it, its span in the text and its text."""
+    compiled = re.compile(pattern, re.DOTALL)
+
+    @F.arrow_udf(ArrayType(PIECE))
+    def found(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        sizes, rows, words = [0], [], []
+        for text, a, z in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist()):
+            for i, (x, y) in enumerate(zip(a or (), z or ())):
+                for n, m in enumerate(compiled.finditer(text or "", max(x, 0), max(x, y, 0))):
+                    rows.append((i, n, *m.span()))
+                    words.append(m.group())
+            sizes.append(len(rows))
+        rows = np.asarray(rows, np.int32).reshape(-1, 4)
+        return pa.ListArray.from_arrays(_numbers(sizes), pa.StructArray.from_arrays([*(pa.array(rows[:, k].copy()) for k in range(4)), pa.array(words, pa.string())], ["i", "n", "start", "end", "text"]))
+
+    return found
+
+
+#: Words; words and other visible characters; runs of what may not be ignored; a slice as a whole.
 word_spans = spans(r"\w+")
+word_texts = spans(r"\w+", with_text=True)
 term_spans = spans(r"\w+|[^\w\s]")
-solid_spans = spans("[^" + re.escape(CHARACTERS_TO_IGNORE) + "]+")
+term_texts = spans(r"\w+|[^\w\s]", with_text=True)
+words_within = spans_within(r"\w+")
+solid_within = spans_within("[^" + re.escape(CHARACTERS_TO_IGNORE) + "]+")
+wholes_within = spans_within(".+")
+
+
+def matches_in(slices: DataFrame, documents: DataFrame, found: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """slices' columns (doc_id, start and end among them) as a struct `of`, and `p`, one match of `found` in the slice.
+
+    A document's text goes along once for all its slices, and no copy of it for each.
+    """
+    by_document = slices.groupBy("doc_id").agg(F.collect_list(F.struct(*slices.columns)).alias("_of"))
+    each = by_document.join(documents.select("doc_id", "text"), "doc_id").select("_of", F.explode(found(F.col("text"), F.col("_of.start"), F.col("_of.end"))).alias("p"))
+    return each.select(F.get("_of", F.col("p.i")).alias("of"), "p")
 
 
 def slice_of(text: Column, start: Column, end: Column) -> Column:

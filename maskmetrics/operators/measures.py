@@ -16,15 +16,20 @@ def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
 
 def words(documents: DataFrame) -> DataFrame:
     """(doc_id, w_ord, start, end, word): runs of letters, digits and _."""
-    found = documents.select("doc_id", "text", F.posexplode(T.word_spans("text")).alias("w_ord", "p"))
-    return found.select("doc_id", "w_ord", F.col("p.start").alias("start"), F.col("p.end").alias("end"), T.slice_of(F.col("text"), F.col("p.start"), F.col("p.end")).alias("word"))
+    found = documents.select("doc_id", F.posexplode(T.word_texts("text")).alias("w_ord", "p"))
+    return found.select("doc_id", "w_ord", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.text").alias("word"))
 
 
 def words_in(spans: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
-    """The words of each span's slice: (keys, s_ord, start, end). A word that the span cuts gives its inner part."""
-    cut = spans.join(documents.select("doc_id", "text"), "doc_id").withColumn("_slice", T.slice_of(F.col("text"), F.col("start"), F.col("end")))
-    found = cut.select(*keys, F.col("start").alias("_base"), F.posexplode(T.word_spans("_slice")).alias("s_ord", "p"))
-    return found.select(*keys, "s_ord", (F.col("_base") + F.col("p.start")).alias("start"), (F.col("_base") + F.col("p.end")).alias("end"))
+    """The words of each span's slice: (keys, s_ord, start, end, word). A word that the span cuts gives its inner part. doc_id is among the keys."""
+    found = T.matches_in(spans.select(*keys, "start", "end"), documents, T.words_within)
+    return found.select(*(F.col(f"of.{k}").alias(k) for k in keys), F.col("p.n").alias("s_ord"), F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.text").alias("word"))
+
+
+def sliced(spans: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, end, slice) of each span that holds a character. doc_id is among the keys."""
+    found = T.matches_in(spans.select(*keys, "start", "end"), documents, T.wholes_within)
+    return found.select(*(F.col(f"of.{k}").alias(k) for k in [*keys, "start", "end"]), F.col("p.text").alias("slice"))
 
 
 def token_information(tokens: DataFrame) -> DataFrame:
@@ -44,10 +49,11 @@ def precision(maskings: DataFrame, anon_docs: DataFrame, mentions: DataFrame, do
     if token_level:
         spans, keys = words_in(spans, documents, keys), [*keys, "s_ord"]
     if weights is not None:
-        text = spans.join(documents.select("doc_id", "text"), "doc_id").withColumn("word", F.lower(T.slice_of(F.col("text"), F.col("start"), F.col("end")))).drop("text")
-        spans = text.join(weights, "word", "left").withColumn("weight", F.coalesce("ic", F.lit(0.0))).drop("word", "ic")
+        if not token_level:
+            spans = sliced(spans, documents, keys).withColumnRenamed("slice", "word")
+        spans = spans.withColumn("word", F.lower("word")).join(weights, "word", "left").withColumn("weight", F.coalesce("ic", F.lit(0.0))).drop("word", "ic")
     else:
-        spans = spans.withColumn("weight", F.lit(1.0))
+        spans = spans.drop("word").withColumn("weight", F.lit(1.0))
     judged = E.covering_annotators(spans, mentions, keys).join(E.annotators(mentions), "doc_id", "left").fillna(0, ["n_annotators"])
     summed = judged.groupBy("anon_name").agg(F.sum(F.col("n_covering") * F.col("weight")).alias("a"), F.sum(F.col("n_annotators") * F.col("weight")).alias("b"))
     names = anon_docs.select("anon_name").distinct()
@@ -59,7 +65,7 @@ def gold_spans(mentions: DataFrame, documents: DataFrame, include_direct: bool =
     chosen = E.to_mask(E.entities(mentions), include_direct, include_quasi).select("doc_id", "annotator", "entity_id", F.col("entity_type").alias("type"))
     found = mentions.join(chosen, ["doc_id", "annotator", "entity_id"]).select("doc_id", "annotator", "mention_ord", "type", "start", "end")
     if token_level:
-        found = words_in(found, documents, ["doc_id", "annotator", "mention_ord", "type"])
+        found = words_in(found, documents, ["doc_id", "annotator", "mention_ord", "type"]).drop("word")
     else:
         found = found.withColumn("s_ord", F.lit(0))
     return found.withColumn("span_id", F.concat_ws("|", "annotator", "mention_ord", "s_ord")).select("doc_id", "span_id", "type", "start", "end")
@@ -108,8 +114,7 @@ def term_information(found: DataFrame, documents: DataFrame, weights: DataFrame
     """terms with ic: 1 for all, or the largest ic of the words in the term, 0 without one."""
     if weights is None:
         return found.withColumn("ic", F.lit(1.0))
-    inner = words_in(found, documents, ["doc_id", "term_ord"]).join(documents.select("doc_id", "text"), "doc_id")
-    inner = inner.withColumn("word", F.lower(T.slice_of(F.col("text"), F.col("start"), F.col("end")))).join(weights, "word")
+    inner = words_in(found, documents, ["doc_id", "term_ord"]).withColumn("word", F.lower("word")).join(weights, "word")
     best = inner.groupBy("doc_id", "term_ord").agg(F.max("ic").alias("ic"))
     return found.join(best, ["doc_id", "term_ord"], "left").fillna(0.0, ["ic"])
 
@@ -159,8 +164,9 @@ def replacement_terms(found: DataFrame, maskings: DataFrame, overlap_mode: str =
 
 def preserved_similarity(found: DataFrame, maskings: DataFrame, anon_docs: DataFrame, documents: DataFrame, embed=T.bag_of_words, overlap_mode: str = "endpoint", flush_tail: bool = False) -> DataFrame:
     """(anon_name, doc_id, tps): as tpi, but a term counts by the similarity of what the last mask on it puts in its place."""
-    replaced = maskings.where("replacement IS NOT NULL").join(documents.select("doc_id", "text"), "doc_id")
-    similar = replaced.select("anon_name", "doc_id", "mask_ord", T.clamped(T.cosine(embed(T.slice_of(F.col("text"), F.col("start"), F.col("end"))), embed(F.col("replacement")))).alias("similarity"))
+    keys = ["anon_name", "doc_id", "mask_ord", "replacement"]
+    replaced = sliced(maskings.where("replacement IS NOT NULL"), documents, keys).withColumn("_a", embed(F.col("slice"))).withColumn("_b", embed(F.col("replacement")))
+    similar = replaced.select("anon_name", "doc_id", "mask_ord", T.clamped(T.cosine(F.col("_a"), F.col("_b"))).alias("similarity"))
     hit = replacement_terms(found, maskings, overlap_mode).join(similar, ["anon_name", "doc_id", "mask_ord"])
     last = hit.groupBy("anon_name", "doc_id", "term_ord", "ic").agg(F.max_by("similarity", "mask_ord").alias("similarity"))
     lost = masked_terms(found, maskings, documents, overlap_mode, flush_tail).withColumn("_masked", F.lit(True))
@@ -180,8 +186,13 @@ def masked_texts(documents: DataFrame, anon_docs: DataFrame, maskings: DataFrame
 
 def missing_documents(documents: DataFrame, anon_docs: DataFrame) -> DataFrame:
     """(anon_name, doc_id) of the corpus that an anonymization lacks."""
-    names = anon_docs.select("anon_name").distinct()
-    return names.crossJoin(documents.select("doc_id")).join(anon_docs, ["anon_name", "doc_id"], "left_anti")  # names: a handful
+    known = anon_docs.select("anon_name", "doc_id").join(documents.select("doc_id"), "doc_id", "left_semi")
+    counted = anon_docs.select("anon_name").distinct().join(known.groupBy("anon_name").agg(F.countDistinct("doc_id").alias("_n")), "anon_name", "left")
+    total = documents.agg(F.countDistinct("doc_id").alias("_all"))  # one row
+    # only anonymizations that lack any meet the documents
+    short = counted.join(F.broadcast(total), F.coalesce("_n", F.lit(0)) < F.col("_all")).select("anon_name").distinct()
+    every = documents.select("doc_id", F.lit(1).alias("_one")).join(F.broadcast(short.groupBy(F.lit(1).alias("_one")).agg(F.collect_list("anon_name").alias("_names"))), "_one")
+    return every.select(F.explode("_names").alias("anon_name"), "doc_id").join(anon_docs, ["anon_name", "doc_id"], "left_anti")
 
 
 def extra_documents(documents: DataFrame, anon_docs: DataFrame) -> DataFrame:

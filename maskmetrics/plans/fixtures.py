@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import measures as M
 
 TYPES = ["PERSON", "LOC", "ORG", "DATETIME"]
@@ -18,18 +19,17 @@ class Fixture:
         self.documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.length("text").alias("n_chars"))
         self.words = M.words(self.documents).withColumn("h", F.col("doc_id").cast("bigint") * 31 + F.col("w_ord") * 7)
 
-    def _annotator(self, name: str, modulus: int) -> DataFrame:
+    @property
+    def mentions(self) -> DataFrame:
+        """One pass over the words, each of which may be a mention of either annotator."""
         pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (F.col("h") % k).cast("int") + 1)
-        chosen = self.words.where(F.col("h") % modulus == 0)
+        names = F.filter(F.array(*(F.when(F.col("h") % k == 0, F.lit(n)) for n, k in (("a1", 11), ("a2", 13)))), lambda n: n.isNotNull())
+        chosen = self.words.where("h % 11 = 0 OR h % 13 = 0").withColumn("annotator", F.explode(names))
         return chosen.select(
-            "doc_id", F.lit(name).alias("annotator"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("w_ord")) - 1).alias("mention_ord"),
-            F.concat("doc_id", F.lit(f"_{name}_"), (F.col("w_ord") % 5).cast("string")).alias("entity_id"), pick(TYPES, 4).alias("entity_type"), pick(IDENTIFIERS, 3).alias("identifier_type"), "start", "end",
+            "doc_id", "annotator", (F.row_number().over(Window.partitionBy("doc_id", "annotator").orderBy("w_ord")) - 1).alias("mention_ord"),
+            F.concat("doc_id", F.lit("_"), "annotator", F.lit("_"), (F.col("w_ord") % 5).cast("string")).alias("entity_id"), pick(TYPES, 4).alias("entity_type"), pick(IDENTIFIERS, 3).alias("identifier_type"), "start", "end",
         )
 
-    @property
-    def mentions(self) -> DataFrame:
-        return self._annotator("a1", 11).unionByName(self._annotator("a2", 13))
-
     @property
     def anon_docs(self) -> DataFrame:
         names = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(i).alias("i")) for i, n in enumerate(ANONYMIZATIONS))))
@@ -37,24 +37,21 @@ class Fixture:
 
     @property
     def maskings(self) -> DataFrame:
-        w, none = self.words, F.lit(None).cast("string")
+        """One pass over the words, each of which may begin a mask of any anonymization."""
+        words = T.word_spans("text")
+        each = self.documents.select("doc_id", "n_chars", F.posexplode(words).alias("w_ord", "p"))
         by = Window.partitionBy("doc_id").orderBy("w_ord")
-        ahead = w.select("*", F.lead("end", 1).over(by).alias("end1"), F.lead("end", 2).over(by).alias("end2"), F.max("w_ord").over(Window.partitionBy("doc_id")).alias("last"))
-        part = lambda df, name, end=F.col("end"), repl=none: df.select(F.lit(name).alias("anon_name"), "doc_id", "start", end.alias("end"), repl.alias("replacement"))
+        w = each.select("doc_id", "n_chars", "w_ord", F.col("p.start").alias("start"), F.col("p.end").alias("end"), (F.col("doc_id").cast("bigint") * 31 + F.col("w_ord") * 7).alias("h"))
+        w = w.select("*", *(F.lead("end", k).over(by).alias(f"end{k}") for k in (1, 2)), F.lead("end", 3).over(by).alias("end3"))
         kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("h") % 4).cast("int") + 1)
-        parts = [
-            part(w.where("h % 11 = 0 AND h % 3 <> 2"), "Gold"),
-            part(w.where("h % 17 = 0"), "Sparse"),
-            part(ahead.where("w_ord % 29 = 0 AND end2 IS NOT NULL"), "Wide", F.col("end2")),
-            part(w.where("h % 19 = 0"), "Repl", repl=kind),
-            part(ahead.where("w_ord = last - 2").join(self.documents.select("doc_id", "n_chars"), "doc_id"), "Tail", F.col("n_chars")),
-            part(ahead.where("w_ord % 23 IN (0, 1) AND end1 IS NOT NULL"), "Overlap", F.col("end1")),
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        mask = lambda condition, name, end="end", replacement=None: F.when(F.expr(condition), F.struct(F.lit(name).alias("anon_name"), F.col(end).alias("end"), (F.lit(None).cast("string") if replacement is None else replacement).alias("replacement")))
+        masks = F.array(
+            mask("h % 11 = 0 AND h % 3 <> 2", "Gold"), mask("h % 17 = 0", "Sparse"), mask("w_ord % 29 = 0 AND end2 IS NOT NULL", "Wide", "end2"),
+            mask("h % 19 = 0", "Repl", replacement=kind), mask("end2 IS NOT NULL AND end3 IS NULL", "Tail", "n_chars"), mask("w_ord % 23 IN (0, 1) AND end1 IS NOT NULL", "Overlap", "end1"),
+        )
+        found = w.select("doc_id", "start", F.explode(F.filter(masks, lambda m: m.isNotNull())).alias("m")).select("m.anon_name", "doc_id", "start", "m.end", "m.replacement")
         order = F.row_number().over(Window.partitionBy("anon_name", "doc_id").orderBy("start", "end")) - 1
-        return out.withColumn("mask_ord", order)
+        return found.withColumn("mask_ord", order)
 
     @property
     def background(self) -> DataFrame:
