@@ -13,10 +13,16 @@ IDENTIFIERS = ["DIRECT", "QUASI", "NO_MASK"]
 ANONYMIZATIONS = ["Clear", "Gold", "Sparse", "Wide", "Repl", "Tail", "Overlap"]
 
 
+def spread(documents: DataFrame) -> DataFrame:
+    """documents dealt out over all cores where the scan itself has too few tasks for them, as of a file of one row group; else as they are."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents.repartition(cores) if documents.rdd.getNumPartitions() < cores else documents
+
+
 class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.length("text").alias("n_chars"))
+        self.documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.length("text").alias("n_chars"))
         self.words = M.words(self.documents).withColumn("h", F.col("doc_id").cast("bigint") * 31 + F.col("w_ord") * 7)
 
     @property
