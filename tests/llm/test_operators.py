@@ -49,13 +49,120 @@ def test_language_model(spark):
     assert LM.scored(docs.limit(0), F.lit(False)).count() == 0
 
 
-def test_predictive_probabilities_sum_to_one(spark):
-    # one context, that of a text's start: each text is one known word, or an unknown one
-    words = ["a", "b", "c", "d"]
-    docs = frame(spark, [w for i, w in enumerate(words) for _ in range(i + 1)] + words + ["unknown"], ids=[0] * 10 + [1] * 5)
-    scored = LM.scored(docs, F.col("doc_id") == 1).where("held_out").collect()
-    first = LM.scored(frame(spark, [""] * 3 + ["a"], ids=[0, 0, 0, 1]), F.col("doc_id") == 1).collect()
-    assert len(scored) == 5 and all(r["score"] < 0 for r in scored) and len(first) == 4
+def seated_in_process(texts, asked, burn_in, samples):
+    """(block, predictive probabilities) of one block with the pairs of texts, which train, and of asked, which don't."""
+    chunk = LM.Chunk()
+    for t, held in [*((t, False) for t in texts), *((t, True) for t in asked)]:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        chunk.add([0], [held], *LM.tokens(raw, np.array([0, len(raw)])))
+    hot = np.zeros(0, np.uint64)
+    block = LM.Block([b for batch in chunk.dealt(1, 0, hot, False) for b in batch.column(2).to_pylist()])
+    x, change = LM.Seating.of(block, hot)
+
+    def root():
+        alone = x.alone[0]
+        return LM.Root(float(len(x.words) + alone), float(x.per_word(x.tables).sum() + alone), float(x.parent.sum() + alone), np.zeros(0), np.zeros(0))
+
+    roots = []
+    for i in range(burn_in + samples):
+        x.told(change)
+        change = x.sweep(root(), hot, i)
+        if i >= burn_in:
+            x.sampled()
+            roots.append(root())
+        x = LM.Seating.read(x.packed())
+    per_context = lambda y: np.bincount(block.context, y, len(block.contexts))
+    tables = LM.tables_of(block, x, samples)
+    return block, LM.predictive(block, x, roots, hot, per_context(block.count), [per_context(t) for t in tables])
+
+
+def hashed(word):
+    return int(LM.END) if word == "\n" else LM.W.hash_word(word)
+
+
+def test_predictive_probabilities_sum_to_one():
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat a dog", "the the the cat"] * 3
+    known = sorted({w for t in texts for w in t.split()})
+    asked = [f"{u} {w}" for u in [*known, "never"] for w in [*known, "other"]] + [*known, "never", ""]
+    block, p = seated_in_process(texts, asked, 3, 4)
+    for u in [*known, "never"]:
+        of = {hashed(w) for w in [*known, "other", "\n"]}
+        context = np.uint64(hashed(u)) >> LM.CONTEXT
+        total, seen = 0.0, set()
+        for word, c, value in zip(block.words[block.word], block.contexts[block.context], p):
+            if c == context and int(word) in of:
+                total, seen = total + value, seen | {int(word)}
+        assert seen == of and total == pytest.approx(1.0)
+
+
+def test_seating_by_brute_force():
+    # customers seated one by one at tables, in the words' restaurants and their parent's, against the sweeps over dishes
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e"], rng.integers(3, 9), p=[0.4, 0.3, 0.15, 0.1, 0.05])) for _ in range(30)]
+    pairs = [(u, w) for t in texts for u, w in zip(["\n", *t.split()], [*t.split(), "\n"])]
+    words = sorted({w for _, w in pairs})
+    tables = {}  # (restaurant, dish) -> sizes of its tables; the parent's restaurant is None
+    theta, d = {True: LM.ROOT_STRENGTH, False: LM.STRENGTH}, {True: LM.ROOT_DISCOUNT, False: LM.DISCOUNT}
+
+    def probability(u, w):
+        top = u is None
+        own = [s for (r, _), s in tables.items() if r == u]
+        n, t = sum(map(sum, own)), sum(map(len, own))
+        mine = tables.get((u, w), [])
+        base = 1 / (len(words) + 1) if top else probability(None, w)
+        return (sum(mine) - d[top] * len(mine) + (theta[top] + d[top] * t) * base) / (theta[top] + n)
+
+    def sit(u, w):
+        top, mine = u is None, tables.setdefault((u, w), [])
+        t = sum(len(s) for (r, _), s in tables.items() if r == u)
+        base = 1 / (len(words) + 1) if top else probability(None, w)
+        weights = [*(s - d[top] for s in mine), (theta[top] + d[top] * t) * base]
+        at = int(rng.choice(len(weights), p=np.array(weights) / sum(weights)))
+        if at < len(mine):
+            mine[at] += 1
+        else:
+            mine.append(1)
+            if not top:
+                sit(None, w)
+
+    def leave(u, w):
+        mine = tables[u, w]
+        at = int(rng.choice(len(mine), p=np.array(mine) / sum(mine)))
+        mine[at] -= 1
+        if not mine[at]:
+            del mine[at]
+            if u is not None:
+                leave(None, w)
+
+    for u, w in pairs:
+        sit(u, w)
+    asked = [(u, w) for u in words for w in words]
+    mean = np.zeros(len(asked))
+    for i in range(60):
+        for u, w in pairs:
+            leave(u, w)
+            sit(u, w)
+        if i >= 10:
+            mean += [probability(u, w) for u, w in asked]
+    mean /= 50
+    block, p = seated_in_process(texts, [f"{u} {w}".replace("\n", " ") for u, w in asked], 10, 60)
+    found = {(int(w), int(c)): x for w, c, x in zip(block.words[block.word], block.contexts[block.context], p)}
+    ours = np.array([found[hashed(w), hashed(u) >> 16] for u, w in asked if (hashed(w), hashed(u) >> 16) in found])
+    theirs = np.array([m for (u, w), m in zip(asked, mean) if (hashed(w), hashed(u) >> 16) in found])
+    assert len(ours) > 30 and np.abs(np.log10(ours / theirs)).mean() < 0.02 and np.abs(np.log10(ours / theirs)).max() < 0.12
+
+
+def test_hot_words_and_partitions_change_no_score(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(60)], 30, p=np.arange(60, 0, -1) / 1830)) + " the end" * 5 for _ in range(120)]
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("4", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert len(LM.hot_words(frame(spark, texts), "text", int(n))) > 0
+        found.append({r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in LM.scored(frame(spark, texts), F.col("doc_id") % 5 == 0).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for i, a in found[0].items():
+        assert a == pytest.approx(found[1][i], rel=1e-9, abs=1e-9)
 
 
 def test_seating_is_exact_for_small_and_large_dishes():
