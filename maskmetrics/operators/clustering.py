@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Points of a corpus from which starts are drawn, and passes at most.
+SAMPLE, ITERATIONS = 2048, 20
+
 
 def contingency(labels: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.groupBy(a, b).agg(F.count("*").alias("n"))
@@ -42,50 +46,165 @@ def embed(texts: DataFrame, vectoriser=T.bag_of_words, marks: list[str] | None =
     return texts.withColumn("v", vectoriser(cleaned)).withColumn("features", array_to_vector("v")).where(T.dot(F.col("v"), F.col("v")) > 0)
 
 
-def best_kmeans(points: DataFrame, k: int, tries: int, seed: int):
-    """The model with the least cost of some seeds."""
-    best = None
-    for i in range(tries):
-        model = KMeans(k=k, seed=seed * 1000 + i, featuresCol="features", predictionCol="label").fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def _started(x: np.ndarray, k: int, runs: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ centres (runs, k, dimensions): each next one is drawn in proportion to the squared distance from those before."""
+    n, square = len(x), (x * x).sum(1)
+    away = lambda c: np.maximum(square - 2 * c @ x.T + (c * c).sum(1)[:, None], 0)
+    out = np.empty((runs, k, x.shape[1]))
+    out[:, 0] = x[rng.integers(n, size=runs)]
+    distance = away(out[:, 0])
+    for j in range(1, k):
+        reach = np.cumsum(distance, 1)
+        at = np.minimum((reach <= (rng.random(runs) * reach[:, -1])[:, None]).sum(1), n - 1)
+        out[:, j] = x[at]
+        distance = np.minimum(distance, away(out[:, j]))
+    return out
+
+
+def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label, squared distance) of each row in each run; ties to the smaller label."""
+    runs, k, d = centres.shape
+    flat = centres.reshape(-1, d)
+    distance = ((flat * flat).sum(1) - 2 * x @ flat.T).reshape(len(x), runs, k)
+    label = distance.argmin(2)
+    return label, np.maximum(np.take_along_axis(distance, label[:, :, None], 2)[:, :, 0] + (x * x).sum(1)[:, None], 0)
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def trained(points: DataFrame, wanted: dict[str, list[int]], runs: int, seed: int = 1) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """{(anon_name, k): (centres, cost of each run)} of `runs` k-means runs for each of the numbers of clusters wanted.
+
+    All runs of all corpora take their Lloyd iterations together, one pass over points (anon_name, doc_id, v) each, of which
+    only sums by run and cluster come back. The starts are drawn from SAMPLE points a corpus, those whose doc_ids hash lowest.
+    """
+    spark = points.sparkSession
+    lowest = F.row_number().over(Window.partitionBy("anon_name").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sample = points.select("anon_name", "doc_id", "v").withColumn("_rank", lowest).where(F.col("_rank") <= SAMPLE).select("anon_name", "v").toPandas()
+    centres, cost = {}, {}
+    for i, (name, ks) in enumerate(sorted(wanted.items())):
+        x = np.stack(sample["v"][sample["anon_name"] == name].to_list()).astype(np.float64)
+        for k in ks:
+            centres[name, k] = _started(x, k, runs, np.random.default_rng([seed, i, k]))
+    for _ in range(ITERATIONS):
+        held = spark.sparkContext.broadcast(centres)
+
+        def summed(batches, held=held):
+            sums: dict[tuple[str, int], np.ndarray] = {}
+            for batch in batches:
+                names = np.asarray(batch.column(0).to_pylist(), object)
+                v = _rows(batch.column(1))
+                for (name, k), c in held.value.items():
+                    mine = v[names == name]
+                    for a in range(0, len(mine), max(1, (1 << 21) // (runs * k))):
+                        x = mine[a : a + max(1, (1 << 21) // (runs * k))]
+                        label, distance = _assigned(x, c)
+                        cell = (label + np.arange(runs) * k).ravel()
+                        parts = [np.bincount(cell, minlength=runs * k), *(np.bincount(cell, np.repeat(x[:, j], runs), runs * k) for j in range(x.shape[1]))]
+                        found = np.concatenate([*parts, distance.sum(0)])
+                        sums[name, k] = sums[name, k] + found if (name, k) in sums else found
+            rows = [(n, k, x.tobytes()) for (n, k), x in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["anon_name", "k", "sums"])
+
+        def added(table: pa.Table) -> pa.Table:
+            total = np.sum([np.frombuffer(x.as_buffer()) for x in table["sums"]], 0)
+            return pa.table({"anon_name": table["anon_name"][:1], "k": table["k"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        kinds = "anon_name string, k int, sums binary"
+        moved = 0.0
+        for r in points.select("anon_name", "v").mapInArrow(summed, kinds).groupBy("anon_name", "k").applyInArrow(added, kinds).collect():
+            old = centres[r["anon_name"], r["k"]]
+            total = np.frombuffer(r["sums"])
+            cells, cost[r["anon_name"], r["k"]] = total[:-runs].reshape(-1, runs, r["k"]), total[-runs:]
+            new = np.where(cells[0][:, :, None] > 0, np.moveaxis(cells[1:], 0, 2) / np.maximum(cells[0], 1)[:, :, None], old)
+            moved = max(moved, float(np.abs(new - old).max()))
+            centres[r["anon_name"], r["k"]] = new
+        held.destroy()
+        if moved < 1e-4:
+            break
+    return {key: (centres[key], cost[key]) for key in centres if key in cost}
+
+
+def labelled(points: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
+    """(anon_name, doc_id, labels): each point's label in each run of its corpus' centres."""
+    held = points.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            names = np.asarray(batch.column(0).to_pylist(), object)
+            v, out = _rows(batch.column(2)), [None] * batch.num_rows
+            for name, c in held.value.items():
+                at = np.flatnonzero(names == name)
+                if len(at):
+                    for i, row in zip(at, _assigned(v[at], c)[0].tolist()):
+                        out[i] = row
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["anon_name", "doc_id", "labels"])
+
+    return points.select("anon_name", "doc_id", "v").mapInArrow(run, f"anon_name string, doc_id {points.schema['doc_id'].dataType.simpleString()}, labels array<int>")
+
+
+def mutual_information(cells: np.ndarray) -> float:
+    """normalised_mutual_information() of a table of counts."""
+    p = cells / cells.sum()
+    a, b = p.sum(1), p.sum(0)
+    entropy = lambda x: float(-(x[x > 0] * np.log(x[x > 0])).sum())
+    mean = (entropy(a) + entropy(b)) / 2
+    both = float((p[p > 0] * np.log((p / np.outer(a, b).clip(1e-300))[p > 0])).sum())
+    return 1.0 if mean < 1e-12 else min(max(both / mean, 0.0), 1.0)
 
 
 def agreement(embedded: DataFrame, original: str = "original", min_k: int = 2, max_k: int = 32, k_multiplier: float = 2, n_clusterings: int = 5, n_tries: int = 50, seed: int = 1) -> tuple[dict[str, float], int, list[float]]:
     """({anonymization: mean nmi}, k, silhouettes), at the k (growing geometrically) of the best mean silhouette of the original.
 
-    embedded: anon_name, doc_id, features; the corpus itself under `original`.
+    embedded: anon_name, doc_id, v, features; the corpus itself under `original`. A clustering is the one of least cost of
+    n_tries. The original is clustered once more, as if it were an anonymization, and that agreement stands under its own name.
     """
     if k_multiplier <= 1:
         raise ValueError("k must grow: k_multiplier is to be above 1")
-    embedded = embedded.select("anon_name", "doc_id", "features").cache()
-    names = [r[0] for r in embedded.select("anon_name").distinct().orderBy("anon_name").collect() if r[0] != original]
-    parts = {n: embedded.where(F.col("anon_name") == n).select("doc_id", "features").cache() for n in [original, *names]}
-    n_docs = parts[original].count()
+    embedded = embedded.select("anon_name", "doc_id", "v", "features").cache()
+    sizes = {r[0]: r[1] for r in embedded.groupBy("anon_name").count().collect()}
+    ks, k = [], min_k
+    while k <= max_k and k <= sizes.get(original, 0):
+        ks.append(k)
+        k = max(k + 1, int(k * k_multiplier))
+    if not ks:
+        raise ValueError("no number of clusters could be tried")
+    of = {name: sorted({min(k, max(2, size)) for k in ks}) for name, size in sizes.items()}
+    points = embedded.select("anon_name", "doc_id", "v")
+
+    def clustered(wanted: dict[str, list[int]], seed: int) -> dict[tuple[str, int], np.ndarray]:
+        best = {}
+        for key, (centres, cost) in trained(points, wanted, n_clusterings * n_tries, seed).items():
+            best[key] = centres[np.arange(n_clusterings) * n_tries + cost.reshape(n_clusterings, n_tries).argmin(1)]
+        return best
+
+    true = clustered({original: of[original]}, seed)
     evaluator = ClusteringEvaluator(distanceMeasure="cosine", featuresCol="features", predictionCol="label")
-    best: tuple[float, int, dict, list] | None = None
-    k = min_k
-    while k <= max_k and k <= n_docs:
-        scores: dict[str, list[float]] = {n: [] for n in names}
+    own = embedded.where(F.col("anon_name") == original)
+    best: tuple[float, int, list] | None = None
+    for k in ks:
+        labels = labelled(own, {original: true[original, k]}).join(own.select("doc_id", "features"), "doc_id").cache()
         silhouettes = []
         for c in range(n_clusterings):
-            true = best_kmeans(parts[original], k, n_tries, seed + c).transform(parts[original]).select("doc_id", F.col("label"))
-            if true.select("label").distinct().count() < 2:
+            one = labels.select("features", F.col("labels")[c].alias("label"))
+            if one.select("label").distinct().count() < 2:
                 logging.warning("k = %d: fewer than two clusters", k)
                 continue
-            silhouettes.append(evaluator.evaluate(true.join(parts[original], "doc_id")))
-            for i, n in enumerate(names):
-                other = best_kmeans(parts[n], min(k, max(2, parts[n].count())), n_tries, seed + c + 17 * (i + 1)).transform(parts[n]).select("doc_id", F.col("label").alias("b"))
-                scores[n].append(normalised_mutual_information(true.withColumnRenamed("label", "a").join(other, "doc_id")).first()[0])
-        if silhouettes:
-            mean = sum(silhouettes) / len(silhouettes)
-            if best is None or mean > best[0]:
-                best = mean, k, {n: sum(x) / len(x) for n, x in scores.items()}, silhouettes
-        k = max(k + 1, int(k * k_multiplier))
-    for p in parts.values():
-        p.unpersist()
-    embedded.unpersist()
+            silhouettes.append(evaluator.evaluate(one))
+        labels.unpersist()
+        if silhouettes and (best is None or sum(silhouettes) / len(silhouettes) > best[0]):
+            best = sum(silhouettes) / len(silhouettes), k, silhouettes
     if best is None:
         raise ValueError("no number of clusters could be tried")
-    return best[2], best[1], best[3]
+    k = best[1]
+    others = clustered({name: [min(k, max(2, size))] for name, size in sizes.items()}, seed + 17)
+    theirs = labelled(points, {name: c for (name, _), c in others.items()}).withColumnRenamed("labels", "b")
+    mine = labelled(own, {original: true[original, k]}).select("doc_id", F.col("labels").alias("a"))
+    pairs = theirs.join(mine, "doc_id").select("anon_name", F.posexplode(F.arrays_zip("a", "b")).alias("c", "p"))
+    cells: dict[str, np.ndarray] = {}
+    for r in pairs.groupBy("anon_name", "c", "p.a", "p.b").count().collect():  # at most n_clusterings * k * k a corpus
+        cells.setdefault(r["anon_name"], np.zeros((n_clusterings, k, k)))[r["c"], r["a"], r["b"]] = r["count"]
+    embedded.unpersist()
+    return {name: float(np.mean([mutual_information(x) for x in of])) for name, of in sorted(cells.items())}, k, best[2]
