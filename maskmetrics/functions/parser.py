@@ -23,6 +23,7 @@ CLOSED_CLASSES = {
 }
 STOP_WORDS = sorted({w for ws in CLOSED_CLASSES.values() for w in ws} | {"is", "are", "was", "were", "be", "been", "it", "its", "as", "he", "she", "they", "we", "you", "i", "his", "her", "their"})
 _ENTITIES = re.compile(r"(?P<EMAIL>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<IP>\d{1,3}(?:\.\d{1,3}){3})|(?P<CARD>\d{13,19})|(?P<PERSON>[A-Z][a-z]+(?: [A-Z][a-z]+)+)|(?P<QUANTITY>\d+(?:[.,]\d+)*)")
+_TOKENS = re.compile(r"\w+|[^\w\s]")
 IGNORABLE_WORDS = sorted({*T.TOKENS_TO_IGNORE, *(w for c in T.POS_TO_IGNORE for w in CLOSED_CLASSES.get(c, []))})
 
 
@@ -36,21 +37,34 @@ def entity_spans(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["start", "end", "label"]))
 
 
+@F.arrow_udf(ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("text", StringType()).add("ent_id", IntegerType()).add("ent_label", StringType())))
+def token_spans(texts: pa.Array) -> pa.Array:
+    """A text's tokens, each with the entity that holds it."""
+    ends, rows = [0], []
+    for text in texts.to_pylist():
+        entities, at = [(*m.span(), m.lastgroup) for m in _ENTITIES.finditer(text or "")], 0
+        for m in _TOKENS.finditer(text or ""):
+            start, end = m.span()
+            while at < len(entities) and entities[at][1] <= start:
+                at += 1
+            own = entities[at] if at < len(entities) and entities[at][0] <= start and end <= entities[at][1] else (None, None, None)
+            rows.append((start, end, m.group(), own[0], own[2]))
+        ends.append(len(rows))
+    kinds = pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["start", "end", "text", "ent_id", "ent_label"]))
+
+
 def tokens(documents: DataFrame) -> DataFrame:
     """(doc_id, tok_ord, start, end, text, lower, pos, lemma, is_stop, ent_id, ent_label, chunk_id)."""
-    each = documents.select("doc_id", entity_spans("text").alias("ents"), F.posexplode(T.term_texts("text")).alias("tok_ord", "p"))
-    own = F.filter("ents", lambda e: (e["start"] <= F.col("p.start")) & (F.col("p.end") <= e["end"]))
-    out = each.select(
-        "doc_id", "tok_ord", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.text").alias("text"),
-        F.get(own, F.lit(0)).alias("_ent"),
-    )
+    out = documents.select("doc_id", F.posexplode(token_spans("text")).alias("tok_ord", "p")).select("doc_id", "tok_ord", "p.*")
     lower = F.lower("text")
     pos = F.lit("X")
     for name, members in CLOSED_CLASSES.items():
         pos = F.when(lower.isin(members), name).otherwise(pos)
     return out.select(
         "doc_id", "tok_ord", "start", "end", "text", lower.alias("lower"), pos.alias("pos"), lower.alias("lemma"), F.col("text").isin(STOP_WORDS).alias("is_stop"),
-        F.col("_ent.start").alias("ent_id"), F.col("_ent.label").alias("ent_label"), F.lit(None).cast("int").alias("chunk_id"),
+        "ent_id", "ent_label", F.lit(None).cast("int").alias("chunk_id"),
     )
 
 

@@ -128,6 +128,15 @@ def rounds(found: DataFrame, alternation: int | str) -> DataFrame:
     return found.withColumn("round", F.pmod("term_ord", F.lit(alternation)))
 
 
+_sentences = T.spans(r"(?:[^.!?\n]|[.!?](?!\s|$))+[.!?]*")
+
+
+def sentence_spans(documents: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, start, end): runs up to a line's end or to . ! ? and white space."""
+    found = documents.select("doc_id", F.posexplode(_sentences("text")).alias("sent_id", "p"))
+    return found.select("doc_id", "sent_id", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+
+
 def terms_in_sentences(found: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, term_ord, sent_id) of terms that lie in a sentence (doc_id, sent_id, start, end)."""
     return I.range_join(found.select("doc_id", "term_ord", "start", "end"), spans, ["doc_id"], I.inside).select("doc_id", "term_ord", "sent_id")

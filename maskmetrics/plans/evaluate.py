@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parser
@@ -14,6 +15,8 @@ from ..operators import clustering, measures as M, reidentification as R
 from ..operators import entities as E
 from ..sources import json_files as J
 
+#: (word, ic), or a function of documents and terms.
+Information = DataFrame | Callable[[DataFrame, DataFrame], DataFrame]
 NEEDS_GOLD = ["Precision", "PrecisionWeighted", "Recall", "RecallPerEntityType"]
 
 
@@ -21,10 +24,16 @@ class Evaluation:
     """A corpus with its gold mentions, ready to judge anonymizations.
 
     documents: doc_id, text. mentions: doc_id, annotator, mention_ord, entity_id, entity_type, identifier_type, start, end.
+
+    Models come from providers by name; a name that none has is refused. information: a name's (word, ic), or a function of
+    documents and terms (doc_id, term_ord, start, end, round; sent_id too if terms alternate by sentence) that gives
+    (doc_id, term_ord, ic), for TPI and TPS alone. embeddings: a name's function from a text column to a vector column.
+    "corpus" is the corpus' own word frequencies, "bag" the bag of words.
     """
 
-    def __init__(self, documents: DataFrame, mentions: DataFrame | None = None):
+    def __init__(self, documents: DataFrame, mentions: DataFrame | None = None, information: dict[str, Information] | None = None, embeddings: dict[str, Callable[[Column], Column]] | None = None):
         self.spark: SparkSession = documents.sparkSession
+        self._information, self._embeddings = information or {}, embeddings or {}
         self.documents = documents.select("doc_id", "text", F.length("text").alias("n_chars"))
         empty = "doc_id string, annotator string, mention_ord int, entity_id string, entity_type string, identifier_type string, start int, end int"
         self.mentions = mentions if mentions is not None else self.spark.createDataFrame([], empty)
@@ -46,11 +55,25 @@ class Evaluation:
         """One table of weights for all measures that want one."""
         return M.token_information(self.words).cache()
 
-    def _weights(self, name: str | None) -> DataFrame | None:
-        return None if name is None else self.information
+    def _weights(self, name: str | None) -> Information | None:
+        if name is None:
+            return None
+        known = {"corpus": lambda: self.information, **{n: lambda p=p: p for n, p in self._information.items()}}
+        if name not in known:
+            raise ValueError(f"no information model {name!r}; there are {sorted(known)}")
+        return known[name]()
+
+    def _embedding(self, name: str | None) -> Callable[[Column], Column]:
+        known = {None: T.bag_of_words, "bag": T.bag_of_words, **self._embeddings}
+        if name not in known:
+            raise ValueError(f"no embedding model {name!r}; there are {sorted(filter(None, known))}")
+        return known[name]
 
     def precision(self, anon_docs, maskings, weighting_model_name: str | None = None, weighting_max_segment_length: int = 100, token_level: bool = True, verbose: bool = True) -> DataFrame:
-        return M.precision(maskings, anon_docs, self.mentions, self.documents, token_level, self._weights(weighting_model_name))
+        weights = self._weights(weighting_model_name)
+        if callable(weights):
+            raise ValueError(f"{weighting_model_name!r} weighs terms and not words")
+        return M.precision(maskings, anon_docs, self.mentions, self.documents, token_level, weights)
 
     def weighted_precision(self, anon_docs, maskings, weighting_model_name: str | None = "corpus", **options) -> DataFrame:
         return self.precision(anon_docs, maskings, weighting_model_name, **options)
@@ -67,20 +90,24 @@ class Evaluation:
 
     def terms(self, weighting_model_name: str | None, term_alterning: int | str, use_chunking: bool) -> DataFrame:
         found = M.terms_of(parser.tokens(self.documents), use_chunking) if use_chunking else M.terms(self.documents)
-        M.rounds(found, term_alterning)  # the weights at hand don't depend on the round; the setting is checked all the same
-        return M.term_information(found, self.documents, self._weights(weighting_model_name))
+        weights, in_rounds = self._weights(weighting_model_name), M.rounds(found, term_alterning)
+        if not callable(weights):  # word frequencies don't depend on the round
+            return M.term_information(found, self.documents, weights)
+        if term_alterning == "sentence":
+            in_rounds = in_rounds.join(M.terms_in_sentences(found, M.sentence_spans(self.documents)), ["doc_id", "term_ord"], "left")
+        return found.join(weights(self.documents, in_rounds), ["doc_id", "term_ord"], "left").fillna(0.0, ["ic"])
 
     def tpi(self, anon_docs, maskings, weighting_model_name: str | None = "corpus", weighting_max_segment_length: int = 100, term_alterning: int | str = 6, use_chunking: bool = True, overlap_mode: str = "endpoint", flush_tail: bool = False, skip_empty: bool = False) -> DataFrame:
         each = M.preserved_information(self.terms(weighting_model_name, term_alterning, use_chunking), maskings, anon_docs, self.documents, overlap_mode=overlap_mode, flush_tail=flush_tail)
         return M.mean_by_anonymization(each, "tpi", skip_empty)
 
     def tps(self, anon_docs, maskings, weighting_model_name: str | None = "corpus", weighting_max_segment_length: int = 100, term_alterning: int | str = 6, use_chunking: bool = True, similarity_model_name: str | None = None, overlap_mode: str = "endpoint", flush_tail: bool = False, skip_empty: bool = False, verbose: bool = True) -> DataFrame:
-        each = M.preserved_similarity(self.terms(weighting_model_name, term_alterning, use_chunking), maskings, anon_docs, self.documents, overlap_mode=overlap_mode, flush_tail=flush_tail)
+        each = M.preserved_similarity(self.terms(weighting_model_name, term_alterning, use_chunking), maskings, anon_docs, self.documents, self._embedding(similarity_model_name), overlap_mode=overlap_mode, flush_tail=flush_tail)
         return M.mean_by_anonymization(each, "tps", skip_empty)
 
     def nmi(self, anon_docs, maskings, min_k: int = 2, max_k: int = 32, k_multiplier: float = 2, embedding_model_name: str | None = None, remove_mask_marks: bool = True, mask_marks: list[str] = T.MASK_MARKS, n_clusterings: int = 5, n_tries_per_clustering: int = 50, seed: int = 1) -> DataFrame:
         texts = M.masked_texts(self.documents, anon_docs, maskings).unionByName(self.documents.select(F.lit("\0original").alias("anon_name"), "doc_id", "text"))
-        found, _, _ = clustering.agreement(clustering.embed(texts, marks=mask_marks if remove_mask_marks else None), "\0original", min_k, max_k, k_multiplier, n_clusterings, n_tries_per_clustering, seed)
+        found, _, _ = clustering.agreement(clustering.embed(texts, self._embedding(embedding_model_name), mask_marks if remove_mask_marks else None), "\0original", min_k, max_k, k_multiplier, n_clusterings, n_tries_per_clustering, seed)
         return self.spark.createDataFrame([*found.items()], "anon_name string, nmi double")
 
     def trir(self, anon_docs, maskings, background_knowledge_file_path: str, output_folder_path: str | None = None, verbose: bool = True, **options) -> DataFrame:

@@ -155,6 +155,9 @@ _SQL = {
     "validation_violations": "SELECT 'document_id_repeated' AS rule, 0::BIGINT AS n UNION ALL SELECT 'entity_of_two_annotators', 0 UNION ALL SELECT 'identifier_type_unknown', (SELECT count(*) FROM mentions WHERE mention_ord % 8 = 7) "
     "UNION ALL SELECT 'mention_without_document', (SELECT count(*) FROM mentions WHERE CAST(doc_id AS BIGINT) % 9 = 0) UNION ALL SELECT 'offsets_out_of_text', (SELECT count(*) FROM mentions WHERE mention_ord % 10 = 9) UNION ALL SELECT 'text_missing', 0",
     "bk_full_outer": "SELECT coalesce(d.doc_id, b.doc_id) AS doc_id, md5(d.text) AS text_md5, md5(b.text) AS background_md5 FROM (SELECT * FROM docs WHERE CAST(doc_id AS BIGINT) % 4 <> 0) d FULL JOIN background b ON d.doc_id = b.doc_id",
+    "individuals_report": "SELECT 'all' AS kind, count(*) AS n FROM (SELECT doc_id FROM background UNION SELECT doc_id FROM docs) UNION ALL SELECT 'train', count(DISTINCT doc_id) FROM background UNION ALL SELECT 'evaluation', count(DISTINCT doc_id) FROM docs UNION ALL SELECT 'train without evaluation', count(*) FROM (SELECT doc_id FROM background EXCEPT SELECT doc_id FROM docs) UNION ALL SELECT 'evaluation without train', count(*) FROM (SELECT doc_id FROM docs EXCEPT SELECT doc_id FROM background)",
+    # no look-behind: a mark goes after each end of a sentence, and texts are cut at the marks
+    "sentence_split": "SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS md5 FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), chr(1)), '([.!?])[ \\t\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)), '[ \\t\\r\\f\\v]+', ' ', 'g')), lambda x: x <> '') AS s FROM docs)",
     "individual_labels": "SELECT doc_id, dense_rank() OVER (ORDER BY doc_id) - 1 AS label FROM (SELECT doc_id FROM docs UNION SELECT doc_id FROM background)",
     "reid_max_risk": "SELECT count(*) AS n_individuals, count(*) FILTER (WHERE CAST(doc_id AS BIGINT) % 10 = 0) AS n_unknown, round((1 - count(*) FILTER (WHERE CAST(doc_id AS BIGINT) % 10 = 0) / count(*)) * 100, 6) AS max_risk FROM docs",
     "curation": f"SELECT doc_id, md5(t) AS md5, length(t) AS n_chars FROM (SELECT doc_id, coalesce(array_to_string(list_transform(list_transform(list_filter(t, lambda x: x NOT IN ({_LIST(parser.STOP_WORDS)})), lambda x: regexp_replace(lower(x), '[^ \\nA-Za-z0-9À-ÖØ-öø-ÿЀ-ӿ./]+', '', 'g')), lambda x: CASE WHEN x = '.' THEN x ELSE ' ' || x END), ''), '') AS t FROM tokens)",

@@ -145,6 +145,21 @@ def _tpi(x: Fixture, ic: bool):
     return M.preserved_information(found, x.maskings, x.anon_docs, x.documents)
 
 
+def terms_of(x: Fixture):
+    """Terms of the parser's tokens, with a chunk of any two neighbours from each tenth token on."""
+    tokens = parser.tokens(x.documents).withColumn("chunk_id", F.when(F.col("tok_ord") % 10 < 2, F.floor(F.col("tok_ord") / 10).cast("int")))
+    return M.terms_of(tokens).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+def terms_in_sentences(x: Fixture):
+    found = M.terms_in_sentences(M.terms(x.documents), M.sentence_spans(x.documents))
+    return found.groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"))
+
+
+def individuals_report(x: Fixture):
+    return R.individuals(x.background, x.documents)
+
+
 def tpi_uniform(x: Fixture):
     return M.mean_by_anonymization(_tpi(x, False), "tpi")
 
@@ -266,7 +281,7 @@ def trir_end_to_end(x: Fixture):
 OPERATORS = [
     word_tokens, mask_islands, mask_islands_parity, masked_offsets_len, apply_masking, remove_mask_marks, gold_entities, entities_to_mask, annotators_per_doc,
     covering_annotators, mention_masked, entity_masked, precision_token, precision_mention, precision_ic, recall_token, recall_mention, recall_direct_only,
-    recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
+    recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, terms_of, terms_in_sentences, individuals_report, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
     cosine_similarity, tps, nmi_contingency, nearest_centroid_labels, missing_docs, extra_docs, gold_ratio, validation_violations, bk_full_outer, individual_labels,
     reid_max_risk, curation, sentence_split, sliding_windows, logit_sum_accuracy, results_long, results_pivot, kmeans_k_search, trir_end_to_end,
 ]

@@ -143,3 +143,74 @@ def test_attack_config():
     with pytest.raises(ValueError):
         R.AttackConfig.of({"nothing": 1})
     assert R.AttackConfig.of({"finetuning_epochs": 2}).finetuning_epochs == 2
+
+
+def test_lloyd_by_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(30, 4)) + 6 * i for i in range(3)])
+    rows = [(n, i, [float(v) for v in r]) for n in ("original", "other") for i, r in enumerate(x)]
+    points = spark.createDataFrame(rows, "anon_name string, doc_id int, v array<double>")
+    found = clustering.trained(points, {"original": [3], "other": [2]}, 6)
+    assert set(found) == {("original", 3), ("other", 2)}
+    centres, cost = found["original", 3]
+    for c, total in zip(centres, cost):
+        away = ((x[:, None] - c[None]) ** 2).sum(2)
+        assert total == pytest.approx(away.min(1).sum())
+        for k in range(3):  # a centre is the mean of its points
+            assert np.allclose(c[k], x[away.argmin(1) == k].mean(0), atol=1e-3)
+    labels = clustering.labelled(points, {"original": centres[cost.argmin()][None], "other": centres[cost.argmin()][None]}).collect()
+    assert len({(r["doc_id"] // 30, r["labels"][0]) for r in labels}) == 3
+    cells = np.array([[2, 0, 0], [0, 1, 1], [0, 0, 0]])
+    pairs = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (1, 2)], "a int, b int")
+    assert clustering.mutual_information(cells) == pytest.approx(clustering.normalised_mutual_information(pairs).first()[0])
+    from pyspark.ml.functions import array_to_vector
+
+    scores, k, silhouettes = clustering.agreement(points.withColumn("features", array_to_vector("v")), n_clusterings=2, n_tries=3, max_k=4)
+    assert set(scores) == {"original", "other"} and k in (2, 4) and len(silhouettes) == 2 and all(0 <= v <= 1 for v in scores.values())
+
+
+def test_unknown_models_are_refused(spark, corpus):
+    documents, mentions, masks, docs = corpus
+    e = Evaluation(documents, mentions, information={"ones": lambda d, terms: terms.select("doc_id", "term_ord", F.lit(1.0).alias("ic")), "rounds": lambda d, terms: terms.select("doc_id", "term_ord", (F.col("round") + 1.0).alias("ic"))})
+    for call in (lambda: e.tpi(docs, masks, "bert"), lambda: e.precision(docs, masks, "ones"), lambda: e.tps(docs, masks, None, similarity_model_name="albert"), lambda: e.nmi(docs, masks, embedding_model_name="minilm")):
+        with pytest.raises(ValueError):
+            call()
+    value = lambda *a, **k: {r[0]: r[1] for r in e.tpi(docs, masks, *a, use_chunking=False, **k).collect()}
+    assert value("ones") == value(None)
+    # a model that weighs by round sees how terms alternate
+    assert len({tuple(sorted(value("rounds", term_alterning=n).items())) for n in (2, 3, "sentence")}) == 3
+
+
+def test_attack_options(spark, tmp_path):
+    people = [(f"p{i}", f"the {w} of {w} and {w}x with {w}y in town") for i, w in enumerate(["ship", "horse", "tree", "stone"])]
+    background = spark.createDataFrame(people, "doc_id string, text string")
+    anonymized = spark.createDataFrame([("X", i, t) for i, t in people] + [("Y", i, "nothing here") for i, _ in people], "source string, doc_id string, text string")
+    folder = str(tmp_path / "out")
+    options = {"output_folder_path": folder, "finetuning_sliding_window": "20-5", "base_model_name": "logistic-regression", "finetuning_epochs": 3, "pretraining_sliding_window": "20-5"}
+    run = lambda texts=anonymized, b=background, **more: {r[0]: r[1] for r in R.risk(texts, b, R.AttackConfig.of({**options, **more})).collect()}
+    first = run()
+    assert first["X"] == 1.0 and first["Y"] <= 0.5
+    lines = (tmp_path / "out" / "results.csv").read_text().splitlines()
+    assert len(lines) == 2 + 3 and lines[1] == "Time,Epoch,X,Y,Average"  # an epoch each
+    run(finetuning_epochs=1)
+    assert len((tmp_path / "out" / "results.csv").read_text().splitlines()) == 6
+    # the saved pretreatment is what is tried, not the texts given; a new source is added, or isn't
+    changed = anonymized.withColumn("text", F.lit("changed"))
+    assert run(changed, load_saved_pretreatment=True)["X"] == 1.0 and run(changed, save_pretreatment=False)["X"] < 1.0
+    new = anonymized.withColumn("source", F.concat(F.lit("new"), "source"))
+    assert set(run(new, load_saved_pretreatment=True, add_non_saved_anonymizations=False)) == set()
+    assert run(new, load_saved_pretreatment=True)["newX"] == 1.0
+    # a saved classifier keeps the labels that it learned, whatever background there is now
+    more = background.union(spark.createDataFrame([("a0", "someone else altogether")], background.schema))
+    assert run(b=more, load_saved_finetuning=True)["X"] == 1.0
+    # the pretrained features are taken up again, and so are other windows
+    assert run(load_saved_pretraining=True, save_finetuning=False)["X"] == 1.0
+    with pytest.raises(ValueError):
+        run(dev_set_column_name="Z")
+    assert run(dev_set_column_name="Y")["Y"] <= 0.5
+    with pytest.raises(ValueError):
+        run(base_model_name="bert")
+    report = {r["kind"]: r["n"] for r in R.individuals(more, anonymized).collect()}
+    assert report == {"all": 5, "train": 5, "evaluation": 4, "train without evaluation": 1, "evaluation without train": 0}
