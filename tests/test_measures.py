@@ -214,3 +214,11 @@ def test_attack_options(spark, tmp_path):
         run(base_model_name="bert")
     report = {r["kind"]: r["n"] for r in R.individuals(more, anonymized).collect()}
     assert report == {"all": 5, "train": 5, "evaluation": 4, "train without evaluation": 1, "evaluation without train": 0}
+
+
+def test_individual_labels(spark):
+    names = [f"n{i * 7919 % 1000}é" for i in range(700)] + ["", None, "n1é"]
+    found = R.individual_labels(spark.createDataFrame([(n,) for n in names], "doc_id string")).collect()
+    want = [None, *sorted({n for n in names if n is not None})]
+    assert {r["doc_id"]: r["label"] for r in found} == {n: i for i, n in enumerate(want)} and len(found) == len(want)
+    assert R.individual_labels(spark.createDataFrame([], "doc_id string")).count() == 0
