@@ -520,3 +520,20 @@ def test_decontamination(spark):
     cleaned = {r["doc_id"]: r for r in D.clean(frame(spark, [f"é one two three four five {' '.join('abcdefghijklmnopqrstuvwxyz')} {items[1]} end", items[0], *EDGES]), long_only).collect()}
     assert cleaned[0]["text"].startswith("é one") and items[1] not in cleaned[0]["text"] and cleaned[0]["n_chars"] == len(cleaned[0]["text"]) and 1 not in cleaned
     assert all(cleaned[i + 2]["text"] == t for i, t in enumerate(EDGES))
+
+
+def test_split_by_loses_no_row(spark):
+    from maskmetrics.llm.common import split_by
+
+    rows = spark.range(500).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("id"), F.lit("x").alias("_bucket"))
+    wanted = spark.range(0, 500, 7).select(F.col("id").alias("k"))
+    for buckets in (1 << 20, 16, 1):
+        near, rest = split_by(rows, rows["id"], wanted, wanted["k"], buckets)
+        assert near.columns == rows.columns and near.count() + rest.count() == 500
+        assert {r["id"] for r in near.collect()} >= {i for i in range(0, 500, 7) if i % 50} and (buckets > 1 or rest.count() == 0)
+
+
+def test_benchmark_parts_are_bounded_by_words(spark):
+    # "a-b" is two words for the operator, and one between blanks
+    bench = spark.createDataFrame([(f"i{k}", "a-b c-d") for k in range(6)], BENCH)
+    assert [len(p) for p in D.parts(bench, 8)] == [2, 2, 2] and [len(p) for p in D.parts(bench, 3)] == [1] * 6
