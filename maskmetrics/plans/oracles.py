@@ -50,6 +50,16 @@ _PARTS = {
     "terms": r"SELECT doc_id, run, s, s + length(run) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS term_ord FROM term_places WHERE NOT regexp_matches(run, '^\s')",
     "term_ics": "SELECT t.*, coalesce(i.ic, 0) AS ic FROM terms t LEFT JOIN ics i ON lower(t.run) = i.word",
     "hit_terms": "SELECT DISTINCT i.anon_name, t.doc_id, t.term_ord, t.ic FROM term_ics t JOIN inner_islands i ON t.doc_id = i.doc_id AND ((t.s <= i.s AND i.s < t.e) OR (t.s < i.e AND i.e <= t.e))",
+    "sub_runs": r"SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]{1,3}|[^\p{L}\p{N}_]') AS r FROM docs",
+    "sub_pieces": "SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS pos FROM sub_runs",
+    "sub_places": "SELECT doc_id, run, pos, CAST(coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM sub_pieces",
+    "subs": r"SELECT doc_id, s, (ord(run) * 31 + length(run) * 7) % 64 AS id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM sub_places WHERE NOT regexp_matches(run, '^\s')",
+    # each subword lies in the last term that begins at or before it
+    "term_subs": "SELECT b.doc_id, b.k, b.id, b.k // 100 AS seg, t.term_ord, t.term_ord % 6 AS rnd FROM subs b ASOF JOIN terms t ON b.doc_id = t.doc_id AND b.s >= t.s",
+    "seg_sums": "SELECT doc_id, seg, sum(id) + CASE WHEN seg = 0 THEN 1 ELSE 0 END AS total, count(*) + CASE WHEN seg = 0 THEN 1 ELSE 0 END AS n FROM term_subs GROUP BY doc_id, seg",
+    "seg_rounds": "SELECT t.doc_id, rnd, t.seg, any_value(n) AS n, count(*) AS n_masked, any_value(total) - sum(id) AS seen FROM term_subs t JOIN seg_sums s ON t.doc_id = s.doc_id AND t.seg = s.seg GROUP BY t.doc_id, rnd, t.seg",
+    "denominators": "SELECT base, sum(exp(((v * 5 + base) % 11) / 4.0::DOUBLE)) AS z FROM range(11) a(base), range(64) b(v) GROUP BY base",
+    "sub_bases": "SELECT t.doc_id, t.term_ord, t.id, CAST((r.seen + 3 * (t.k % 100)) % 11 AS BIGINT) AS base FROM term_subs t JOIN seg_rounds r ON t.doc_id = r.doc_id AND t.rnd = r.rnd AND t.seg = r.seg",
     "totals": "SELECT doc_id, count(*) AS n_terms, sum(ic) AS total FROM term_ics GROUP BY doc_id",
     "lost": "SELECT anon_name, doc_id, count(*) AS n, sum(ic) AS ic FROM hit_terms GROUP BY ALL",
     "kept": "SELECT a.anon_name, a.doc_id, n_terms, total, coalesce(l.n, 0) AS n, coalesce(l.ic, 0) AS ic FROM anon_docs a JOIN totals t ON a.doc_id = t.doc_id LEFT JOIN lost l ON l.anon_name = a.anon_name AND l.doc_id = a.doc_id",
@@ -136,6 +146,9 @@ _SQL = {
     "term_masked_true": "SELECT DISTINCT i.anon_name, t.doc_id, t.term_ord FROM terms t JOIN islands i ON t.doc_id = i.doc_id AND t.s < i.e AND i.s < t.e",
     "term_ic": "SELECT doc_id, term_ord, round(ic, 6) AS ic FROM term_ics",
     "term_rounds": "SELECT doc_id, term_ord % 6 AS round, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts FROM terms GROUP BY ALL",
+    "subwords_of_terms": "SELECT doc_id, term_ord, count(*) AS n, min(k) AS \"first\", max(k) AS \"last\" FROM term_subs GROUP BY ALL",
+    "masked_segments": "SELECT doc_id, rnd AS round, seg AS segment, n, n_masked, CAST(seen AS BIGINT) AS seen FROM seg_rounds",
+    "masked_lm_ic": "SELECT doc_id, term_ord, round(max(ln(z) - ((id * 5 + b.base) % 11) / 4.0::DOUBLE), 6) AS ic FROM sub_bases b JOIN denominators d ON b.base = d.base GROUP BY ALL",
     "tpi_uniform": _UNIFORM,
     "tpi_ic": _TPI,
     "ic_multiplier": "SELECT anon_name, doc_id, round(CASE WHEN n_terms = n OR total - ic = 0 THEN 0 ELSE (CASE WHEN n = 0 THEN 0 ELSE ic / n END) / ((total - ic) / (n_terms - n)) END, 6) AS ic_multiplier FROM kept",

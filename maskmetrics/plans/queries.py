@@ -10,9 +10,10 @@ from ..functions import text as T
 from ..operators import clustering as C
 from ..operators import entities as E
 from ..operators import intervals as I
+from ..operators import masked_lm as L
 from ..operators import measures as M
 from ..operators import reidentification as R
-from .fixtures import ANONYMIZATIONS, Fixture
+from .fixtures import ANONYMIZATIONS, Fixture, PieceModel
 
 
 def _longs(df: DataFrame) -> DataFrame:
@@ -145,6 +146,21 @@ def _tpi(x: Fixture, ic: bool):
     return M.preserved_information(found, x.maskings, x.anon_docs, x.documents)
 
 
+def subwords_of_terms(x: Fixture):
+    found = L.subwords_of(x.documents, M.terms(x.documents), PieceModel)
+    return found.select("doc_id", "term_ord", F.size("subwords").alias("n"), F.array_min("subwords").alias("first"), F.array_max("subwords").alias("last"))
+
+
+def masked_segments(x: Fixture):
+    found = L.MaskedLM(PieceModel).masked_segments(x.documents, M.rounds(M.terms(x.documents), 6))
+    seen = F.aggregate(F.zip_with("ids", "attention", lambda i, a: i * a), F.lit(0).cast("bigint"), lambda s, i: s + i)
+    return found.select("doc_id", F.col("round").cast("bigint").alias("round"), "segment", F.size("ids").alias("n"), "n_masked", seen.alias("seen"))
+
+
+def masked_lm_ic(x: Fixture):
+    return L.MaskedLM(PieceModel).weigh(x.documents, M.rounds(M.terms(x.documents), 6)).select("doc_id", "term_ord", "ic")
+
+
 def terms_of(x: Fixture):
     """Terms of the parser's tokens, with a chunk of any two neighbours from each tenth token on."""
     tokens = parser.tokens(x.documents).withColumn("chunk_id", F.when(F.col("tok_ord") % 10 < 2, F.floor(F.col("tok_ord") / 10).cast("int")))
@@ -281,7 +297,7 @@ def trir_end_to_end(x: Fixture):
 OPERATORS = [
     word_tokens, mask_islands, mask_islands_parity, masked_offsets_len, apply_masking, remove_mask_marks, gold_entities, entities_to_mask, annotators_per_doc,
     covering_annotators, mention_masked, entity_masked, precision_token, precision_mention, precision_ic, recall_token, recall_mention, recall_direct_only,
-    recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, terms_of, terms_in_sentences, individuals_report, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
+    recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, subwords_of_terms, masked_segments, masked_lm_ic, terms_of, terms_in_sentences, individuals_report, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
     cosine_similarity, tps, nmi_contingency, nearest_centroid_labels, missing_docs, extra_docs, gold_ratio, validation_violations, bk_full_outer, individual_labels,
     reid_max_risk, curation, sentence_split, sliding_windows, logit_sum_accuracy, results_long, results_pivot, kmeans_k_search, trir_end_to_end,
 ]
