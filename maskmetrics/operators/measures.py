@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import entities as E
 from . import intervals as I
+from .masked_lm import MaskedLM
 
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -39,16 +40,19 @@ def token_information(tokens: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(total), F.lit(True)).select("word", (-F.log((F.col("c") + 1.0) / (F.col("n") + F.col("v")))).alias("ic"))
 
 
-def precision(maskings: DataFrame, anon_docs: DataFrame, mentions: DataFrame, documents: DataFrame, token_level: bool = True, weights: DataFrame | None = None) -> DataFrame:
-    """(anon_name, precision): covering annotators by annotators, summed over all masks or their words; weights: (word, ic).
+def precision(maskings: DataFrame, anon_docs: DataFrame, mentions: DataFrame, documents: DataFrame, token_level: bool = True, weights: DataFrame | MaskedLM | None = None) -> DataFrame:
+    """(anon_name, precision): covering annotators by annotators, summed over all masks or their words; weights: (word, ic), or a model.
 
-    At the level of mentions a mask counts if it lies inside one gold mention.
+    A masked language model weighs what one anonymization masks in a document all at once. At the level of mentions a mask
+    counts if it lies inside one gold mention.
     """
     keys = ["anon_name", "doc_id", "mask_ord"]
     spans = maskings.select(*keys, "start", "end")
     if token_level:
         spans, keys = words_in(spans, documents, keys), [*keys, "s_ord"]
-    if weights is not None:
+    if isinstance(weights, MaskedLM):
+        spans = weights.weigh(documents, spans.withColumn("round", F.col("anon_name"))).drop("word", "round").withColumnRenamed("ic", "weight")
+    elif weights is not None:
         if not token_level:
             spans = sliced(spans, documents, keys).withColumnRenamed("slice", "word")
         spans = spans.withColumn("word", F.lower("word")).join(weights, "word", "left").withColumn("weight", F.coalesce("ic", F.lit(0.0))).drop("word", "ic")

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import parser
 from ..functions import text as T
 from ..operators import clustering, measures as M, reidentification as R
+from ..operators.masked_lm import MaskedLM
 from ..operators import entities as E
 from ..sources import json_files as J
 
-#: (word, ic), or a function of documents and terms.
-Information = DataFrame | Callable[[DataFrame, DataFrame], DataFrame]
+#: (word, ic), a masked language model, or a function of documents and terms.
+Information = DataFrame | MaskedLM | Callable[[DataFrame, DataFrame], DataFrame]
 NEEDS_GOLD = ["Precision", "PrecisionWeighted", "Recall", "RecallPerEntityType"]
 
 
@@ -25,10 +26,11 @@ class Evaluation:
 
     documents: doc_id, text. mentions: doc_id, annotator, mention_ord, entity_id, entity_type, identifier_type, start, end.
 
-    Models come from providers by name; a name that none has is refused. information: a name's (word, ic), or a function of
-    documents and terms (doc_id, term_ord, start, end, round; sent_id too if terms alternate by sentence) that gives
-    (doc_id, term_ord, ic), for TPI and TPS alone. embeddings: a name's function from a text column to a vector column.
-    "corpus" is the corpus' own word frequencies, "bag" the bag of words.
+    Models come from providers by name; a name that none has is refused. information: a name's (word, ic), a MaskedLM (which
+    sees the whole text, or the sentence if terms alternate by sentence), or, for TPI and TPS alone, a function of documents
+    and terms (doc_id, term_ord, start, end, round; sent_id too if terms alternate by sentence) that gives (doc_id, term_ord,
+    ic). embeddings: a name's function from a text column to a vector column. "corpus" is the corpus' own word frequencies,
+    "bag" the bag of words.
     """
 
     def __init__(self, documents: DataFrame, mentions: DataFrame | None = None, information: dict[str, Information] | None = None, embeddings: dict[str, Callable[[Column], Column]] | None = None):
@@ -55,13 +57,14 @@ class Evaluation:
         """One table of weights for all measures that want one."""
         return M.token_information(self.words).cache()
 
-    def _weights(self, name: str | None) -> Information | None:
+    def _weights(self, name: str | None, max_segment_length: int) -> Information | None:
         if name is None:
             return None
         known = {"corpus": lambda: self.information, **{n: lambda p=p: p for n, p in self._information.items()}}
         if name not in known:
             raise ValueError(f"no information model {name!r}; there are {sorted(known)}")
-        return known[name]()
+        found = known[name]()
+        return found.limited(max_segment_length) if isinstance(found, MaskedLM) else found
 
     def _embedding(self, name: str | None) -> Callable[[Column], Column]:
         known = {None: T.bag_of_words, "bag": T.bag_of_words, **self._embeddings}
@@ -70,7 +73,7 @@ class Evaluation:
         return known[name]
 
     def precision(self, anon_docs, maskings, weighting_model_name: str | None = None, weighting_max_segment_length: int = 100, token_level: bool = True, verbose: bool = True) -> DataFrame:
-        weights = self._weights(weighting_model_name)
+        weights = self._weights(weighting_model_name, weighting_max_segment_length)
         if callable(weights):
             raise ValueError(f"{weighting_model_name!r} weighs terms and not words")
         return M.precision(maskings, anon_docs, self.mentions, self.documents, token_level, weights)
@@ -88,21 +91,26 @@ class Evaluation:
         found = M.recall_by_type(self._counts(anon_docs, maskings, include_direct=include_direct, include_quasi=include_quasi, token_level=token_level))
         return found.groupBy("anon_name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("entity_type", "recall")))).alias("by_type"))
 
-    def terms(self, weighting_model_name: str | None, term_alterning: int | str, use_chunking: bool) -> DataFrame:
+    def terms(self, weighting_model_name: str | None, term_alterning: int | str, use_chunking: bool, max_segment_length: int = 100) -> DataFrame:
         found = M.terms_of(parser.tokens(self.documents), use_chunking) if use_chunking else M.terms(self.documents)
-        weights, in_rounds = self._weights(weighting_model_name), M.rounds(found, term_alterning)
-        if not callable(weights):  # word frequencies don't depend on the round
+        weights, in_rounds = self._weights(weighting_model_name, max_segment_length), M.rounds(found, term_alterning)
+        masked = isinstance(weights, MaskedLM)
+        if not masked and not callable(weights):  # word frequencies don't depend on the round
             return M.term_information(found, self.documents, weights)
-        if term_alterning == "sentence":
-            in_rounds = in_rounds.join(M.terms_in_sentences(found, M.sentence_spans(self.documents)), ["doc_id", "term_ord"], "left")
+        sentences = M.sentence_spans(self.documents) if term_alterning == "sentence" else None
+        if sentences is not None:
+            in_rounds = in_rounds.join(M.terms_in_sentences(found, sentences), ["doc_id", "term_ord"], "left")
+        if masked:
+            weighed = weights.weigh(self.documents, in_rounds, sentences).select("doc_id", "term_ord", "ic")
+            return found.join(weighed, ["doc_id", "term_ord"], "left").fillna(0.0, ["ic"])
         return found.join(weights(self.documents, in_rounds), ["doc_id", "term_ord"], "left").fillna(0.0, ["ic"])
 
     def tpi(self, anon_docs, maskings, weighting_model_name: str | None = "corpus", weighting_max_segment_length: int = 100, term_alterning: int | str = 6, use_chunking: bool = True, overlap_mode: str = "endpoint", flush_tail: bool = False, skip_empty: bool = False) -> DataFrame:
-        each = M.preserved_information(self.terms(weighting_model_name, term_alterning, use_chunking), maskings, anon_docs, self.documents, overlap_mode=overlap_mode, flush_tail=flush_tail)
+        each = M.preserved_information(self.terms(weighting_model_name, term_alterning, use_chunking, weighting_max_segment_length), maskings, anon_docs, self.documents, overlap_mode=overlap_mode, flush_tail=flush_tail)
         return M.mean_by_anonymization(each, "tpi", skip_empty)
 
     def tps(self, anon_docs, maskings, weighting_model_name: str | None = "corpus", weighting_max_segment_length: int = 100, term_alterning: int | str = 6, use_chunking: bool = True, similarity_model_name: str | None = None, overlap_mode: str = "endpoint", flush_tail: bool = False, skip_empty: bool = False, verbose: bool = True) -> DataFrame:
-        each = M.preserved_similarity(self.terms(weighting_model_name, term_alterning, use_chunking), maskings, anon_docs, self.documents, self._embedding(similarity_model_name), overlap_mode=overlap_mode, flush_tail=flush_tail)
+        each = M.preserved_similarity(self.terms(weighting_model_name, term_alterning, use_chunking, weighting_max_segment_length), maskings, anon_docs, self.documents, self._embedding(similarity_model_name), overlap_mode=overlap_mode, flush_tail=flush_tail)
         return M.mean_by_anonymization(each, "tps", skip_empty)
 
     def nmi(self, anon_docs, maskings, min_k: int = 2, max_k: int = 32, k_multiplier: float = 2, embedding_model_name: str | None = None, remove_mask_marks: bool = True, mask_marks: list[str] = T.MASK_MARKS, n_clusterings: int = 5, n_tries_per_clustering: int = 50, seed: int = 1) -> DataFrame:
