@@ -155,6 +155,11 @@ def mutual_information(cells: np.ndarray) -> float:
     return 1.0 if mean < 1e-12 else min(max(both / mean, 0.0), 1.0)
 
 
+def silhouette(vectors: DataFrame) -> float:
+    """The mean silhouette of (features, label), by cosine distance."""
+    return ClusteringEvaluator(distanceMeasure="cosine", featuresCol="features", predictionCol="label").evaluate(vectors)
+
+
 def agreement(embedded: DataFrame, original: str = "original", min_k: int = 2, max_k: int = 32, k_multiplier: float = 2, n_clusterings: int = 5, n_tries: int = 50, seed: int = 1) -> tuple[dict[str, float], int, list[float]]:
     """({anonymization: mean nmi}, k, silhouettes), at the k (growing geometrically) of the best mean silhouette of the original.
 
@@ -181,7 +186,6 @@ def agreement(embedded: DataFrame, original: str = "original", min_k: int = 2, m
         return best
 
     true = clustered({original: of[original]}, seed)
-    evaluator = ClusteringEvaluator(distanceMeasure="cosine", featuresCol="features", predictionCol="label")
     own = embedded.where(F.col("anon_name") == original)
     best: tuple[float, int, list] | None = None
     for k in ks:
@@ -192,7 +196,7 @@ def agreement(embedded: DataFrame, original: str = "original", min_k: int = 2, m
             if one.select("label").distinct().count() < 2:
                 logging.warning("k = %d: fewer than two clusters", k)
                 continue
-            silhouettes.append(evaluator.evaluate(one))
+            silhouettes.append(silhouette(one))
         labels.unpersist()
         if silhouettes and (best is None or sum(silhouettes) / len(silhouettes) > best[0]):
             best = sum(silhouettes) / len(silhouettes), k, silhouettes

@@ -7,6 +7,10 @@ from ..functions import text as T
 
 _LIST = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
 _IGNORED = "[" + "".join("\\" + c if c in "[]-" else c for c in T.CHARACTERS_TO_IGNORE).replace("'", "''") + "]"
+_ENTITIES = {
+    "EMAIL": r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+", "IP": r"\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}", "CARD": r"\p{Nd}{13,19}", "PERSON": r"[A-Z][a-z]+(?: [A-Z][a-z]+)+", "QUANTITY": r"\p{Nd}+(?:[.,]\p{Nd}+)*",
+}
+_LABEL = "CASE " + " ".join(f"WHEN regexp_full_match(run, '{pattern}') THEN '{name}'" for name, pattern in _ENTITIES.items()) + " END"
 _PARTS = {
     "docs": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, length(text) AS n_chars FROM documents",
     "runs": r"SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS r FROM docs",
@@ -74,6 +78,27 @@ _PARTS = {
     "tokens": r"SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS t FROM docs",
     "numbered": "SELECT doc_id, t, CASE WHEN len(t) <= 98 THEN 1 ELSE CAST(ceil((len(t) - 98) / 73.0) AS INT) + 1 END AS k FROM tokens WHERE doc_id IN (SELECT doc_id FROM docs WHERE text <> '')",
     "windows": "SELECT doc_id, i AS window_ord, t[i * 73 + 1 : i * 73 + 98] AS w FROM (SELECT doc_id, t, unnest(range(k)) AS i FROM numbered)",
+    # entities by form; what is no entity is taken character by character
+    "ent_runs": f"SELECT doc_id, regexp_extract_all(text, '{'|'.join(_ENTITIES.values())}|[\\s\\S]') AS r FROM docs",
+    "ent_pieces": "SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS pos FROM ent_runs",
+    "ent_places": f"SELECT doc_id, run, pos, {_LABEL} AS label, CAST(coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM ent_pieces",
+    "ents": "SELECT doc_id, s, s + length(run) AS e FROM ent_places WHERE label IS NOT NULL",
+    "typed": "SELECT doc_id, string_agg(coalesce(label, run), '' ORDER BY pos) AS t FROM ent_places GROUP BY doc_id",
+    "parsed": "SELECT t.doc_id, t.term_ord, t.s, t.e, n.s AS ent, CASE WHEN t.term_ord % 10 < 2 THEN t.term_ord // 10 END AS chunk FROM terms t LEFT JOIN ents n ON n.doc_id = t.doc_id AND n.s <= t.s AND t.e <= n.e",
+    "free_chunks": "SELECT doc_id, chunk FROM parsed WHERE chunk IS NOT NULL GROUP BY ALL HAVING count(ent) = 0",
+    "parsed_terms": "SELECT p.doc_id, min(p.s) AS s, max(p.e) AS e FROM parsed p LEFT JOIN free_chunks c ON p.doc_id = c.doc_id AND p.chunk = c.chunk GROUP BY p.doc_id, CASE WHEN ent IS NOT NULL THEN 'e' || ent WHEN c.chunk IS NOT NULL THEN 'c' || c.chunk ELSE 't' || p.term_ord END",
+    # a sentence ends with a line, or with marks before white space or the end; a mark by itself is none
+    "mark_runs": r"SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+|[.!?]+|\n') AS r FROM docs",
+    "mark_pieces": "SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS pos FROM mark_runs",
+    "mark_places": "SELECT *, CAST(coalesce(sum(length(run)) OVER w, 0) AS BIGINT) AS s, lead(run) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM mark_pieces WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "mark_breaks": r"SELECT *, CASE WHEN run = chr(10) OR (regexp_matches(run, '^[.!?]') AND (next IS NULL OR regexp_matches(next, '^\s'))) THEN 1 ELSE 0 END AS ends FROM mark_places",
+    "mark_groups": "SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM mark_breaks",
+    "sentence_spans": r"SELECT doc_id, min(s) AS s, max(s + length(run)) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS sent_id FROM mark_groups WHERE run <> chr(10) GROUP BY doc_id, g HAVING NOT regexp_full_match(string_agg(run, '' ORDER BY pos), '[.!?]')",
+    "units": "SELECT vec_id, label, d, c / sqrt(sum(c * c) OVER (PARTITION BY vec_id)) AS c FROM components",
+    "unit_sums": "SELECT label AS b, d, sum(c) AS c FROM units GROUP BY ALL",
+    "unit_sizes": "SELECT label AS b, count(DISTINCT vec_id) AS n FROM units GROUP BY ALL",
+    "unit_dots": "SELECT u.vec_id, u.label, x.b, sum(u.c * x.c) AS dot FROM units u JOIN unit_sums x ON u.d = x.d GROUP BY ALL",
+    "unit_away": "SELECT vec_id, any_value(CASE WHEN z.b = label THEN n END) AS own, min(CASE WHEN z.b <> label THEN 1 - dot / n END) AS other, max(CASE WHEN z.b = label AND n > 1 THEN (1 - dot / n) * n / (n - 1) END) AS mine FROM unit_dots o JOIN unit_sizes z ON o.b = z.b GROUP BY vec_id",
 }
 
 
@@ -149,6 +174,13 @@ _SQL = {
     "subwords_of_terms": "SELECT doc_id, term_ord, count(*) AS n, min(k) AS \"first\", max(k) AS \"last\" FROM term_subs GROUP BY ALL",
     "masked_segments": "SELECT doc_id, rnd AS round, seg AS segment, n, n_masked, CAST(seen AS BIGINT) AS seen FROM seg_rounds",
     "masked_lm_ic": "SELECT doc_id, term_ord, round(max(ln(z) - ((id * 5 + b.base) % 11) / 4.0::DOUBLE), 6) AS ic FROM sub_bases b JOIN denominators d ON b.base = d.base GROUP BY ALL",
+    "terms_of": "SELECT doc_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM parsed_terms GROUP BY doc_id",
+    "terms_in_sentences": "SELECT t.doc_id, n.sent_id, count(*) AS n FROM terms t JOIN sentence_spans n ON t.doc_id = n.doc_id AND n.s <= t.s AND t.e <= n.e GROUP BY ALL",
+    "entity_replacement": "SELECT d.doc_id, md5(coalesce(t, '')) AS md5, length(coalesce(t, '')) AS n_chars FROM docs d LEFT JOIN typed USING (doc_id)",
+    "attack_texts": "SELECT source, x.doc_id, coalesce(l.label, -1) AS label, md5(t) AS md5 FROM (SELECT '__background__' AS source, b.doc_id, t FROM background b JOIN typed ON typed.doc_id = CAST(CAST(b.doc_id AS BIGINT) % 1000000 AS VARCHAR) "
+    f"UNION ALL SELECT a.anon_name, a.doc_id, CASE WHEN ms IS NULL THEN text ELSE {_MASKED_TEXT} END FROM anon_docs a JOIN docs d ON a.doc_id = d.doc_id LEFT JOIN listed l ON l.anon_name = a.anon_name AND l.doc_id = a.doc_id) x "
+    "LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS label FROM (SELECT DISTINCT doc_id FROM background WHERE text <> '')) l ON x.doc_id = l.doc_id WHERE t <> ''",
+    "silhouette": "SELECT round(avg(CASE WHEN own = 1 THEN 0 ELSE (other - mine) / greatest(other, mine) END), 6) AS silhouette FROM unit_away",
     "tpi_uniform": _UNIFORM,
     "tpi_ic": _TPI,
     "ic_multiplier": "SELECT anon_name, doc_id, round(CASE WHEN n_terms = n OR total - ic = 0 THEN 0 ELSE (CASE WHEN n = 0 THEN 0 ELSE ic / n END) / ((total - ic) / (n_terms - n)) END, 6) AS ic_multiplier FROM kept",

@@ -221,6 +221,12 @@ def nmi_contingency(x: Fixture):
     return C.normalised_mutual_information(_labelled(x))
 
 
+def silhouette(x: Fixture):
+    """Of the embeddings' own labels as clusters."""
+    points = _vectors(x).select(C.array_to_vector(F.transform("v", lambda c: c.cast("double"))).alias("features"), F.col("label").cast("double").alias("label"))
+    return x.spark.createDataFrame([(C.silhouette(points),)], "silhouette double")
+
+
 def missing_docs(x: Fixture):
     return M.missing_documents(x.documents, x.anon_docs.where("doc_id % 7 <> anon_ord"))
 
@@ -254,6 +260,18 @@ def curation(x: Fixture):
     return parser.curate(x.documents).select("doc_id", F.md5("text").alias("md5"), F.length("text").alias("n_chars"))
 
 
+def entity_replacement(x: Fixture):
+    return parser.with_entity_types(x.documents).select("doc_id", F.md5("text").alias("md5"), F.length("text").alias("n_chars"))
+
+
+def attack_texts(x: Fixture):
+    """What the attack trains on and is tried on, with the label that it learns for each individual, -1 for the others."""
+    texts = M.masked_texts(x.documents, x.anon_docs, x.maskings).withColumnRenamed("anon_name", "source")
+    found = R.pretreated(texts, x.background, R.AttackConfig(use_document_curation=False), parser.with_entity_types)
+    labels = R.individual_labels(R.present(x.background))
+    return found.join(labels, "doc_id", "left").select("source", "doc_id", F.coalesce("label", F.lit(-1)).alias("label"), F.md5("text").alias("md5"))
+
+
 def sentence_split(x: Fixture):
     return x.documents.select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("md5"))
 
@@ -298,8 +316,8 @@ OPERATORS = [
     word_tokens, mask_islands, mask_islands_parity, masked_offsets_len, apply_masking, remove_mask_marks, gold_entities, entities_to_mask, annotators_per_doc,
     covering_annotators, mention_masked, entity_masked, precision_token, precision_mention, precision_ic, recall_token, recall_mention, recall_direct_only,
     recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, subwords_of_terms, masked_segments, masked_lm_ic, terms_of, terms_in_sentences, individuals_report, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
-    cosine_similarity, tps, nmi_contingency, nearest_centroid_labels, missing_docs, extra_docs, gold_ratio, validation_violations, bk_full_outer, individual_labels,
-    reid_max_risk, curation, sentence_split, sliding_windows, logit_sum_accuracy, results_long, results_pivot, kmeans_k_search, trir_end_to_end,
+    cosine_similarity, tps, nmi_contingency, nearest_centroid_labels, silhouette, missing_docs, extra_docs, gold_ratio, validation_violations, bk_full_outer, individual_labels,
+    reid_max_risk, curation, entity_replacement, attack_texts, sentence_split, sliding_windows, logit_sum_accuracy, results_long, results_pivot, kmeans_k_search, trir_end_to_end,
 ]
 
 
