@@ -146,9 +146,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds, each a groupBy with a window-free minimum, until the edges no longer change.
     The edges are written to the shared folder after each round. A node with a great many links is no single task's
-    list: its minimum is a partial aggregate, and its edges are joined with that under skew handling.
+    list: its minimum is a partial aggregate, and its edges meet that where they are. Nodes with more links than a task's
+    even share of them are fewer than the tasks, so theirs alone are broadcast.
     """
     spark = edges.sparkSession
+    tasks = partitions(spark)
     name = edges.columns
     e = edges.select(F.col(name[0]).alias("a"), F.col(name[1]).alias("b")).where("a <> b").distinct()
     paths: list[str] = []
@@ -162,10 +164,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         del paths[:-1]
         return out
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.union(e.select("b", "a")) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        linked = both.join(least, "a")
+        counted = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        least = counted.select("a", "m")
+        many = counted.where(F.col("n") > max(64, 2 * n // tasks)).select("a", "m")
+        linked = both.join(F.broadcast(many), "a").union(both.join(F.broadcast(many.select("a")), "a", "left_anti").join(least, "a"))
         if large:
             linked = linked.where(F.col("b") > F.col("a"))
             return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -178,7 +182,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = kept(e)
     before = state(e)
     for _ in range(rounds):
-        e = kept(star(star(e, True), False))
+        # a large star has an edge at most for each that it was given
+        e = kept(star(star(e, True, before[0]), False, before[0]))
         now = state(e)
         if now == before:
             break

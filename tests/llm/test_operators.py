@@ -473,6 +473,28 @@ def test_topk(spark):
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hub", [0, 250, 999])
+def test_components_of_stars_chains_and_random_links(spark, hub):
+    from maskmetrics.llm.common import components as linked
+
+    rng = np.random.default_rng(hub)
+    nodes = np.setdiff1d(np.arange(0, 1000), [hub])
+    edges = [(hub, int(x)) for x in nodes[nodes < 500]] + [(i, i + 1) for i in range(600, 640)] + [tuple(map(int, x)) for x in rng.integers(700, 1000, (150, 2))] + [(3, 3), (hub, 5), (5, hub)]
+    parent = list(range(1000))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    found = {r["node"]: r["component"] for r in linked(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert found == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    assert linked(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_topk_keeps_ties_and_large_components():
     rng = np.random.default_rng(11)
     for trial in range(24):
