@@ -112,6 +112,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that df has columns of (in any case of letters)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -54,10 +54,34 @@ hit_items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY ite
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(x.n, 0) AS n_items, sha256(coalesce(x.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hit_words h ON h.doc_id = d.doc_id LEFT JOIN hit_items x ON x.doc_id = d.doc_id"""
 
+_URLS = """
+WITH rules AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS r(h, p, v)),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT row_number() OVER () AS n, page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (SELECT n, h || p AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC, length(h) DESC) AS i FROM parts JOIN rules ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN fits ON fits.n = parts.n AND i = 1"""
+
+# time zones are DuckDB's own; quotients of HUGEINTs are floored by taking the remainder off first
+_RESAMPLED = """
+WITH points AS (SELECT client_id, t, v FROM (SELECT client_id, t, v, row_number() OVER (PARTITION BY client_id, t ORDER BY click_id DESC NULLS LAST, v DESC) AS r
+FROM (SELECT client_id, click_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS t, CAST(floor(100 * value + 0.5) AS BIGINT) AS v FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL AND isfinite(value))) WHERE r = 1),
+next_points AS (SELECT *, lead(t) OVER w AS t2, lead(v) OVER w AS v2 FROM points WINDOW w AS (PARTITION BY client_id ORDER BY t)),
+segments AS (SELECT client_id, t, v, CASE WHEN t2 - t <= 900 THEN t2 - t ELSE 0 END AS d, coalesce(v2, v) - v AS rise FROM next_points),
+days AS (SELECT *, CAST(timezone('Europe/Berlin', make_timestamp_ms(t * 1000)::TIMESTAMP AT TIME ZONE 'UTC') AS DATE) AS first, CAST(timezone('Europe/Berlin', make_timestamp_ms((t + greatest(d - 1, 0)) * 1000)::TIMESTAMP AT TIME ZONE 'UTC') AS DATE) AS last FROM segments),
+split AS (SELECT *, unnest(range(CAST(last - first AS INT) + 1)) AS i FROM days),
+borders AS (SELECT *, CAST(epoch(timezone('Europe/Berlin', CAST(first + CAST(i AS INT) AS TIMESTAMP))) AS BIGINT) AS a, CAST(epoch(timezone('Europe/Berlin', CAST(first + CAST(i + 1 AS INT) AS TIMESTAMP))) AS BIGINT) AS b FROM split),
+ends AS (SELECT *, CAST(greatest(t, a) - t AS HUGEINT) AS u0, CAST(least(t + d, b) - t AS HUGEINT) AS u1, CAST(greatest(d, 1) AS HUGEINT) AS e FROM borders),
+pieces AS (SELECT client_id, a, CASE WHEN i = 0 THEN 1 ELSE 0 END AS n, CASE WHEN d > 0 THEN u1 - u0 ELSE 0 END AS covered,
+CASE WHEN d > 0 THEN 2 * v * (u1 - u0) + (rise * u1 * u1 - ((rise * u1 * u1) % e + e) % e) // e - (rise * u0 * u0 - ((rise * u0 * u0) % e + e) % e) // e ELSE 0 END AS area FROM ends),
+sums AS (SELECT client_id, a, sum(n) AS n, sum(covered) AS c, sum(area) AS x FROM pieces WHERE n = 1 OR covered > 0 GROUP BY client_id, a)
+SELECT client_id, a AS bucket_start, CAST(n AS BIGINT) AS n_points, CAST(c AS BIGINT) AS covered_seconds, CAST(x AS BIGINT) AS area2, CASE WHEN c > 0 THEN CAST((CAST(x AS HUGEINT) - (CAST(x AS HUGEINT) % CAST(2 * c AS HUGEINT) + CAST(2 * c AS HUGEINT)) % CAST(2 * c AS HUGEINT)) // CAST(2 * c AS HUGEINT) AS BIGINT) END AS avg_cents FROM sums"""
+
 ORACLE_SQL = {
     "op2_mixing": _MIXING,
     "op7_ngram_join": _JOIN,
     "op8_warc": _WARC,
     "op9_topk": _TOPK,
     "op10_decontamination": _LEAKS,
+    "op11_url_filters": _URLS,
+    "op13_resampling": _RESAMPLED,
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, language_model, mixing, ngram_join, pii, sharding, topk, toxicity, warc
+from . import decontamination, language_id, language_model, mixing, ngram_join, periodic_runs, pii, resampling, sharding, topk, toxicity, url_filters, warc
 from .common import crc_remainder
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -67,6 +67,50 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+#: The rules (host, path, verdict) of op11's contract.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge(pages, url_filters.rules_of(spark, URL_RULES)).drop("url")
+
+
+def periodised(text: str, doc_id: str) -> Column:
+    """The text; of documents whose crc32(doc_id) is divisible by 10, with its words made periodic from one of them on."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.call_function("div", n - a, F.pmod(g, F.lit(8)) + 3)
+        at = F.array(F.struct(a.cast("int").alias("a"), p.cast("int").alias("p")))
+        put = lambda ap: F.transform(words, lambda w, i: F.when(i < ap["a"], w).otherwise(F.get(words, ap["a"] + F.pmod(i - ap["a"], ap["p"]))))
+        return F.when(n > 0, F.array_join(F.transform(at, put)[0], " "))
+
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    # bound to a variable by the transform, so that it is worked out once
+    changed = F.transform(F.array(words), repeated)[0]
+    return F.coalesce(F.when(F.pmod(h, F.lit(10)) == 0, changed), F.col(text))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodised("text", "doc_id").alias("text"))
+    found = periodic_runs.detected(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+        F.call_function("div", F.col("best.length") * 1000, -F.col("best.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "clicks"), signal="linear", cap=900, bucket="day", zone="Europe/Berlin").withColumnRenamed("avg", "avg_cents")
+
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_mixing": op2_mixing,
@@ -78,4 +122,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_topk": op9_topk,
     "op10_decontamination": op10_decontamination,
+    "op11_url_filters": op11_url_filters,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_resampling": op13_resampling,
 }

@@ -15,7 +15,7 @@ def test_query(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "clicks"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = db.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
