@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parser
+from ..functions import parser as parsing
 from ..functions import text as T
 from ..operators import clustering, measures as M, reidentification as R
 from ..operators.masked_lm import MaskedLM
@@ -30,12 +30,12 @@ class Evaluation:
     sees the whole text, or the sentence if terms alternate by sentence), or, for TPI and TPS alone, a function of documents
     and terms (doc_id, term_ord, start, end, round; sent_id too if terms alternate by sentence) that gives (doc_id, term_ord,
     ic). embeddings: a name's function from a text column to a vector column. "corpus" is the corpus' own word frequencies,
-    "bag" the bag of words.
+    "bag" the bag of words. parser: patterns and lists, or a tagger.LearnedParser.
     """
 
-    def __init__(self, documents: DataFrame, mentions: DataFrame | None = None, information: dict[str, Information] | None = None, embeddings: dict[str, Callable[[Column], Column]] | None = None):
+    def __init__(self, documents: DataFrame, mentions: DataFrame | None = None, information: dict[str, Information] | None = None, embeddings: dict[str, Callable[[Column], Column]] | None = None, parser: parsing.Parser = parsing.PATTERNS):
         self.spark: SparkSession = documents.sparkSession
-        self._information, self._embeddings = information or {}, embeddings or {}
+        self._information, self._embeddings, self.parser = information or {}, embeddings or {}, parser
         self.documents = documents.select("doc_id", "text", F.length("text").alias("n_chars"))
         empty = "doc_id string, annotator string, mention_ord int, entity_id string, entity_type string, identifier_type string, start int, end int"
         self.mentions = mentions if mentions is not None else self.spark.createDataFrame([], empty)
@@ -44,9 +44,9 @@ class Evaluation:
             raise ValueError(f"the corpus breaks rules: {broken}")
 
     @classmethod
-    def of_file(cls, spark: SparkSession, path: str) -> Evaluation:
+    def of_file(cls, spark: SparkSession, path: str, **options) -> Evaluation:
         corpus = J.read_corpus(spark, path)
-        return cls(corpus, J.gold_mentions(corpus))
+        return cls(corpus, J.gold_mentions(corpus), **options)
 
     @cached_property
     def words(self) -> DataFrame:
@@ -82,7 +82,7 @@ class Evaluation:
         return self.precision(anon_docs, maskings, weighting_model_name, **options)
 
     def _counts(self, anon_docs, maskings, **options) -> DataFrame:
-        return M.mask_counts(self.mentions, maskings, anon_docs, self.documents, parser.ignorable_tokens(self.words), **options)
+        return M.mask_counts(self.mentions, maskings, anon_docs, self.documents, self.parser.ignorable(self.documents, self.words), **options)
 
     def recall(self, anon_docs, maskings, include_direct: bool = True, include_quasi: bool = True, token_level: bool = True, verbose: bool = True) -> DataFrame:
         return M.recall(self._counts(anon_docs, maskings, include_direct=include_direct, include_quasi=include_quasi, token_level=token_level), anon_docs)
@@ -92,7 +92,7 @@ class Evaluation:
         return found.groupBy("anon_name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("entity_type", "recall")))).alias("by_type"))
 
     def terms(self, weighting_model_name: str | None, term_alterning: int | str, use_chunking: bool, max_segment_length: int = 100) -> DataFrame:
-        found = M.terms_of(parser.tokens(self.documents), use_chunking) if use_chunking else M.terms(self.documents)
+        found = M.terms_of(self.parser.tokens(self.documents), use_chunking) if use_chunking else M.terms(self.documents)
         weights, in_rounds = self._weights(weighting_model_name, max_segment_length), M.rounds(found, term_alterning)
         masked = isinstance(weights, MaskedLM)
         if not masked and not callable(weights):  # word frequencies don't depend on the round
@@ -122,7 +122,7 @@ class Evaluation:
         config = R.AttackConfig.of({"output_folder_path": output_folder_path, **options})
         background = J.read_background(self.spark, background_knowledge_file_path)
         texts = M.masked_texts(self.documents, anon_docs, maskings).withColumnRenamed("anon_name", "source")
-        found = R.risk(texts, background, config, parser.with_entity_types, parser.curate)
+        found = R.risk(texts, background, config, self.parser.with_entity_types, self.parser.curate)
         return found.select(F.col("source").alias("anon_name"), F.col("accuracy").alias("trir"))
 
     def measures(self):

@@ -11,6 +11,15 @@ _ENTITIES = {
     "EMAIL": r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+", "IP": r"\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}", "CARD": r"\p{Nd}{13,19}", "PERSON": r"[A-Z][a-z]+(?: [A-Z][a-z]+)+", "QUANTITY": r"\p{Nd}+(?:[.,]\p{Nd}+)*",
 }
 _LABEL = "CASE " + " ".join(f"WHEN regexp_full_match(run, '{pattern}') THEN '{name}'" for name, pattern in _ENTITIES.items()) + " END"
+_CLASS = (
+    "CASE "
+    + " ".join(f"WHEN lower(run) IN ({_LIST(members)}) THEN '{name}'" for name, members in [*parser.CLOSED_CLASSES.items(), *parser.MORE_CLASSES.items()])
+    + r" WHEN regexp_matches(run, '^[0-9]') THEN 'NUM' WHEN regexp_matches(run, '^[^\p{L}\p{N}_]') THEN 'PUNCT' WHEN regexp_matches(run, '^\p{Lu}') THEN 'PROPN' "
+    + " ".join(f"WHEN regexp_matches(lower(run), '..(?:{'|'.join(members)})$') THEN '{name}'" for name, members in parser.OPEN_ENDINGS.items())
+    + " ELSE 'NOUN' END"
+)
+#: Tags O, B-X, I-X, B-Y, I-Y: what leads from one to the other, by fixed weights; I- only after its own.
+_LEADS = [[((i * 7 + j * 13) % 17) * 1_000_003 if j not in (2, 4) or i in (j - 1, j) else -(10**12) for j in range(5)] for i in range(5)]
 _PARTS = {
     "docs": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, length(text) AS n_chars FROM documents",
     "runs": r"SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS r FROM docs",
@@ -87,6 +96,16 @@ _PARTS = {
     "parsed": "SELECT t.doc_id, t.term_ord, t.s, t.e, n.s AS ent, CASE WHEN t.term_ord % 10 < 2 THEN t.term_ord // 10 END AS chunk FROM terms t LEFT JOIN ents n ON n.doc_id = t.doc_id AND n.s <= t.s AND t.e <= n.e",
     "free_chunks": "SELECT doc_id, chunk FROM parsed WHERE chunk IS NOT NULL GROUP BY ALL HAVING count(ent) = 0",
     "parsed_terms": "SELECT p.doc_id, min(p.s) AS s, max(p.e) AS e FROM parsed p LEFT JOIN free_chunks c ON p.doc_id = c.doc_id AND p.chunk = c.chunk GROUP BY p.doc_id, CASE WHEN ent IS NOT NULL THEN 'e' || ent WHEN c.chunk IS NOT NULL THEN 'c' || c.chunk ELSE 't' || p.term_ord END",
+    # noun chunks as islands: words that may stand in one, up to the last noun, with a determiner right before them
+    "classed": f"SELECT t.*, {_CLASS} AS class, instr(substr(d.text, CAST(coalesce(lag(e) OVER w, 0) + 1 AS INT), CAST(t.s - coalesce(lag(e) OVER w, 0) AS INT)), chr(10)) > 0 AS breaks FROM terms t JOIN docs d ON t.doc_id = d.doc_id WINDOW w AS (PARTITION BY t.doc_id ORDER BY term_ord)",
+    "nominal": "SELECT *, class IN ('ADJ', 'NUM', 'NOUN', 'PROPN') AS may, class IN ('NOUN', 'PROPN') AS noun, lag(class) OVER (PARTITION BY doc_id ORDER BY term_ord) AS before FROM classed",
+    "nominal_runs": "SELECT *, sum(CASE WHEN may AND NOT breaks AND before IN ('ADJ', 'NUM', 'NOUN', 'PROPN') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY term_ord) AS g FROM nominal",
+    "chunk_spans": "SELECT doc_id, min(term_ord) - CASE WHEN arg_min(before = 'DET' AND NOT breaks, term_ord) THEN 1 ELSE 0 END AS a, max(term_ord) FILTER (noun) AS z FROM nominal_runs WHERE may GROUP BY doc_id, g HAVING bool_or(noun) "
+    "UNION ALL SELECT doc_id, term_ord, term_ord FROM nominal WHERE class = 'PRON'",
+    "chunked": "SELECT t.doc_id, t.term_ord, t.s, t.e, n.s AS ent, CASE WHEN t.term_ord <= c.z THEN c.a END AS chunk FROM terms t ASOF LEFT JOIN chunk_spans c ON t.doc_id = c.doc_id AND t.term_ord >= c.a LEFT JOIN ents n ON n.doc_id = t.doc_id AND n.s <= t.s AND t.e <= n.e",
+    "own_free": "SELECT doc_id, chunk FROM chunked WHERE chunk IS NOT NULL GROUP BY ALL HAVING count(ent) = 0",
+    "own_spans": "SELECT p.doc_id, min(p.s) AS s, max(p.e) AS e FROM chunked p LEFT JOIN own_free c ON p.doc_id = c.doc_id AND p.chunk = c.chunk GROUP BY p.doc_id, CASE WHEN ent IS NOT NULL THEN 'e' || ent WHEN c.chunk IS NOT NULL THEN 'c' || c.chunk ELSE 't' || p.term_ord END",
+    "own_hits": "SELECT DISTINCT i.anon_name, t.doc_id, t.s FROM own_spans t JOIN inner_islands i ON t.doc_id = i.doc_id AND ((t.s <= i.s AND i.s < t.e) OR (t.s < i.e AND i.e <= t.e))",
     # a sentence ends with a line, or with marks before white space or the end; a mark by itself is none
     "mark_runs": r"SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+|[.!?]+|\n') AS r FROM docs",
     "mark_pieces": "SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS pos FROM mark_runs",
@@ -94,6 +113,13 @@ _PARTS = {
     "mark_breaks": r"SELECT *, CASE WHEN run = chr(10) OR (regexp_matches(run, '^[.!?]') AND (next IS NULL OR regexp_matches(next, '^\s'))) THEN 1 ELSE 0 END AS ends FROM mark_places",
     "mark_groups": "SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM mark_breaks",
     "sentence_spans": r"SELECT doc_id, min(s) AS s, max(s + length(run)) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS sent_id FROM mark_groups WHERE run <> chr(10) GROUP BY doc_id, g HAVING NOT regexp_full_match(string_agg(run, '' ORDER BY pos), '[.!?]')",
+    # tokens of no sentence go with the one before
+    "sentence_tokens": "SELECT t.doc_id, t.term_ord, t.run, dense_rank() OVER (PARTITION BY t.doc_id ORDER BY coalesce(n.sent_id, -1)) - 1 AS sent_id FROM terms t ASOF LEFT JOIN sentence_spans n ON t.doc_id = n.doc_id AND t.s >= n.s",
+    "emitted": "SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY term_ord) = 1 AS begins, list_transform(range(5), lambda k: (ord(run) * 7919 + length(run) * 104729 + (k + 1) * 1299709) * (ord(run) + k + 3) % 16777213) AS w FROM sentence_tokens",
+    "steps": "SELECT doc_id, sent_id, count(*) AS n, list(CASE WHEN begins THEN list_transform(range(5), lambda k: {'s': CAST(w[k + 1] + [0, 300009, -1000000000000, 500015, -1000000000000][k + 1] AS BIGINT), 'p': CAST(k AS VARCHAR)}) "
+    "ELSE list_transform(w, lambda x: {'s': CAST(x AS BIGINT), 'p': ''}) END ORDER BY term_ord) AS x FROM emitted GROUP BY ALL",
+    # of equal ones the smaller tag: the greatest of (score, -tag)
+    "walked": f"SELECT doc_id, sent_id, n, list_reduce(x, lambda a, t: list_transform(range(5), lambda j: list_transform([list_max(list_transform(range(5), lambda i: {{'s': a[i + 1].s + ({_LEADS})[i + 1][j + 1], 'i': -i, 'p': a[i + 1].p}}))], lambda b: {{'s': b.s + t[j + 1].s, 'p': b.p || j}})[1])) AS best FROM steps",
     "units": "SELECT vec_id, label, d, c / sqrt(sum(c * c) OVER (PARTITION BY vec_id)) AS c FROM components",
     "unit_sums": "SELECT label AS b, d, sum(c) AS c FROM units GROUP BY ALL",
     "unit_sizes": "SELECT label AS b, count(DISTINCT vec_id) AS n FROM units GROUP BY ALL",
@@ -175,6 +201,10 @@ _SQL = {
     "masked_segments": "SELECT doc_id, rnd AS round, seg AS segment, n, n_masked, CAST(seen AS BIGINT) AS seen FROM seg_rounds",
     "masked_lm_ic": "SELECT doc_id, term_ord, round(max(ln(z) - ((id * 5 + b.base) % 11) / 4.0::DOUBLE), 6) AS ic FROM sub_bases b JOIN denominators d ON b.base = d.base GROUP BY ALL",
     "terms_of": "SELECT doc_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM parsed_terms GROUP BY doc_id",
+    "noun_chunks": "SELECT c.doc_id, x.s AS start, y.e AS \"end\", CAST(c.z - c.a + 1 AS BIGINT) AS n FROM chunk_spans c JOIN terms x ON x.doc_id = c.doc_id AND x.term_ord = c.a JOIN terms y ON y.doc_id = c.doc_id AND y.term_ord = c.z",
+    "terms_with_chunks": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS term_ord, s AS start, e AS \"end\" FROM own_spans",
+    "tpi_with_chunks": "SELECT a.anon_name, round(avg((t.n - coalesce(h.n, 0)) / t.n::DOUBLE), 6) AS tpi FROM anon_docs a LEFT JOIN (SELECT doc_id, count(*) AS n FROM own_spans GROUP BY doc_id) t ON t.doc_id = a.doc_id LEFT JOIN (SELECT anon_name, doc_id, count(*) AS n FROM own_hits GROUP BY ALL) h ON h.anon_name = a.anon_name AND h.doc_id = a.doc_id GROUP BY a.anon_name",
+    "tagger_paths": "SELECT doc_id, sent_id, n AS n_tokens, md5(list_max(list_transform(range(5), lambda i: {'s': best[i + 1].s, 'i': -i, 'p': best[i + 1].p})).p) AS path_md5 FROM walked",
     "terms_in_sentences": "SELECT t.doc_id, n.sent_id, count(*) AS n FROM terms t JOIN sentence_spans n ON t.doc_id = n.doc_id AND n.s <= t.s AND t.e <= n.e GROUP BY ALL",
     "entity_replacement": "SELECT d.doc_id, md5(coalesce(t, '')) AS md5, length(coalesce(t, '')) AS n_chars FROM docs d LEFT JOIN typed USING (doc_id)",
     "attack_texts": "SELECT source, x.doc_id, coalesce(l.label, -1) AS label, md5(t) AS md5 FROM (SELECT '__background__' AS source, b.doc_id, t FROM background b JOIN typed ON typed.doc_id = CAST(CAST(b.doc_id AS BIGINT) % 1000000 AS VARCHAR) "

@@ -13,7 +13,8 @@ from ..operators import intervals as I
 from ..operators import masked_lm as L
 from ..operators import measures as M
 from ..operators import reidentification as R
-from .fixtures import ANONYMIZATIONS, Fixture, PieceModel
+from ..operators import tagger as G
+from .fixtures import ANONYMIZATIONS, Fixture, LetterTagger, PieceModel
 
 
 def _longs(df: DataFrame) -> DataFrame:
@@ -167,6 +168,38 @@ def terms_of(x: Fixture):
     return M.terms_of(tokens).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
 
 
+def noun_chunks(x: Fixture):
+    """The parser's own chunks, as spans."""
+    found = parser.tokens(x.documents).where("chunk_id IS NOT NULL")
+    return found.groupBy("doc_id", "chunk_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("chunk_id")
+
+
+def terms_with_chunks(x: Fixture):
+    """Terms as TPI and TPS take them by default."""
+    return M.terms_of(parser.tokens(x.documents))
+
+
+def tpi_with_chunks(x: Fixture):
+    found = M.terms_of(parser.tokens(x.documents)).withColumn("ic", F.lit(1.0))
+    return M.mean_by_anonymization(M.preserved_information(found, x.maskings, x.anon_docs, x.documents), "tpi")
+
+
+def tagger_paths(x: Fixture):
+    """The best path of each sentence under fixed weights, as numbers of tags."""
+    number = F.create_map(*(F.lit(v) for i, t in enumerate(LetterTagger.tags) for v in (t, str(i))))
+    sentences = x.documents.select("doc_id", F.posexplode(G.analyse(x.spark, classes=LetterTagger())("text")).alias("sent_id", "s"))
+    return sentences.select("doc_id", "sent_id", F.size("s").alias("n_tokens"), F.md5(F.array_join(F.transform("s.pos", lambda p: F.element_at(number, p)), "")).alias("path_md5"))
+
+
+def tagged_entities(x: Fixture):
+    """Entities found by a tagger that is learned from those which patterns find in four documents of five."""
+    gold = x.documents.select("doc_id", F.inline(parser.entity_spans("text"))).select("doc_id", "start", "end", F.col("label").alias("entity_type"))
+    tags = G.outside_tags(sorted(["CARD", "EMAIL", "IP", "PERSON", "QUANTITY"]))
+    learned = G.learn(G.labelled_sentences(x.documents.where(F.crc32(F.col("doc_id").cast("binary")) % 5 != 0), gold, tags), tags)
+    found = x.documents.select("doc_id", F.explode(F.flatten(G.analyse(x.spark, learned)("text"))).alias("t")).where("t.ent_id IS NOT NULL")
+    return found.groupBy("doc_id", F.col("t.ent_id").alias("start")).agg(F.max("t.end").alias("end"), F.first("t.ent_label").alias("entity_type"))
+
+
 def terms_in_sentences(x: Fixture):
     found = M.terms_in_sentences(M.terms(x.documents), M.sentence_spans(x.documents))
     return found.groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"))
@@ -315,7 +348,7 @@ def trir_end_to_end(x: Fixture):
 OPERATORS = [
     word_tokens, mask_islands, mask_islands_parity, masked_offsets_len, apply_masking, remove_mask_marks, gold_entities, entities_to_mask, annotators_per_doc,
     covering_annotators, mention_masked, entity_masked, precision_token, precision_mention, precision_ic, recall_token, recall_mention, recall_direct_only,
-    recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, subwords_of_terms, masked_segments, masked_lm_ic, terms_of, terms_in_sentences, individuals_report, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
+    recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, subwords_of_terms, masked_segments, masked_lm_ic, terms_of, noun_chunks, terms_with_chunks, tpi_with_chunks, tagger_paths, tagged_entities, terms_in_sentences, individuals_report, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
     cosine_similarity, tps, nmi_contingency, nearest_centroid_labels, silhouette, missing_docs, extra_docs, gold_ratio, validation_violations, bk_full_outer, individual_labels,
     reid_max_risk, curation, entity_replacement, attack_texts, sentence_split, sliding_windows, logit_sum_accuracy, results_long, results_pivot, kmeans_k_search, trir_end_to_end,
 ]
