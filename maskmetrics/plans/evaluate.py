@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import parser as parsing
 from ..functions import text as T
 from ..operators import clustering, measures as M, reidentification as R
+from ..operators.backoff import BackoffModel
 from ..operators.masked_lm import MaskedLM
 from ..operators import entities as E
 from ..sources import json_files as J
@@ -30,7 +31,7 @@ class Evaluation:
     sees the whole text, or the sentence if terms alternate by sentence), or, for TPI and TPS alone, a function of documents
     and terms (doc_id, term_ord, start, end, round; sent_id too if terms alternate by sentence) that gives (doc_id, term_ord,
     ic). embeddings: a name's function from a text column to a vector column. "corpus" is the corpus' own word frequencies,
-    "bag" the bag of words. parser: patterns and lists, or a tagger.LearnedParser.
+    "backoff" a masked model learned from its words and their neighbours on both sides, "bag" the bag of words. parser: patterns and lists, or a tagger.LearnedParser.
     """
 
     def __init__(self, documents: DataFrame, mentions: DataFrame | None = None, information: dict[str, Information] | None = None, embeddings: dict[str, Callable[[Column], Column]] | None = None, parser: parsing.Parser = parsing.PATTERNS):
@@ -57,10 +58,15 @@ class Evaluation:
         """One table of weights for all measures that want one."""
         return M.token_information(self.words).cache()
 
+    @cached_property
+    def backoff(self) -> BackoffModel:
+        """A masked model of the corpus' own; its counts are kept on disk while the session lasts."""
+        return BackoffModel.learn(self.documents)
+
     def _weights(self, name: str | None, max_segment_length: int) -> Information | None:
         if name is None:
             return None
-        known = {"corpus": lambda: self.information, **{n: lambda p=p: p for n, p in self._information.items()}}
+        known = {"corpus": lambda: self.information, "backoff": lambda: self.backoff.weigh, **{n: lambda p=p: p for n, p in self._information.items()}}
         if name not in known:
             raise ValueError(f"no information model {name!r}; there are {sorted(known)}")
         found = known[name]()

@@ -113,6 +113,21 @@ _PARTS = {
     "mark_breaks": r"SELECT *, CASE WHEN run = chr(10) OR (regexp_matches(run, '^[.!?]') AND (next IS NULL OR regexp_matches(next, '^\s'))) THEN 1 ELSE 0 END AS ends FROM mark_places",
     "mark_groups": "SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM mark_breaks",
     "sentence_spans": r"SELECT doc_id, min(s) AS s, max(s + length(run)) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS sent_id FROM mark_groups WHERE run <> chr(10) GROUP BY doc_id, g HAVING NOT regexp_full_match(string_agg(run, '' ORDER BY pos), '[.!?]')",
+    # every second term is masked; two words on either side, as far as seen
+    "low": "SELECT doc_id, term_ord AS pos, lower(run) AS w, lag(lower(run), 1, chr(10)) OVER o AS l1, lag(lower(run), 2, chr(10)) OVER o AS l2, lead(lower(run), 1, chr(10)) OVER o AS r1, lead(lower(run), 2, chr(10)) OVER o AS r2, s, e FROM terms WINDOW o AS (PARTITION BY doc_id ORDER BY term_ord)",
+    "c0": "SELECT w, count(*) AS c FROM low GROUP BY ALL",
+    "p0": "SELECT w, (c + 1)::DOUBLE / ((SELECT sum(c) + count(*) + 1 FROM c0)) AS p FROM c0",
+    **{
+        f"{x}1": f"SELECT g.h || ' ' || g.w AS g, (g.c + t * p)::DOUBLE / (n + t) AS p FROM (SELECT {a} AS h, w, count(*) AS c FROM low GROUP BY ALL) g JOIN (SELECT {a} AS h, count(*) AS n, count(DISTINCT w) AS t FROM low GROUP BY ALL) x ON x.h = g.h JOIN p0 ON p0.w = g.w"
+        for x, a in (("pl", "l1"), ("pr", "r1"))
+    },
+    **{
+        f"{x}2": f"SELECT g.k || ' ' || g.h || ' ' || g.w AS g, (g.c + t * p)::DOUBLE / (n + t) AS p FROM (SELECT {a}1 AS h, {a}2 AS k, w, {a}2 || ' ' || {a}1 AS kh, {a}1 || ' ' || w AS hw, count(*) AS c FROM low GROUP BY ALL) g JOIN (SELECT {a}2 || ' ' || {a}1 AS kh, count(*) AS n, count(DISTINCT w) AS t FROM low GROUP BY ALL) y ON y.kh = g.kh JOIN {x}1 b ON b.g = g.hw"
+        for x, a in (("pl", "l"), ("pr", "r"))
+    },
+    "own_ranked": "SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS term_ord FROM own_spans",
+    "covered_low": "SELECT l.*, o.term_ord, o.term_ord % 2 AS rnd FROM low l ASOF JOIN own_ranked o ON l.doc_id = o.doc_id AND l.s >= o.s",
+    "seen": "SELECT *, CASE WHEN lag(rnd, 1) OVER o = rnd THEN 0 WHEN lag(rnd, 2) OVER o = rnd THEN 1 ELSE 2 END AS ol, CASE WHEN lead(rnd, 1) OVER o = rnd THEN 0 WHEN lead(rnd, 2) OVER o = rnd THEN 1 ELSE 2 END AS o_r FROM covered_low WINDOW o AS (PARTITION BY doc_id ORDER BY pos)",
     # tokens of no sentence go with the one before
     "sentence_tokens": "SELECT t.doc_id, t.term_ord, t.run, dense_rank() OVER (PARTITION BY t.doc_id ORDER BY coalesce(n.sent_id, -1)) - 1 AS sent_id FROM terms t ASOF LEFT JOIN sentence_spans n ON t.doc_id = n.doc_id AND t.s >= n.s",
     "emitted": "SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY term_ord) = 1 AS begins, list_transform(range(5), lambda k: (ord(run) * 7919 + length(run) * 104729 + (k + 1) * 1299709) * (ord(run) + k + 3) % 16777213) AS w FROM sentence_tokens",
@@ -205,6 +220,8 @@ _SQL = {
     "terms_with_chunks": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS term_ord, s AS start, e AS \"end\" FROM own_spans",
     "tpi_with_chunks": "SELECT a.anon_name, round(avg((t.n - coalesce(h.n, 0)) / t.n::DOUBLE), 6) AS tpi FROM anon_docs a LEFT JOIN (SELECT doc_id, count(*) AS n FROM own_spans GROUP BY doc_id) t ON t.doc_id = a.doc_id LEFT JOIN (SELECT anon_name, doc_id, count(*) AS n FROM own_hits GROUP BY ALL) h ON h.anon_name = a.anon_name AND h.doc_id = a.doc_id GROUP BY a.anon_name",
     "tagger_paths": "SELECT doc_id, sent_id, n AS n_tokens, md5(list_max(list_transform(range(5), lambda i: {'s': best[i + 1].s, 'i': -i, 'p': best[i + 1].p})).p) AS path_md5 FROM walked",
+    "backoff_ic": "SELECT t.doc_id, t.term_ord, round(-ln(min((CASE ol WHEN 0 THEN p0.p WHEN 1 THEN a.p ELSE b.p END + CASE o_r WHEN 0 THEN p0.p WHEN 1 THEN c.p ELSE d.p END) / 2)), 6) AS ic FROM seen t JOIN p0 ON p0.w = t.w JOIN pl1 a ON a.g = l1 || ' ' || t.w JOIN pl2 b ON b.g = l2 || ' ' || l1 || ' ' || t.w "
+    "JOIN pr1 c ON c.g = r1 || ' ' || t.w JOIN pr2 d ON d.g = r2 || ' ' || r1 || ' ' || t.w GROUP BY t.doc_id, t.term_ord",
     "terms_in_sentences": "SELECT t.doc_id, n.sent_id, count(*) AS n FROM terms t JOIN sentence_spans n ON t.doc_id = n.doc_id AND n.s <= t.s AND t.e <= n.e GROUP BY ALL",
     "entity_replacement": "SELECT d.doc_id, md5(coalesce(t, '')) AS md5, length(coalesce(t, '')) AS n_chars FROM docs d LEFT JOIN typed USING (doc_id)",
     "attack_texts": "SELECT source, x.doc_id, coalesce(l.label, -1) AS label, md5(t) AS md5 FROM (SELECT '__background__' AS source, b.doc_id, t FROM background b JOIN typed ON typed.doc_id = CAST(CAST(b.doc_id AS BIGINT) % 1000000 AS VARCHAR) "

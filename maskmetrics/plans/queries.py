@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parser
 from ..functions import text as T
+from ..operators import backoff as B
 from ..operators import clustering as C
 from ..operators import entities as E
 from ..operators import intervals as I
@@ -200,6 +201,12 @@ def tagged_entities(x: Fixture):
     return found.groupBy("doc_id", F.col("t.ent_id").alias("start")).agg(F.max("t.end").alias("end"), F.first("t.ent_label").alias("entity_type"))
 
 
+def backoff_ic(x: Fixture):
+    """Information by the corpus' own masked model, of terms with the parser's chunks, every second one masked at a time."""
+    found = M.rounds(M.terms_of(parser.tokens(x.documents)), 2)
+    return B.BackoffModel.learn(x.documents).weigh(x.documents, found)
+
+
 def terms_in_sentences(x: Fixture):
     found = M.terms_in_sentences(M.terms(x.documents), M.sentence_spans(x.documents))
     return found.groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"))
@@ -348,7 +355,7 @@ def trir_end_to_end(x: Fixture):
 OPERATORS = [
     word_tokens, mask_islands, mask_islands_parity, masked_offsets_len, apply_masking, remove_mask_marks, gold_entities, entities_to_mask, annotators_per_doc,
     covering_annotators, mention_masked, entity_masked, precision_token, precision_mention, precision_ic, recall_token, recall_mention, recall_direct_only,
-    recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, subwords_of_terms, masked_segments, masked_lm_ic, terms_of, noun_chunks, terms_with_chunks, tpi_with_chunks, tagger_paths, tagged_entities, terms_in_sentences, individuals_report, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
+    recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, subwords_of_terms, masked_segments, masked_lm_ic, terms_of, noun_chunks, terms_with_chunks, tpi_with_chunks, tagger_paths, tagged_entities, backoff_ic, terms_in_sentences, individuals_report, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
     cosine_similarity, tps, nmi_contingency, nearest_centroid_labels, silhouette, missing_docs, extra_docs, gold_ratio, validation_violations, bk_full_outer, individual_labels,
     reid_max_risk, curation, entity_replacement, attack_texts, sentence_split, sliding_windows, logit_sum_accuracy, results_long, results_pivot, kmeans_k_search, trir_end_to_end,
 ]
