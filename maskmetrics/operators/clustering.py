@@ -160,6 +160,62 @@ def silhouette(vectors: DataFrame) -> float:
     return ClusteringEvaluator(distanceMeasure="cosine", featuresCol="features", predictionCol="label").evaluate(vectors)
 
 
+def silhouettes(points: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, list[float | None]]:
+    """{k: the mean silhouette by cosine distance of each run} of points (v), none of length 0; None where they have fewer than two clusters.
+
+    centres: {k: (runs, k, dimensions)}. One pass sums up the points' directions by cluster, one the silhouettes that follow from
+    these sums, for all runs of all k together.
+    """
+    spark = points.sparkSession
+
+    def gathered(function) -> dict[int, np.ndarray]:
+        """function(x, label) of slices of the points, summed up for each k."""
+
+        def run(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                v = _rows(batch.column(0))
+                for k, c in held.value.items():
+                    step = max(1, (1 << 21) // (c.shape[0] * k))
+                    for a in range(0, len(v), step):
+                        x = v[a : a + step]
+                        found = function(x / np.sqrt((x * x).sum(1, keepdims=True)), _assigned(x, c)[0], k)
+                        sums[k] = sums[k] + found if k in sums else found
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "sums"])
+
+        def added(table: pa.Table) -> pa.Table:
+            return pa.table({"k": table["k"][:1], "sums": pa.array([np.sum([np.frombuffer(x.as_buffer()) for x in table["sums"]], 0).tobytes()], pa.binary())})
+
+        kinds = "k int, sums binary"
+        found = points.select("v").mapInArrow(run, kinds).groupBy("k").applyInArrow(added, kinds).collect()
+        return {r["k"]: np.frombuffer(bytes(r["sums"])) for r in found}
+
+    def directions(u: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
+        runs = label.shape[1]
+        cell = (label + np.arange(runs) * k).ravel()
+        return np.concatenate([np.bincount(cell, minlength=runs * k), *(np.bincount(cell, np.repeat(u[:, j], runs), runs * k) for j in range(u.shape[1]))])
+
+    held = spark.sparkContext.broadcast(centres)
+    sums = {k: x.reshape(-1, centres[k].shape[0], k) for k, x in gathered(directions).items()}  # counts, then a sum for each dimension
+
+    def each(u: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
+        n, total = sums[k][0], sums[k][1:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            away = 1 - np.einsum("ij,jrk->irk", u, total) / n  # a cluster without points is infinitely far
+        away = np.where(n > 0, away, np.inf)
+        own = np.take_along_axis(away, label[:, :, None], 2)[:, :, 0]
+        np.put_along_axis(away, label[:, :, None], np.inf, 2)
+        other, size = away.min(2), np.take_along_axis(np.broadcast_to(n, (len(u), *n.shape)), label[:, :, None], 2)[:, :, 0]
+        mine = own * size / np.maximum(size - 1, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = np.where(mine < other, 1 - mine / other, np.where(mine > other, other / mine - 1, 0.0))
+        return np.where(size > 1, s, 0.0).sum(0)
+
+    means = gathered(each)
+    held.unpersist()
+    return {k: [float(s / n.sum()) if (n > 0).sum() > 1 else None for s, n in zip(means[k], sums[k][0])] for k in means}
+
+
 def agreement(embedded: DataFrame, original: str = "original", min_k: int = 2, max_k: int = 32, k_multiplier: float = 2, n_clusterings: int = 5, n_tries: int = 50, seed: int = 1) -> tuple[dict[str, float], int, list[float]]:
     """({anonymization: mean nmi}, k, silhouettes), at the k (growing geometrically) of the best mean silhouette of the original.
 
@@ -188,18 +244,12 @@ def agreement(embedded: DataFrame, original: str = "original", min_k: int = 2, m
     true = clustered({original: of[original]}, seed)
     own = embedded.where(F.col("anon_name") == original)
     best: tuple[float, int, list] | None = None
-    for k in ks:
-        labels = labelled(own, {original: true[original, k]}).join(own.select("doc_id", "features"), "doc_id").cache()
-        silhouettes = []
-        for c in range(n_clusterings):
-            one = labels.select("features", F.col("labels")[c].alias("label"))
-            if one.select("label").distinct().count() < 2:
-                logging.warning("k = %d: fewer than two clusters", k)
-                continue
-            silhouettes.append(silhouette(one))
-        labels.unpersist()
-        if silhouettes and (best is None or sum(silhouettes) / len(silhouettes) > best[0]):
-            best = sum(silhouettes) / len(silhouettes), k, silhouettes
+    for k, found in sorted(silhouettes(own, {k: true[original, k] for k in ks}).items()):
+        valid = [s for s in found if s is not None]
+        if len(valid) < len(found):
+            logging.warning("k = %d: %d clusterings have fewer than two clusters", k, len(found) - len(valid))
+        if valid and (best is None or sum(valid) / len(valid) > best[0]):
+            best = sum(valid) / len(valid), k, valid
     if best is None:
         raise ValueError("no number of clusters could be tried")
     k = best[1]

@@ -13,6 +13,7 @@ from ..functions import parser as parsing
 from ..functions import text as T
 from ..operators import clustering, measures as M, reidentification as R
 from ..operators.backoff import BackoffModel
+from ..operators.embeddings import TextVectors
 from ..operators.masked_lm import MaskedLM
 from ..operators import entities as E
 from ..sources import json_files as J
@@ -31,7 +32,8 @@ class Evaluation:
     sees the whole text, or the sentence if terms alternate by sentence), or, for TPI and TPS alone, a function of documents
     and terms (doc_id, term_ord, start, end, round; sent_id too if terms alternate by sentence) that gives (doc_id, term_ord,
     ic). embeddings: a name's function from a text column to a vector column. "corpus" is the corpus' own word frequencies,
-    "backoff" a masked model learned from its words and their neighbours on both sides, "bag" the bag of words. parser: patterns and lists, or a tagger.LearnedParser.
+    "backoff" a masked model learned from its words and their neighbours on both sides, "svd" vectors
+    by a decomposition of its TF-IDF matrix, "bag" the bag of words. parser: patterns and lists, or a tagger.LearnedParser.
     """
 
     def __init__(self, documents: DataFrame, mentions: DataFrame | None = None, information: dict[str, Information] | None = None, embeddings: dict[str, Callable[[Column], Column]] | None = None, parser: parsing.Parser = parsing.PATTERNS):
@@ -63,6 +65,11 @@ class Evaluation:
         """A masked model of the corpus' own; its counts are kept on disk while the session lasts."""
         return BackoffModel.learn(self.documents)
 
+    @cached_property
+    def text_vectors(self) -> TextVectors:
+        """Vectors of texts, learned from the corpus."""
+        return TextVectors.learn(self.documents)
+
     def _weights(self, name: str | None, max_segment_length: int) -> Information | None:
         if name is None:
             return None
@@ -73,10 +80,10 @@ class Evaluation:
         return found.limited(max_segment_length) if isinstance(found, MaskedLM) else found
 
     def _embedding(self, name: str | None) -> Callable[[Column], Column]:
-        known = {None: T.bag_of_words, "bag": T.bag_of_words, **self._embeddings}
+        known = {None: lambda: T.bag_of_words, "bag": lambda: T.bag_of_words, "svd": lambda: self.text_vectors.embedding(self.spark), **{n: lambda f=f: f for n, f in self._embeddings.items()}}
         if name not in known:
             raise ValueError(f"no embedding model {name!r}; there are {sorted(filter(None, known))}")
-        return known[name]
+        return known[name]()
 
     def precision(self, anon_docs, maskings, weighting_model_name: str | None = None, weighting_max_segment_length: int = 100, token_level: bool = True, verbose: bool = True) -> DataFrame:
         weights = self._weights(weighting_model_name, weighting_max_segment_length)

@@ -135,7 +135,14 @@ _PARTS = {
     "ELSE list_transform(w, lambda x: {'s': CAST(x AS BIGINT), 'p': ''}) END ORDER BY term_ord) AS x FROM emitted GROUP BY ALL",
     # of equal ones the smaller tag: the greatest of (score, -tag)
     "walked": f"SELECT doc_id, sent_id, n, list_reduce(x, lambda a, t: list_transform(range(5), lambda j: list_transform([list_max(list_transform(range(5), lambda i: {{'s': a[i + 1].s + ({_LEADS})[i + 1][j + 1], 'i': -i, 'p': a[i + 1].p}}))], lambda b: {{'s': b.s + t[j + 1].s, 'p': b.p || j}})[1])) AS best FROM steps",
+    "centre_ids": "SELECT k, r, j, j * 7 + r * 3 AS id FROM (SELECT unnest([2, 4, 8]) AS k), range(2) a(r), range(8) b(j) WHERE j < k",
+    "centre_away": "SELECT c.k, c.r, c.j, v.vec_id, list_distance(v.embedding::DOUBLE[], m.embedding::DOUBLE[]) AS away FROM centre_ids c JOIN embeddings m ON m.vec_id = c.id, embeddings v",
+    "centre_labels": "SELECT k, r, vec_id, arg_min(j, (away, j)) AS b FROM centre_away GROUP BY ALL",
     "units": "SELECT vec_id, label, d, c / sqrt(sum(c * c) OVER (PARTITION BY vec_id)) AS c FROM components",
+    "lab_units": "SELECT l.k, l.r, l.b, u.vec_id, u.d, u.c FROM centre_labels l JOIN units u ON u.vec_id = l.vec_id",
+    "lab_sums": "SELECT k, r, b, d, sum(c) AS c, count(*) AS n FROM lab_units GROUP BY ALL",
+    "lab_dots": "SELECT u.k, u.r, u.vec_id, u.b AS own, x.b, any_value(x.n) AS n, 1 - sum(u.c * x.c) / any_value(x.n) AS away FROM lab_units u JOIN lab_sums x ON x.k = u.k AND x.r = u.r AND x.d = u.d GROUP BY ALL",
+    "lab_each": "SELECT k, r, vec_id, max(CASE WHEN b = own THEN n END) AS size, max(CASE WHEN b = own AND n > 1 THEN away * n / (n - 1) END) AS mine, min(CASE WHEN b <> own THEN away END) AS other FROM lab_dots GROUP BY ALL",
     "unit_sums": "SELECT label AS b, d, sum(c) AS c FROM units GROUP BY ALL",
     "unit_sizes": "SELECT label AS b, count(DISTINCT vec_id) AS n FROM units GROUP BY ALL",
     "unit_dots": "SELECT u.vec_id, u.label, x.b, sum(u.c * x.c) AS dot FROM units u JOIN unit_sums x ON u.d = x.d GROUP BY ALL",
@@ -241,6 +248,7 @@ _SQL = {
     ") GROUP BY ALL) l ON l.anon_name = a.anon_name AND l.doc_id = a.doc_id GROUP BY a.anon_name",
     "nmi_contingency": f"SELECT round((SELECT sum(c.n / t * ln(c.n * t / (x.n * y.n))) FROM cells c JOIN (SELECT a, sum(n) AS n FROM cells GROUP BY a) x ON c.a = x.a JOIN (SELECT b, sum(n) AS n FROM cells GROUP BY b) y ON c.b = y.b, (SELECT sum(n) AS t FROM cells)) / (({_ENTROPY.format('a')} + {_ENTROPY.format('b')}) / 2), 6) AS nmi",
     "nearest_centroid_labels": "SELECT vec_id, CAST(b AS BIGINT) AS label FROM nearest",
+    "silhouettes_of_centres": "SELECT CAST(k AS BIGINT) AS k, CAST(r AS BIGINT) AS run, round(avg(CASE WHEN size = 1 THEN 0 WHEN mine < other THEN 1 - mine / other WHEN mine > other THEN other / mine - 1 ELSE 0 END), 6) AS silhouette FROM lab_each GROUP BY ALL",
     "missing_docs": "SELECT anon_name, doc_id FROM anon_docs WHERE CAST(doc_id AS BIGINT) % 7 = anon_ord",
     "extra_docs": "SELECT 'BK' AS anon_name, doc_id FROM background WHERE doc_id NOT IN (SELECT doc_id FROM docs)",
     "gold_ratio": "SELECT round((SELECT count(DISTINCT doc_id) FROM mentions WHERE annotator = 'a2') / (SELECT count(*) FROM docs)::DOUBLE, 6) AS ratio",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from ..functions import parser
 from ..functions import text as T
 from ..operators import backoff as B
 from ..operators import clustering as C
+from ..operators import embeddings as V
 from ..operators import entities as E
 from ..operators import intervals as I
 from ..operators import masked_lm as L
@@ -267,6 +269,21 @@ def silhouette(x: Fixture):
     return x.spark.createDataFrame([(C.silhouette(points),)], "silhouette double")
 
 
+def silhouettes_of_centres(x: Fixture):
+    """The search's silhouettes, of two runs for each of three numbers of clusters, from some of the vectors as centres."""
+    v = _vectors(x).select("id", F.transform("v", lambda c: c.cast("double")).alias("v"))
+    chosen = {(k, r): [j * 7 + r * 3 for j in range(k)] for k in (2, 4, 8) for r in (0, 1)}
+    by_id = {r["id"]: r["v"] for r in v.where(F.col("id").isin(sorted({i for ids in chosen.values() for i in ids}))).collect()}  # 16 vectors
+    found = C.silhouettes(v, {k: np.array([[by_id[i] for i in chosen[k, r]] for r in (0, 1)]) for k in (2, 4, 8)})
+    return x.spark.createDataFrame([(k, r, s) for k, runs in found.items() for r, s in enumerate(runs)], "k int, run int, silhouette double")
+
+
+def tps_svd(x: Fixture):
+    """TPS with vectors learned from the corpus."""
+    embed = V.TextVectors.learn(x.documents).embedding(x.spark)
+    return M.mean_by_anonymization(M.preserved_similarity(M.terms(x.documents).withColumn("ic", F.lit(1.0)), x.maskings, x.anon_docs, x.documents, embed), "tps")
+
+
 def missing_docs(x: Fixture):
     return M.missing_documents(x.documents, x.anon_docs.where("doc_id % 7 <> anon_ord"))
 
@@ -356,7 +373,7 @@ OPERATORS = [
     word_tokens, mask_islands, mask_islands_parity, masked_offsets_len, apply_masking, remove_mask_marks, gold_entities, entities_to_mask, annotators_per_doc,
     covering_annotators, mention_masked, entity_masked, precision_token, precision_mention, precision_ic, recall_token, recall_mention, recall_direct_only,
     recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, subwords_of_terms, masked_segments, masked_lm_ic, terms_of, noun_chunks, terms_with_chunks, tpi_with_chunks, tagger_paths, tagged_entities, backoff_ic, terms_in_sentences, individuals_report, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
-    cosine_similarity, tps, nmi_contingency, nearest_centroid_labels, silhouette, missing_docs, extra_docs, gold_ratio, validation_violations, bk_full_outer, individual_labels,
+    cosine_similarity, tps, nmi_contingency, nearest_centroid_labels, silhouette, silhouettes_of_centres, tps_svd, missing_docs, extra_docs, gold_ratio, validation_violations, bk_full_outer, individual_labels,
     reid_max_risk, curation, entity_replacement, attack_texts, sentence_split, sliding_windows, logit_sum_accuracy, results_long, results_pivot, kmeans_k_search, trir_end_to_end,
 ]
 

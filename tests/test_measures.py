@@ -222,3 +222,26 @@ def test_individual_labels(spark):
     want = [None, *sorted({n for n in names if n is not None})]
     assert {r["doc_id"]: r["label"] for r in found} == {n: i for i, n in enumerate(want)} and len(found) == len(want)
     assert R.individual_labels(spark.createDataFrame([], "doc_id string")).count() == 0
+
+
+def test_silhouettes_equal_sparks_own(spark):
+    import numpy as np
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) + 3 * np.eye(4)[i % 4]).tolist()) for i in range(200)]
+    points = spark.createDataFrame(rows, "doc_id int, v array<double>").repartition(3)
+    centres = {k: np.array([[rows[(7 * j + r) % 200][1] for j in range(k)] for r in range(3)]) for k in (2, 3, 9)}
+    centres[3][1] = centres[3][1][:1]  # all in one cluster: no silhouette
+    centres[2][0] = [[0, 0, 0, 0], [0, 0, 0, 99]]  # and one without points
+    found = clustering.silhouettes(points, centres)
+    for k, runs in centres.items():
+        labels = clustering.labelled(points.selectExpr("'a' AS anon_name", "doc_id", "v"), {"a": runs}).join(points, "doc_id")
+        for r, s in enumerate(found[k]):
+            one = labels.select(array_to_vector("v").alias("features"), F.col("labels")[r].cast("double").alias("label"))
+            if one.select("label").distinct().count() < 2:
+                assert s is None
+            else:
+                assert abs(s - ClusteringEvaluator(distanceMeasure="cosine", featuresCol="features", predictionCol="label").evaluate(one)) < 1e-9
+    assert found[3][1] is None and found[2][0] is None and None not in found[9]
