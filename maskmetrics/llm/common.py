@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 _written: list[str] = []
@@ -67,10 +68,19 @@ def materialised(df: DataFrame, name: str, paths: list[str] | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def bytes_of(setting: str) -> int:
+    """A size as Spark's settings have it, such as 64m; -1, no limit, stays."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", setting.lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
 def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
     """Has this session hand Python at most that many bytes in an Arrow batch, so that long texts don't come by the thousand."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.match(r"-?\d+", spark.conf.get(name))[0]) not in range(1, most + 1):
+    if bytes_of(spark.conf.get(name)) not in range(1, most + 1):
         spark.conf.set(name, str(most))
 
 
@@ -108,6 +118,24 @@ def per_batch(function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) ->
     return run
 
 
+def with_arrays(docs: DataFrame, keep: list[str], read: list[str], added: list[StructField], function: Callable[..., list[pa.Array]]) -> DataFrame:
+    """docs' columns `keep`, and those `added` that function makes of the columns `read`, from Arrow batch to Arrow batch.
+
+    Columns go by position on the way, so names may have any characters, nested ones too.
+    """
+    names = [*keep, *(c for c in read if c not in keep)]
+    own = docs.select(*(column(c).alias(f"c{i}") for i, c in enumerate(names)))
+    kept = [f"c{i}" for i in range(len(keep))]
+    schema = StructType([*own.schema.fields[: len(keep)], *(StructField(f"a{i}", f.dataType, f.nullable) for i, f in enumerate(added))])
+    at = [names.index(c) for c in read]
+
+    def run(batch: pa.RecordBatch):
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *function(*(batch.column(i) for i in at))], names=schema.names)
+
+    out = own.mapInArrow(per_batch(run), schema)
+    return out.select(*(F.col(c).alias(name) for c, name in zip(kept, keep)), *(F.col(f"a{i}").alias(f.name) for i, f in enumerate(added)))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -138,7 +166,8 @@ def split_by(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column
     bucket = lambda k: F.pmod(F.xxhash64(k), F.lit(buckets)).cast("int")
     held = F.broadcast(wanted.select(bucket(wanted_key).alias(name)).distinct())
     own = rows.withColumn(name, bucket(key))
-    return own.join(held, name, "left_semi").select(*rows.columns), own.join(held, name, "left_anti").select(*rows.columns)
+    names = [column(c) for c in rows.columns]
+    return own.join(held, name, "left_semi").select(*names), own.join(held, name, "left_anti").select(*names)
 
 
 def crc_remainder(column: str, modulus: int):

@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import words as W
-from .common import materialised, per_batch, small_batches, unused
+from .common import column, materialised, small_batches, unused, with_arrays
 
 WINDOW = 10
 MAX_ITEM_WORDS = 400_000
@@ -239,30 +240,28 @@ def united(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
 
 _SPAN = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 _FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
-_FOUND_SQL = "struct<n_words bigint, spans array<struct<first_word bigint, end_word bigint, start bigint, end bigint>>, items array<string>>"
-
-
-def _schema(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+_SPAN_TYPE = StructType([StructField(f.name, LongType()) for f in _SPAN])
+_FOUND_TYPE = StructType().add("n_words", LongType()).add("spans", ArrayType(_SPAN_TYPE)).add("items", ArrayType(StringType()))
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS, text: str = "text", found: str = "_found") -> DataFrame:
     """docs with a column `found`: n_words; spans of hit words, as words and as UTF-8 bytes of the text; the items that occur."""
-    spark, out, names, held = docs.sparkSession, docs, docs.columns, None
+    spark, out, held = docs.sparkSession, docs, None
     small_batches(spark)
+    names = [c for c in docs.columns if c != found]
 
     def scanned(out: DataFrame, held, again: bool) -> DataFrame:
-        def run(batch: pa.RecordBatch):
-            before = batch.column(batch.schema.get_field_index(found)).to_pylist() if again else None
+        def run(texts: pa.Array, *before: pa.Array) -> list[pa.Array]:
+            before = before[0].to_pylist() if before else None
             rows = []
-            for i, (n, spans, items) in enumerate(scan(batch.column(batch.schema.get_field_index(text)), held.value)):
+            for i, (n, spans, items) in enumerate(scan(texts, held.value)):
                 if before:
                     spans = united(spans + [tuple(x.values()) for x in before[i]["spans"]])
                     items |= set(before[i]["items"])
                 rows.append({"n_words": n, "spans": [dict(zip(("first_word", "end_word", "start", "end"), x)) for x in spans], "items": sorted(items)})
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(rows, _FOUND)], names=[*names, found])
+            return [pa.array(rows, _FOUND)]
 
-        return out.mapInArrow(per_batch(run), f"{_schema(docs)}, `{found}` {_FOUND_SQL}")
+        return with_arrays(out, names, [text, found] if again else [text], [StructField(found, _FOUND_TYPE)], run)
 
     for rows in parts(benchmark, max_item_words):
         automaton = build(rows, window)
@@ -316,4 +315,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, text
     columns = {text: F.col(cut_text)}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.size(f"{name}.spans") > 0, F.length(cut_text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.select([columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return kept.select([columns.get(c, column(c)).alias(c) for c in docs.columns])

@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
 from . import words as W
-from .common import materialised, per_batch, small_batches
+from .common import materialised, per_batch, small_batches, with_arrays
 
 BUCKETS = 1 << 14
 MAX_PER_LANGUAGE = 1000
@@ -220,19 +221,17 @@ def predicted(docs: DataFrame, model: LanguageModel, text: str = "text", languag
     """docs with the most likely language of `text` and its calibrated probability."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in (language, score)]
-
-    def run(batch: pa.RecordBatch):
+    def run(texts: pa.Array) -> list[pa.Array]:
         m = held.value
-        found, p = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-        for lo, hi, count, letters in counts(batch.column(batch.schema.get_field_index(text))) if m.languages else ():
+        found, p = np.full(len(texts), -1), np.zeros(len(texts))
+        for lo, hi, count, letters in counts(texts) if m.languages else ():
             s = (features(count, m.idf) @ m.weights + m.bias) / m.temperature
             e = np.exp(s - s.max(1, keepdims=True))
             best = e.argmax(1)
             found[lo:hi] = np.where(letters, best, -1)
             p[lo:hi] = np.where(letters, e[np.arange(hi - lo), best] / e.sum(1), 0.0)
         known = [*m.languages, UNDETERMINED]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array([known[i] for i in found.tolist()]), pa.array(p)], names=[*names, language, score])
+        return [pa.array([known[i] for i in found.tolist()]), pa.array(p)]
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), f"`{language}` string", f"`{score}` double"])
-    return docs.mapInArrow(per_batch(run), schema)
+    added = [StructField(language, StringType()), StructField(score, DoubleType())]
+    return with_arrays(docs, [c for c in docs.columns if c not in (language, score)], [text], added, run)

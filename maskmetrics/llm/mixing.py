@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, partitions, unused
+from .common import column, materialised, partitions, unused
 
 EXPONENT = 0.5
 SEED = 17
@@ -82,5 +82,5 @@ def replicate(docs: DataFrame, weights: dict | None = None, exponent: float = EX
     rows = rows.withColumn(times, draw).where(F.col(times) > 0)
     copies = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col(name), F.col(copy).cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    copies = copies.withColumn(order, hashed).select(*(c for c in docs.columns if c not in (copy, order)), copy, order)
+    copies = copies.withColumn(order, hashed).select(*(column(c) for c in docs.columns if c not in (copy, order)), copy, order)
     return copies.repartition(partitions(spark), order).sortWithinPartitions(order)

@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from . import words as W
-from .common import drop_path, new_path, per_batch, small_batches, unused
+from .common import drop_path, new_path, per_batch, small_batches, unused, with_arrays
 
 MAX_PER_LABEL = 4000
 MAX_VOCABULARY = 20_000
@@ -229,25 +230,23 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", sentences_
     """docs with `score`, the probability of being toxic; with sentences_over also `located`: (start, end, p) of the sentences of at least that p, in bytes."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
-    added = [score] if sentences_over is None else [score, located]
-    names = [c for c in docs.columns if c not in added]
+    added = [StructField(score, DoubleType())]
+    if sentences_over is not None:
+        place = StructType().add("start", LongType()).add("end", LongType()).add("p", DoubleType())
+        added.append(StructField(located, ArrayType(place)))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
-    def run(batch: pa.RecordBatch):
-        out, where = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)] if sentences_over is not None else None
-        for lo, hi, p, row, spans, z in score_batch(batch.column(batch.schema.get_field_index(text)), held.value):
+    def run(texts: pa.Array) -> list[pa.Array]:
+        out, where = np.zeros(len(texts)), [[] for _ in range(len(texts))] if sentences_over is not None else None
+        for lo, hi, p, row, spans, z in score_batch(texts, held.value):
             out[lo:hi] = p
             if where is not None:
                 each = 1 / (1 + np.exp(-z))
                 for i in np.flatnonzero(each >= sentences_over).tolist():
                     where[lo + int(row[i])].append({"start": int(spans[i, 0]), "end": int(spans[i, 1]), "p": float(each[i])})
-        more = [pa.array(out)] + ([pa.array(where, kind)] if where is not None else [])
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *more], names=[*names, *added])
+        return [pa.array(out)] + ([pa.array(where, kind)] if where is not None else [])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), f"`{score}` double"])
-    if sentences_over is not None:
-        schema += f", `{located}` array<struct<start bigint, end bigint, p double>>"
-    return docs.mapInArrow(per_batch(run), schema)
+    return with_arrays(docs, [c for c in docs.columns if c not in [f.name for f in added]], [text], added, run)
 
 
 def clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -72,6 +72,29 @@ def test_stages_keep_clashing_columns(spark, tables):
         assert plain(got.select(want.columns if name != "sharding" else [*docs.columns, "size", "shard"])) == plain(want if name != "sharding" else want.select(*docs.columns, "size", "shard")), name
 
 
+def test_stages_of_columns_with_odd_names(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    nested = F.struct(F.col("doc_id").alias("a b"), F.lit(1).alias("c`d.e"))
+    odd = {"a `b.c d": F.concat(F.lit("x"), F.col("doc_id").cast("string")), "n.n": nested, "`": F.array(nested), " ": F.lit(None).cast("string")}
+    more = docs.select("*", *(v.alias(k) for k, v in odd.items()))
+    for name, stage in P.STAGES:
+        want, got = stage(spark, docs, tables), stage(spark, more, tables)
+        assert got.columns[: len(more.columns)] == more.columns or set(more.columns) <= set(got.columns), name
+        plain_names = got.toDF(*(f"c{i}" for i in range(len(got.columns))))
+        at = {c: f"c{i}" for i, c in enumerate(got.columns)}
+        assert plain_names.where(F.col(at["a `b.c d"]) != F.concat(F.lit("x"), F.col(at["doc_id"]).cast("string"))).count() == 0, name
+        assert plain_names.where(F.col(at["n.n"])["a b"] != F.col(at["doc_id"])).count() == 0, name
+        assert plain(plain_names.select(*(F.col(at[c]).alias(c) for c in docs.columns))) == plain(want.select(*docs.columns)), name
+    predicted = language_id.predicted(more, language_id.learn(docs))
+    assert set(more.columns) <= set(predicted.columns) and predicted.count() == docs.count()
+
+
+def test_sizes_of_settings():
+    from maskmetrics.llm.common import bytes_of
+
+    assert [bytes_of(x) for x in ("256m", "64MB", "1g", "100", "5 kb", "-1", "67108864b")] == [256 << 20, 64 << 20, 1 << 30, 100, 5 << 10, -1, 64 << 20]
+
+
 def test_stages_of_empty_tables(spark, tables, tmp_path):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for t in ("documents", "labels", "benchmark"):
