@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from maskmetrics.llm import decontamination, mixing, ngram_join, sharding, toxicity
-from maskmetrics.llm.common import materialised, unused
+from maskmetrics.llm.common import column, materialised, unused
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate draws, in a shuffled order."""
     copy, order = unused(docs, "copy", "shuffle_key")
-    return mixing.replicate(docs, copy=copy, order=order).select(*docs.columns)
+    return mixing.replicate(docs, copy=copy, order=order).select(*(column(c) for c in docs.columns))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
