@@ -369,12 +369,19 @@ def trir_end_to_end(x: Fixture):
     return R.risk(texts, x.background, R.AttackConfig(), parser.with_entity_types, parser.curate)
 
 
+def trir_softmax(x: Fixture):
+    """The attack by vectors pretrained on the masked background and a softmax, both learned in epochs."""
+    texts = M.masked_texts(x.documents, x.anon_docs, x.maskings).withColumnRenamed("anon_name", "source")
+    config = R.AttackConfig(base_model_name="softmax", pretraining_learning_rate=0.3, finetuning_epochs=5, finetuning_learning_rate=0.5)
+    return R.risk(texts, x.background, config, parser.with_entity_types, parser.curate)
+
+
 OPERATORS = [
     word_tokens, mask_islands, mask_islands_parity, masked_offsets_len, apply_masking, remove_mask_marks, gold_entities, entities_to_mask, annotators_per_doc,
     covering_annotators, mention_masked, entity_masked, precision_token, precision_mention, precision_ic, recall_token, recall_mention, recall_direct_only,
     recall_quasi_only, recall_per_type, terms, term_masked_endpoint, term_masked_true, term_ic, term_rounds, subwords_of_terms, masked_segments, masked_lm_ic, terms_of, noun_chunks, terms_with_chunks, tpi_with_chunks, tagger_paths, tagged_entities, backoff_ic, terms_in_sentences, individuals_report, tpi_uniform, tpi_ic, ic_multiplier, replacement_terms,
     cosine_similarity, tps, nmi_contingency, nearest_centroid_labels, silhouette, silhouettes_of_centres, tps_svd, missing_docs, extra_docs, gold_ratio, validation_violations, bk_full_outer, individual_labels,
-    reid_max_risk, curation, entity_replacement, attack_texts, sentence_split, sliding_windows, logit_sum_accuracy, results_long, results_pivot, kmeans_k_search, trir_end_to_end,
+    reid_max_risk, curation, entity_replacement, attack_texts, sentence_split, sliding_windows, logit_sum_accuracy, results_long, results_pivot, kmeans_k_search, trir_end_to_end, trir_softmax,
 ]
 
 
