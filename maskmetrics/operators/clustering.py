@@ -8,13 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Points of a corpus from which starts are drawn, and passes at most.
-SAMPLE, ITERATIONS = 2048, 20
+#: Rounds in which candidates for starts are drawn, how many are expected in each (at least), and passes at most.
+ROUNDS, OVERSAMPLING, ITERATIONS = 5, 256, 20
 
 
 def contingency(labels: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -46,21 +46,83 @@ def embed(texts: DataFrame, vectoriser=T.bag_of_words, marks: list[str] | None =
     return texts.withColumn("v", vectoriser(cleaned)).withColumn("features", array_to_vector("v")).where(T.dot(F.col("v"), F.col("v")) > 0)
 
 
-def _started(x: np.ndarray, k: int, runs: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ centres (runs, k, dimensions): each next one is drawn in proportion to the squared distance from those before."""
+def _started(x: np.ndarray, weight: np.ndarray, k: int, runs: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ centres (runs, k, dimensions) of weighted points: each next one is drawn in proportion to weight times squared distance from those before."""
     n, square = len(x), (x * x).sum(1)
     away = lambda c: np.maximum(square - 2 * c @ x.T + (c * c).sum(1)[:, None], 0)
     out = np.empty((runs, k, x.shape[1]))
-    out[:, 0] = x[rng.integers(n, size=runs)]
+    out[:, 0] = x[rng.choice(n, runs, p=weight / weight.sum())]
     distance = away(out[:, 0])
     for j in range(1, k):
-        reach = np.cumsum(distance, 1)
+        reach = np.cumsum(distance * weight, 1)
         at = np.minimum((reach <= (rng.random(runs) * reach[:, -1])[:, None]).sum(1), n - 1)
         out[:, j] = x[at]
         distance = np.minimum(distance, away(out[:, j]))
     return out
 
 
+def candidates(points: DataFrame, expected: dict[str, int], seed: int = 1, rounds: int = ROUNDS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """{anon_name: (candidates, weights)} for starts, by k-means||, over all points (anon_name, doc_id, v).
+
+    After a first candidate, that whose doc_id hashes lowest, each round draws points independently, with probability expected *
+    squared distance from the candidates so far / its sum over the corpus: about `expected` a corpus and round, so rounds *
+    expected + 1 in all, whatever the corpus' size. A candidate weighs as many points as it is the nearest one to. A round is
+    two passes over the points; only drawn points and one sum a corpus and task leave it. What is drawn depends on doc_ids, not
+    on how the points are partitioned (but for sums of doubles).
+    """
+    spark = points.sparkSession
+    first = points.groupBy("anon_name").agg(F.min_by("v", F.struct(F.xxhash64("doc_id"), "doc_id", "v")).alias("v")).collect()
+    chosen = {r["anon_name"]: np.asarray([r["v"]], np.float64) for r in first if r["anon_name"] in expected}
+
+    def each(function, shape: str, *columns) -> list:
+        """The rows of function(name, positions in the batch, label, squared distance, batch) over all points, by corpus."""
+        held = spark.sparkContext.broadcast(chosen)
+
+        def run(batches):
+            for batch in batches:
+                names, v = np.asarray(batch.column(0).to_pylist(), object), _rows(batch.column(1))
+                for name, c in held.value.items():
+                    at = np.flatnonzero(names == name)
+                    step = max(1, (1 << 21) // len(c))
+                    for i in range(0, len(at), step):
+                        label, distance = (y[:, 0] for y in _assigned(v[at[i : i + step]], c[None]))
+                        yield function(name, at[i : i + step], label, distance, batch)
+
+        found = points.select("anon_name", "v", *columns).mapInArrow(run, shape)
+        if "v array" not in shape:
+            found = found.groupBy("anon_name", "label").agg(F.sum("x").alias("x"))
+        rows = found.collect()
+        held.destroy()
+        return rows
+
+    sums = "anon_name string, label int, x double"
+    batch_of = lambda name, label, x: pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(label, pa.int32()), pa.array(x, pa.float64())], names=["anon_name", "label", "x"])
+    cost_of = lambda name, at, label, distance, batch: batch_of(name, [0], [distance.sum()])
+
+    def weight_of(name, at, label, distance, batch):
+        used, n = np.unique(label, return_counts=True)
+        return batch_of(name, used, n)
+
+    for i in range(rounds):
+        cost = {r["anon_name"]: r["x"] for r in each(cost_of, sums)}
+        if not any(cost.values()):
+            break
+
+        def drawn(name, at, label, distance, batch, cost=cost):
+            u = (batch.column(2).to_numpy()[at].view(np.uint64) >> np.uint64(11)) / float(1 << 53)
+            taken = pa.array(at[u * cost[name] < expected[name] * distance])
+            return pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken)], names=["anon_name", "v"])
+
+        new: dict[str, list] = {}
+        for r in each(drawn, "anon_name string, v array<double>", F.xxhash64("doc_id", F.lit(seed), F.lit(i)).alias("u")):
+            new.setdefault(r["anon_name"], []).append(r["v"])
+        chosen = {name: np.unique(np.concatenate([c, np.asarray(new[name], np.float64)]), axis=0) if name in new else c for name, c in chosen.items()}
+    weights = {name: np.zeros(len(c)) for name, c in chosen.items()}
+    for r in each(weight_of, sums):
+        weights[r["anon_name"]][r["label"]] = r["x"]
+    return {name: (c[weights[name] > 0], weights[name][weights[name] > 0]) for name, c in chosen.items()}
+
+
 def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(label, squared distance) of each row in each run; ties to the smaller label."""
     runs, k, d = centres.shape
@@ -78,16 +140,14 @@ def trained(points: DataFrame, wanted: dict[str, list[int]], runs: int, seed: in
     """{(anon_name, k): (centres, cost of each run)} of `runs` k-means runs for each of the numbers of clusters wanted.
 
     All runs of all corpora take their Lloyd iterations together, one pass over points (anon_name, doc_id, v) each, of which
-    only sums by run and cluster come back. The starts are drawn from SAMPLE points a corpus, those whose doc_ids hash lowest.
+    only sums by run and cluster come back. The starts are drawn by k-means++ from the candidates() of each corpus.
     """
     spark = points.sparkSession
-    lowest = F.row_number().over(Window.partitionBy("anon_name").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = points.select("anon_name", "doc_id", "v").withColumn("_rank", lowest).where(F.col("_rank") <= SAMPLE).select("anon_name", "v").toPandas()
     centres, cost = {}, {}
+    drawn = candidates(points, {name: max(OVERSAMPLING, 2 * max(ks)) for name, ks in wanted.items()}, seed)
     for i, (name, ks) in enumerate(sorted(wanted.items())):
-        x = np.stack(sample["v"][sample["anon_name"] == name].to_list()).astype(np.float64)
         for k in ks:
-            centres[name, k] = _started(x, k, runs, np.random.default_rng([seed, i, k]))
+            centres[name, k] = _started(*drawn[name], k, runs, np.random.default_rng([seed, i, k]))
     for _ in range(ITERATIONS):
         held = spark.sparkContext.broadcast(centres)
 
