@@ -1,7 +1,7 @@
 """The elements of a JSON list or mapping, of any size in one file, read in as many tasks as Spark splits its files into.
 
-The scan is Spark's own reader of text, with the comma as the end of a line: a split is then whole pieces between commas, and
-never begins within an escape. Whether it begins in a string, and at which depth of brackets, follows from the splits before it.
+The scan is Spark's own reader of text, with a character that the format can't do without as the end of a line (rarer ones make
+fewer rows): a split is then whole pieces between such characters, and never begins within an escape. Whether it begins in a string, and at which depth of brackets, follows from the splits before it.
 So a first pass notes for each split what it does to either (as if it began outside a string, and inside one), one small row a
 split; these are put together in order, on the driver; a second pass cuts at the commas of depth 1. What an element has in several splits,
 two fragments a split at most, is brought together by a shuffle, for which the file is read once more; no other element is moved.
@@ -13,9 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that are looked at together.
+SLICE = 4 << 20
+
 _QUOTE, _SLASH, _COMMA = b'"\\,'
 _STEP = np.zeros(256, np.int64)
 _STEP[list(b"[{")], _STEP[list(b"]}")] = 1, -1
@@ -39,25 +43,28 @@ def marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return at, np.searchsorted(quotes, at) & 1, len(quotes) & 1
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path, lineSep=",")
+def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    lines = spark.read.text(path, lineSep=separator)
     return lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
-def _runs(batches) -> Iterator[tuple[tuple[str, int], np.ndarray]]:
-    """((file, start), bytes) of the rows of one split that stand together, each with its comma."""
+def _runs(batches, separator: str) -> Iterator[tuple[tuple[str, int], np.ndarray]]:
+    """((file, start), bytes) of the rows of one split that stand together, each with its separator, about SLICE bytes at most unless a row is longer."""
     for batch in batches:
-        files, starts = batch.column(1).to_pylist(), batch.column(2).to_numpy()
-        cuts = [0, *(i for i in range(1, len(files)) if starts[i] != starts[i - 1] or files[i] != files[i - 1]), len(files)]
+        starts, ends = batch.column(2).to_numpy(), np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False))
+        files = batch.column(1).dictionary_encode()
+        number = files.indices.to_numpy()
+        changed = np.flatnonzero((np.diff(starts) != 0) | (np.diff(number) != 0) | (np.diff(ends // SLICE) != 0)) + 1
+        cuts = [0, *changed.tolist(), len(starts)]
         for a, z in zip(cuts, cuts[1:]):
             if a < z:
-                yield (files[a], int(starts[a])), np.frombuffer(b",".join([*batch.column(0)[a:z].to_pylist(), b""]), np.uint8)
+                yield (files[a].as_py(), int(starts[a])), np.frombuffer(separator.encode().join([*batch.column(0)[a:z].to_pylist(), b""]), np.uint8)
 
 
-def _noted(batches):
+def _noted(batches, separator: str):
     """For each split: is its number of quotes odd, and for a begin outside and inside a string the change of depth and the depths with commas."""
     known: dict[tuple[str, int], list] = {}
-    for key, data in _runs(batches):
+    for key, data in _runs(batches, separator):
         mine = known.setdefault(key, [0, [0, 0], [set(), set()], None])
         at, odd, quotes = marks(data)
         steps = _STEP[data[at]]
@@ -74,9 +81,9 @@ def _noted(batches):
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["file", "start", "quotes", "change0", "change1", "commas0", "commas1", "lead"])
 
 
-def states(pieces: DataFrame, opening: str) -> State:
+def states(pieces: DataFrame, opening: str, separator: str) -> State:
     """How each split begins. A file that doesn't begin with the opening bracket, or doesn't end with all brackets and strings closed, is refused."""
-    noted = pieces.mapInArrow(_noted, "file string, start bigint, quotes int, change0 bigint, change1 bigint, commas0 array<bigint>, commas1 array<bigint>, lead binary").collect()
+    noted = pieces.mapInArrow(lambda batches: _noted(batches, separator), "file string, start bigint, quotes int, change0 bigint, change1 bigint, commas0 array<bigint>, commas1 array<bigint>, lead binary").collect()
     out: State = {}
     by_file: dict[str, list] = {}
     for r in noted:
@@ -91,26 +98,29 @@ def states(pieces: DataFrame, opening: str) -> State:
             if 1 - depth in r[f"commas{inside}"]:
                 begun = r["start"]
             depth, inside = depth + r[f"change{inside}"], inside ^ r["quotes"]
-        if inside or depth:
+        # no whole file ends with its separator, so one stands behind the end of each
+        if (inside, depth) != (separator == '"', _STEP[ord(separator)]):
             raise ValueError(f"{file}: ends within a string or a bracket")
     return out
 
 
-def elements(spark: SparkSession, path: str, opening: str) -> DataFrame:
-    """(element): the text of each element of the lists, or mappings, at path. opening: [ or {.
+def elements(spark: SparkSession, path: str, opening: str, separator: str = ",") -> DataFrame:
+    """(element): the text of each element of the lists, or mappings, at path. opening: [ or {. separator: one of , " ] }, but not what closes the whole.
+
+    separator only says where Spark may cut a file: between two of it should lie little text, but more than a few bytes.
 
     A mapping's element is a key and its value, with the colon. Blank elements, as of an empty list, are left out; an empty file has none. Elements are not
     checked further, and come in no order.
     """
-    pieces = _pieces(spark, path)
-    held = spark.sparkContext.broadcast(states(pieces, opening))
+    pieces = _pieces(spark, path, separator)
+    held = spark.sparkContext.broadcast(states(pieces, opening, separator))
 
     def cut(whole: bool):
         """The elements that lie in one split each; or else the fragments of the others."""
 
         def run(batches):
             now: dict[tuple[str, int], list] = {}  # of each split of the task: in a string?, depth, has its element begun in it?, that element so far
-            for key, data in _runs(batches):
+            for key, data in _runs(batches, separator):
                 inside, depth, own, so_far = now.pop(key, None) or [*held.value[key][:2], False, []]
                 for other in [*now]:  # a split that came before, now at its end
                     yield from ended(other, now.pop(other))
