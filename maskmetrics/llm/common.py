@@ -65,6 +65,7 @@ def materialised(df: DataFrame, name: str, paths: list[str] | None = None) -> Da
     if paths is not None:
         paths.append(path)
     df.write.parquet(path)
+    forget(df.sparkSession)  # what the driver planned the stage with goes, and its heap shrinks, before the next one
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -196,6 +197,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         for old in paths[:-1]:
             drop_path(spark, old)
         del paths[:-1]
+        forget(spark)
         return out
 
     def star(e: DataFrame, large: bool, n: int) -> DataFrame:

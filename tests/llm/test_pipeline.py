@@ -137,3 +137,14 @@ def test_long_text_has_no_limit(spark):
     rows = {r["doc_id"]: r for r in ngram_join.classes(docs).collect()}
     words = re.findall(r"\S+", text)
     assert rows[1]["n_shingles"] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}) and rows[2]["component_id"] == 1
+
+
+def test_the_driver_lets_go_of_each_stage(spark, monkeypatch):
+    from maskmetrics.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "forget", lambda session, rounds=0: seen.append(session))
+    assert common.materialised(spark.range(3), "three").count() == 3 and len(seen) == 1
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a bigint, b bigint")
+    assert {tuple(r) for r in common.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert len(seen) > 2
