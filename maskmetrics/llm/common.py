@@ -10,8 +10,10 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -176,55 +178,78 @@ def crc_remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: edges that components() contracts at a time
+CONTRACTED = 1 << 17
+
+
+def _contracted(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: edges (a, b), about `most` at a time, as stars: of each node that isn't the smallest one of its component among them, an edge to that."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (pa.concat_arrays([x.column(i) for x in held]) for i in range(2))
+        coded = pa.concat_arrays([a, b]).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        ends = rank[coded.indices.to_numpy()].reshape(2, -1)
+        label = np.arange(len(order))
+        while True:
+            x, y = label[ends]
+            apart = x != y
+            if not apart.any():
+                break
+            np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (label[label] != label).any():
+                label = label[label]
+        other = np.flatnonzero(label != np.arange(len(label)))
+        nodes = coded.dictionary.take(order)
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(other)), nodes.take(pa.array(label[other]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= most:
+                yield stars(held)
+                held = []
+        if held:
+            yield stars(held)
+
+    return run
+
+
+def components(edges: DataFrame, rounds: int = 60, most: int = CONTRACTED) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the smallest node that links reach.
 
-    Large-star and small-star rounds, each a groupBy with a window-free minimum, until the edges no longer change.
-    The edges are written to the shared folder after each round. A node with a great many links is no single task's
-    list: its minimum is a partial aggregate, and its edges meet that where they are. Nodes with more links than a task's
-    even share of them are fewer than the tasks, so theirs alone are broadcast.
+    Each round makes stars of the edges where they are, then deals them by their larger node: its smallest neighbour becomes its
+    only one, and that of its other neighbours too; then what points to a node that points on goes on with it. It ends with the round in
+    which neither happens. The edges are written to the shared folder after each round. A node with a great many links is no
+    single task's list: as the larger one it has an edge at most of each `most` edges, as the smaller one it is met in a
+    join, whose partitions Spark can split.
     """
     spark = edges.sparkSession
-    tasks = partitions(spark)
     name = edges.columns
-    e = edges.select(F.col(name[0]).alias("a"), F.col(name[1]).alias("b")).where("a <> b").distinct()
+    ends = [F.col(name[0]), F.col(name[1])]
+    e = edges.where(ends[0] != ends[1]).select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b"))
+    kind = e.schema["a"].dataType.simpleString()
+    by = Window.partitionBy("a").orderBy("b")
     paths: list[str] = []
-
-    def kept(df: DataFrame) -> DataFrame:
+    for _ in range(rounds):
+        near = e.mapInArrow(_contracted(most), f"a {kind}, b {kind}").select("a", "b", F.lag("b").over(by).alias("last"), F.min("b").over(by).alias("least"))
+        linked = F.col("last").isNotNull()
+        links = near.where(~linked | (F.col("last") != F.col("b"))).select(F.when(linked, F.col("b")).otherwise(F.col("a")).alias("a"), F.col("least").alias("b"), linked.alias("linked"))
+        on = links.where("NOT linked").select(F.col("a").alias("from"), F.col("b").alias("to"))
+        e = links.join(on, F.col("b") == F.col("from"), "left").select("a", F.coalesce("to", "b").alias("b"), (F.col("linked") | F.col("to").isNotNull()).alias("open"))
         paths.append(new_path(spark, "edges"))
-        df.write.parquet(paths[-1])
-        out = spark.read.schema(df.schema).parquet(paths[-1])
+        e.write.parquet(paths[-1])
+        e = spark.read.schema(e.schema).parquet(paths[-1])
         for old in paths[:-1]:
             drop_path(spark, old)
         del paths[:-1]
         forget(spark)
-        return out
-
-    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
-        both = e.union(e.select("b", "a")) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        counted = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        least = counted.select("a", "m")
-        many = counted.where(F.col("n") > max(64, 2 * n // tasks)).select("a", "m")
-        linked = both.join(F.broadcast(many), "a").union(both.join(F.broadcast(many.select("a")), "a", "left_anti").join(least, "a"))
-        if large:
-            linked = linked.where(F.col("b") > F.col("a"))
-            return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    e = kept(e)
-    before = state(e)
-    for _ in range(rounds):
-        # a large star has an edge at most for each that it was given
-        e = kept(star(star(e, True, before[0]), False, before[0]))
-        now = state(e)
-        if now == before:
+        if not e.agg(F.max("open")).first()[0]:
             break
-        before = now
+        e = e.select("a", "b")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = e.groupBy("a").agg(F.min("b").alias("component"))
-    return roots.union(e.select(F.col("b").alias("a"), F.col("b").alias("component"))).groupBy("a").agg(F.min("component").alias("component")).withColumnRenamed("a", "node")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

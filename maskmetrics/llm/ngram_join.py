@@ -20,7 +20,7 @@ n - ceil(t n) + 1 of either (prefix filter), so those alone are dealt out over t
    is left when the overlap so far plus what can remain, bounded by the remaining lengths, is too small for every size in
    it, or when all its sets are already in the walker's class. So a group of m near copies costs about m steps, not m^2,
    and gives m - 1 links. Links between different classes are never dropped.
-5. components of the links, by large-star and small-star rounds. A node's name begins with the smallest doc_id of its set, so
+5. components of the links, by rounds of stars. A node's name begins with the smallest doc_id of its set, so
    the least name that links reach says the component, and nothing is joined by component.
 
 Nothing of this is collected but those MAX_LAST n-grams. Cases: a null or blank text has the empty set, no link, and itself
