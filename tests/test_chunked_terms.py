@@ -24,6 +24,12 @@ def _exchanges(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_terms_with_chunks(corpus):
+    found = queries.terms_with_chunks(corpus)
+    assert _rows(found) == _rows(M.terms_of(parser.tokens(corpus.documents)).select("doc_id", "term_ord", "start", "end"))
+    assert not any(x in _exchanges(found) for x in ("Window", "Aggregate", "Join"))
+
+
 def test_tpi_with_chunks(corpus):
     found = queries.tpi_with_chunks(corpus)
     by_rows = M.preserved_information(M.terms_of(parser.tokens(corpus.documents)).withColumn("ic", F.lit(1.0)), corpus.maskings, corpus.anon_docs, corpus.documents)
