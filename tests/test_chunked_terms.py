@@ -38,3 +38,11 @@ def test_tpi_with_chunks(corpus):
     corpus.documents = corpus.documents.where("trim(text) <> ''")
     assert _rows(queries.tpi_with_chunks(corpus)) == _rows(with_value)
     assert not any(x in _exchanges(found) for x in ("Window", "Join"))
+
+
+def test_terms_of(corpus):
+    found = queries.terms_of(corpus)
+    tokens = parser.tokens(corpus.documents).withColumn("chunk_id", F.when(F.col("tok_ord") % 10 < 2, F.floor(F.col("tok_ord") / 10).cast("int")))
+    by_rows = M.terms_of(tokens).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+    assert _rows(found) == _rows(by_rows)
+    assert not any(x in _exchanges(found) for x in ("Window", "Aggregate", "Join"))
